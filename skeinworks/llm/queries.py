@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from skeinworks.llm import mixing
+from skeinworks.llm import mixing, quality_rules, simhash
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.query,
+    "op6_simhash_near_dedup": simhash.query,
     "op7_source_mixing": mixing.query,
 }
 ORACLE = {
