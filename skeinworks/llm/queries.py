@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from skeinworks.llm import mixing, quality_rules, simhash
+from skeinworks.llm import fuzzy_lines, mixing, packing, quality_rules, simhash
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
+    "op4_fuzzy_lines": fuzzy_lines.query,
     "op6_simhash_near_dedup": simhash.query,
     "op7_source_mixing": mixing.query,
+    "op9_packing": packing.query,
 }
 ORACLE = {
     "op7_source_mixing": mixing.SQL,
