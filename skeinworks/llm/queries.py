@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from skeinworks.llm import fuzzy_lines, mixing, packing, quality_rules, simhash
+from skeinworks.llm import fuzzy_lines, merkle, mixing, packing, quality_rules, simhash
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
     "op4_fuzzy_lines": fuzzy_lines.query,
     "op6_simhash_near_dedup": simhash.query,
     "op7_source_mixing": mixing.query,
+    "op8_merkle_fingerprints": merkle.query,
     "op9_packing": packing.query,
 }
 ORACLE = {
+    "op8_merkle_fingerprints": merkle.SQL,
     "op7_source_mixing": mixing.SQL,
 }
