@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from skeinworks.llm import fuzzy_lines, merkle, mixing, packing, quality_rules, simhash
+from skeinworks.llm import (
+    fuzzy_lines,
+    merkle,
+    mixing,
+    packing,
+    quality_rules,
+    rule_ensemble,
+    simhash,
+    toxicity,
+)
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
     "op4_fuzzy_lines": fuzzy_lines.query,
+    "op5_toxic_spans": toxicity.query,
     "op6_simhash_near_dedup": simhash.query,
     "op7_source_mixing": mixing.query,
     "op8_merkle_fingerprints": merkle.query,
     "op9_packing": packing.query,
+    "op10_rule_ensemble": rule_ensemble.query,
 }
 ORACLE = {
-    "op8_merkle_fingerprints": merkle.SQL,
     "op7_source_mixing": mixing.SQL,
+    "op8_merkle_fingerprints": merkle.SQL,
 }
