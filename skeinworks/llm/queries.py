@@ -7,6 +7,7 @@ from skeinworks.llm import (
     merkle,
     mixing,
     packing,
+    pseudonyms,
     quality_rules,
     rule_ensemble,
     simhash,
@@ -15,6 +16,7 @@ from skeinworks.llm import (
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
+    "op3_pseudonyms": pseudonyms.query,
     "op4_fuzzy_lines": fuzzy_lines.query,
     "op5_toxic_spans": toxicity.query,
     "op6_simhash_near_dedup": simhash.query,
