@@ -124,6 +124,17 @@ def mix_sources(
     )
 
 
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` as the mix takes them: rows that it leaves out go, and those it takes twice come twice.
+
+    Rows of one doc_id are taken equally often. Else as ``mix_sources``; all columns are returned.
+    """
+    copies = mix_sources(docs, **settings).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_copies"))
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_mix_id"))).where("_copies > 0")
+    again = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return again.drop("_mix_id", "_copies", "_copy")
+
+
 SQL = """
 WITH base AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,

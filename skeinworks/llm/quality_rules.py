@@ -167,6 +167,20 @@ def apply_quality_rules(docs: DataFrame, labels: DataFrame, **settings) -> tuple
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)), rules
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` that the base rules and the learned list keep, with all their columns.
+
+    The statistics of labelled documents are taken first, to learn; then one pass over all rows
+    filters them. Nulls, repeated rows and empty tables: as in ``apply_quality_rules``.
+    """
+    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", (F.lit(1) - F.col("quality")).cast("int").alias("bad"))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    labelled = materialize(with_statistics(docs.select("doc_id", "text").join(marks, "doc_id")), "rule-labelled")
+    rules = learn_rules(labelled.where(~failed), **settings)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("_copy"))
+    return with_statistics(rows, "_copy").where(~failed & (verdict(rules) == 0)).select("row.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     out, _ = apply_quality_rules(read("documents"), read("labels"))

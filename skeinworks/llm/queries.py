@@ -7,6 +7,7 @@ from skeinworks.llm import (
     merkle,
     mixing,
     packing,
+    passages,
     pseudonyms,
     quality_rules,
     rule_ensemble,
@@ -15,6 +16,7 @@ from skeinworks.llm import (
 )
 
 QUERIES = {
+    "op1_repeated_passages": passages.query,
     "op2_quality_rules": quality_rules.query,
     "op3_pseudonyms": pseudonyms.query,
     "op4_fuzzy_lines": fuzzy_lines.query,

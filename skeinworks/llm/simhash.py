@@ -151,5 +151,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RA
     return prints.join(nodes, "bits").select("doc_id", hexed, "component_id")
 
 
+def one_of_each_group(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` less the documents whose component has a lesser doc_id; all columns are returned.
+
+    Rows with a null doc_id stay. Else as ``near_duplicates``.
+    """
+    gone = near_duplicates(docs, **settings).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id"))
+    return docs.join(gone.distinct(), docs["doc_id"] == F.col("_gone_id"), "left_anti")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
