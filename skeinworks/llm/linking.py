@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,62 @@ def bucket_cells(entries: DataFrame, item: list[str], cell: int = CELL) -> DataF
     return dealt.groupBy("key", "at").agg(F.collect_list(F.struct(*item)).alias("members")).where(F.size("members") > 1).select("members")
 
 
+def verified_links(
+    entries: DataFrame, bodies: Callable[[DataFrame], DataFrame], same: Callable[[tuple, tuple], bool], label: str, cell: int = CELL
+) -> DataFrame:
+    """Edges (``a``, ``b``) that connect all ids that share a ``key`` and are the ``same``.
+
+    ``entries``: ``key`` and ``id``, distinct. ``bodies`` gives, for a table of ids, ``id`` and ``body``, a
+    struct; ``same`` compares two bodies, each as a tuple.
+
+    In each key all ids are first compared with its least one, the pivot. Those that match it are
+    connected by it and need not be compared among themselves; only pairs with an id that does not
+    match are. So a large group of copies costs one comparison a member, and no pair is lost. What
+    remains to be compared is dealt out in cells of about ``cell`` ids on either side.
+    """
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).where("n > 1")
+    inside = materialize(entries.join(buckets, "key"), f"{label}-colliding")
+    known = materialize(bodies(inside.select("id").distinct()), f"{label}-bodies")
+    other = known.select(F.col("id").alias("pivot"), F.col("body").alias("pivot_body"))
+
+    @F.pandas_udf("boolean")
+    def matches(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
+        rows = zip(a.itertuples(index=False, name=None), b.itertuples(index=False, name=None), strict=True)
+        return pd.Series([same(x, y) for x, y in rows], dtype=bool)
+
+    tried = inside.where("id <> pivot").select("id", "pivot").distinct().join(known, "id").join(other, "pivot")
+    matched = materialize(tried.where(matches("body", "pivot_body")).select("id", "pivot"), f"{label}-matched")
+
+    rest = inside.where("id <> pivot AND n > 2").select("key", "id", "pivot")
+    odd = rest.join(matched, ["id", "pivot"], "left_anti").select("key", "id")
+    open_keys = rest.groupBy("key").agg((F.floor(F.count(F.lit(1)) / cell) + 1).cast("int").alias("chunks"))
+    open_keys = open_keys.join(odd.groupBy("key").agg((F.floor(F.count(F.lit(1)) / cell) + 1).cast("int").alias("odd_chunks")), "key")
+    dealt = lambda df, by: df.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64(F.lit(11), "id"), F.col(by)).cast("int"))
+    left = dealt(rest.select("key", "id"), "chunks").select("key", "id", F.col("own").alias("a"), F.explode(F.sequence(F.lit(0), F.col("odd_chunks") - 1)).alias("b"), F.lit(False).alias("odd"))
+    right = dealt(odd, "odd_chunks").select("key", "id", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("a"), F.col("own").alias("b"), F.lit(True).alias("odd"))
+    cells = left.unionByName(right).join(known, "id").groupBy("key", "a", "b").agg(F.collect_list(F.struct("id", "odd", "body")).alias("m"))
+
+    @F.pandas_udf("array<struct<a:long,b:long>>")
+    def crossed(ids: pd.Series, odds: pd.Series, held: pd.Series) -> pd.Series:
+        out = []
+        for own, flags, values in zip(ids, odds, held, strict=True):
+            items = [(int(i), bool(o), tuple(v.values())) for i, o, v in zip(own, flags, values, strict=True)]
+            groups = {i: {i} for i, _, _ in items}
+            edges = []
+            for i, _, x in (t for t in items if t[1]):
+                for j, _, y in (t for t in items if not t[1]):
+                    if groups[i] is not groups[j] and same(x, y):
+                        edges.append({"a": i, "b": j})
+                        large, small = sorted((groups[i], groups[j]), key=len, reverse=True)
+                        large |= small
+                        groups.update(dict.fromkeys(small, large))
+            out.append(edges)
+        return pd.Series(out)
+
+    found = cells.select(F.explode(crossed("m.id", "m.odd", "m.body")).alias("e")).select("e.a", "e.b")
+    return found.unionByName(matched.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``node`` and ``component``, the least node that it reaches, of every node with an edge.
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.llm.linking import CELL, bucket_cells, connected_components
+from skeinworks.llm.linking import CELL, connected_components, verified_links
 from skeinworks.runtime import materialize
 
 SHINGLE = 5
@@ -124,27 +124,13 @@ def all_units(docs: DataFrame, n_bands: int) -> DataFrame:
     return chosen.mapInPandas(run, "doc_id long, start int, n int, h long, bands array<long>")
 
 
-def alike(ids: list[int], sets: list[set[int]], least: float) -> list[tuple[int, int]]:
-    """Edges that connect the sets of Jaccard similarity ``least`` or more; none inside a group."""
-    root, edges = list(range(len(ids))), []
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    for j in range(1, len(ids)):
-        for i in range(j):
-            a, b = find(i), find(j)
-            if a != b:
-                small, large = sorted((len(sets[i]), len(sets[j])))
-                if small >= least * large:
-                    both = len(sets[i] & sets[j])
-                    if both >= least * (small + large - both) - 1e-9:
-                        root[b] = a
-                        edges.append((ids[i], ids[j]))
-    return edges
+def alike(a: tuple, b: tuple, least: float = SIMILARITY) -> bool:
+    """Whether two sorted arrays of distinct shingle hashes have Jaccard similarity ``least`` or more."""
+    small, large = sorted((len(a[0]), len(b[0])))
+    if small < least * large:
+        return False
+    both = len(np.intersect1d(a[0], b[0], assume_unique=True))
+    return both >= least * (small + large - both) - 1e-9
 
 
 def paragraph_edges(docs: DataFrame, forms: DataFrame, least: float = SIMILARITY, cell: int = CELL) -> DataFrame:
@@ -152,7 +138,7 @@ def paragraph_edges(docs: DataFrame, forms: DataFrame, least: float = SIMILARITY
 
     ``forms``: ``h``, ``bands`` and ``first`` (struct of doc_id, start and n) of distinct paragraphs.
     """
-    keys = forms.select("h", F.posexplode("bands").alias("band", "least")).select(F.xxhash64("band", "least").alias("key"), "h")
+    keys = forms.select("h", F.posexplode("bands").alias("band", "least")).select(F.xxhash64("band", "least").alias("key"), F.col("h").alias("id"))
 
     @F.pandas_udf("array<struct<h:long,shingles:array<long>>>")
     def fetch(text: pd.Series, places: pd.Series) -> pd.Series:
@@ -167,20 +153,13 @@ def paragraph_edges(docs: DataFrame, forms: DataFrame, least: float = SIMILARITY
             out.append(rows)
         return pd.Series(out)
 
-    @F.pandas_udf("array<struct<a:long,b:long>>")
-    def verify(hashes: pd.Series, shingles: pd.Series) -> pd.Series:
-        found = (alike([int(h) for h in x], [set(s.tolist()) for s in y], least) for x, y in zip(hashes, shingles, strict=True))
-        return pd.Series([[{"a": a, "b": b} for a, b in edges] for edges in found])
-
-    # Similar paragraphs meet in most of their bands: each set of them is looked at once.
-    groups = bucket_cells(keys, ["h"], cell).select(F.array_sort("members.h").alias("group")).distinct()
-    groups = materialize(groups.select(F.xxhash64("group").alias("g"), F.explode("group").alias("h")), "passage-groups")
-    wanted = forms.join(groups.select("h").distinct(), "h").groupBy("first.doc_id").agg(F.collect_list(F.struct("first.start", "first.n", "h")).alias("places"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
-    found = texts.select(F.explode(fetch("text", "places")).alias("x")).select("x.h", "x.shingles")
-    found = found.groupBy("h").agg(F.first("shingles").alias("shingles"))
-    members = groups.join(found, "h").groupBy("g").agg(F.collect_list(F.struct("h", "shingles")).alias("m"))
-    return members.select(F.explode(verify("m.h", "m.shingles")).alias("e")).select("e.a", "e.b")
+    def bodies(ids: DataFrame) -> DataFrame:
+        wanted = forms.join(ids.withColumnRenamed("id", "h"), "h").groupBy("first.doc_id").agg(F.collect_list(F.struct("first.start", "first.n", "h")).alias("places"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+        found = texts.select(F.explode(fetch("text", "places")).alias("x")).groupBy("x.h").agg(F.first("x.shingles").alias("shingles"))
+        return found.select(F.col("h").alias("id"), F.struct("shingles").alias("body"))
+
+    return verified_links(keys, bodies, lambda a, b: alike(a, b, least), "passages", cell)
 
 
 def repeated_passages(docs: DataFrame, *, least: float = SIMILARITY, recall: float = RECALL, cell: int = CELL) -> DataFrame:
