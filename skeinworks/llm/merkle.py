@@ -106,22 +106,24 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     edited with an empty text and near_next null. One id alone: next to itself. No rows: no rows.
     Other columns of ``docs`` are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     third = F.floor(F.length("text") / 3).cast("int")
-    chain = next_ids(rows.select("doc_id").where("doc_id IS NOT NULL").distinct())
-    sizes = rows.select("doc_id", third.alias("third")).distinct()
+    # Both joins take this table by doc_id alone, so that its texts are shuffled once for the two.
+    placed, apart = rows.where("doc_id IS NOT NULL"), rows.where("doc_id IS NULL")
+    chain = next_ids(placed.select("doc_id").distinct())
+    sizes = placed.select("doc_id", third.alias("third")).distinct()
     wanted = sizes.join(chain, "doc_id").select(F.col("doc_id").alias("for_id"), "third", F.col("next_id").alias("doc_id"))
-    heads = rows.join(wanted, "doc_id").select("for_id", "third", F.struct(F.left("text", "third").alias("head"), fingerprint(F.col("text")).alias("print")).alias("next"))
+    heads = placed.join(wanted, "doc_id").select("for_id", "third", F.struct(F.left("text", "third").alias("head"), fingerprint(F.col("text")).alias("print")).alias("next"))
     heads = heads.groupBy("for_id", "third").agg(F.min("next").alias("next"))
-    own = rows.withColumn("third", third)
-    same = (F.col("doc_id") == F.col("for_id")) & (own["third"] == heads["third"])
-    kept = F.left("text", F.length("text") - own["third"])
-    edited = own.join(heads, same, "left").select(
+    paired = placed.join(heads, F.col("doc_id") == F.col("for_id")).where(third - F.col("third") == 0)
+    alone = apart.select("doc_id", "text", F.lit("").alias("head"), F.lit(None).cast("string").alias("next_print"))
+    both = paired.select("doc_id", "text", F.col("next.head").alias("head"), F.col("next.print").alias("next_print")).unionByName(alone)
+    edited = both.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
-        F.concat(kept, F.coalesce("next.head", F.lit(""))).alias("edited"),
+        F.concat(F.left("text", F.length("text") - third), F.col("head")).alias("edited"),
         fingerprint(F.col("text")).alias("fingerprint"),
-        F.col("next.print").alias("next_print"),
+        "next_print",
     )
     edited = edited.withColumns({"edited_sha256": F.sha2("edited", 256), "edited_fingerprint": fingerprint(F.col("edited"))})
     return edited.select(
