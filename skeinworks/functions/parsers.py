@@ -16,7 +16,7 @@ CHAPTERS = f"array<{CHAPTER}>"
 PROBE = (
     "struct<streams:array<struct<codec_type:string,codec_name:string,duration:string,disposition:struct<attached_pic:int>>>,"
     "chapters:array<struct<start_time:string,end_time:string,tags:struct<title:string>>>,"
-    "format:struct<duration:string,tags:struct<track:string,title:string>>>"
+    "format:struct<duration:string,tags:struct<track:string,title:string>>,_broken:string>"
 )
 
 
@@ -38,7 +38,7 @@ def parse_cue(text: Column, duration: Column) -> Column:
     entry = "struct<start:double,title:string>"
 
     def step(tracks: Column, raw: Column) -> Column:
-        line, last = trimmed(raw), F.element_at(tracks, -1)
+        line, last = trimmed(raw), F.try_element_at(tracks, F.lit(-1))
         upper = ascii_upper(line)
         earlier = F.slice(tracks, 1, F.greatest(F.size(tracks) - 1, F.lit(0)))
         changed = lambda start, title: F.concat(earlier, F.array(F.struct(start.alias("start"), title.alias("title"))))
@@ -115,14 +115,14 @@ def parse_probe(text: Column) -> Column:
     ``error`` names the first that holds: json, no_audio, chapter_time, duration. The duration is the
     format's, else the audio stream's, else the last chapter's end.
     """
-    doc = F.from_json(text, PROBE)
+    doc = F.from_json(text, PROBE, {"columnNameOfCorruptRecord": "_broken"})
     audio = F.get(F.filter(doc["streams"], lambda s: s["codec_type"] == "audio"), 0)
     cover = F.get(F.filter(doc["streams"], lambda s: (s["codec_type"] == "video") & (s["disposition"]["attached_pic"] == 1)), 0)
     listed = F.coalesce(doc["chapters"], F.array().cast("array<struct<start_time:string,end_time:string,tags:struct<title:string>>>"))
     chapters = F.transform(listed, lambda c, k: _chapter(k, decimal(c["start_time"]), decimal(c["end_time"]), F.nullif(c["tags"]["title"], F.lit(""))))
     bad_time = F.exists(chapters, lambda c: c["start_sec"].isNull() | c["end_sec"].isNull())
-    duration = F.coalesce(decimal(doc["format"]["duration"]), decimal(audio["duration"]), F.element_at(F.filter(chapters, lambda c: c["end_sec"].isNotNull()), -1)["end_sec"])
-    error = F.when(doc.isNull() | ~F.coalesce(F.trim(text), F.lit("")).startswith("{"), "json").when(audio.isNull(), "no_audio").when(bad_time, "chapter_time").when(duration.isNull(), "duration")
+    duration = F.coalesce(decimal(doc["format"]["duration"]), decimal(audio["duration"]), F.try_element_at(F.filter(chapters, lambda c: c["end_sec"].isNotNull()), F.lit(-1))["end_sec"])
+    error = F.when(doc.isNull() | doc["_broken"].isNotNull() | ~F.coalesce(F.trim(text), F.lit("")).startswith("{"), "json").when(audio.isNull(), "no_audio").when(bad_time, "chapter_time").when(duration.isNull(), "duration")
     return F.struct(
         audio["codec_name"].alias("codec"),
         cover["codec_name"].alias("cover_codec"),

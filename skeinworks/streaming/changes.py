@@ -37,8 +37,9 @@ def bursts(events: DataFrame, gap: str = f"{QUIET} seconds", by: tuple[str, ...]
     events.
     """
     marked = events.withWatermark("ts", late) if late else events
-    w = F.session_window("ts", gap)
-    found = marked.groupBy(*by, w.alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    # Sessions of a stream must be of some key, and no literal: where there is none, all have the same.
+    keys = [F.pmod(F.dayofyear("ts"), F.lit(1)).alias("_all")] if late and not by else [*by]
+    found = marked.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return found.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
