@@ -197,10 +197,13 @@ def day(value: str, move: Move) -> str | None:
     new = moved_day(int(year), int(a if first else b), int(b if first else a), move)
     if not new:
         return None
-    # The new date must read back in this order, so that it can be undone: else the days' order is kept by walking on.
-    while (new.day > 12) != (max(int(a), int(b)) > 12) or (first != (mark == "/") and new.day <= 12):
+    padded = len(a) == len(b) == 2
+    if not padded and "0" in (a[0], b[0]):
+        return None
+    # The new date must read back in this order and width, so that it can be undone: walk on until it does.
+    while (new.day > 12) != (max(int(a), int(b)) > 12) or not padded and min(new.day, new.month) > 9:
         new = moved_day(new.year, new.month, new.day, move)
-    width = "02" if len(a) == len(b) == 2 else ""
+    width = "02" if padded else ""
     x, y = (new.month, new.day) if first else (new.day, new.month)
     return f"{x:{width}}{mark}{y:{width}}{mark}{new.year}"
 
