@@ -49,11 +49,12 @@ def _labels(print_: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """1 for equal roots, else the leaves' labels that two fingerprints share among all they have."""
+    """1 for equal roots, else the labels that two fingerprints share among all they have, the two
+    roots included: less than 1 for different texts."""
 
     def shared(x: Column) -> Column:
         both = F.size(F.array_intersect(x["a"], x["b"]))
-        return both / F.greatest(F.size(x["a"]) + F.size(x["b"]) - both, F.lit(1))
+        return both / (F.size(x["a"]) + F.size(x["b"]) - both + 2)
 
     sets = F.struct(_labels(a).alias("a"), _labels(b).alias("b"))
     return F.when(root(a) == root(b), F.lit(1.0)).otherwise(let(sets, shared))
@@ -162,9 +163,9 @@ trees AS (
          list_distinct(regexp_extract_all(body, '[0-9a-f]{6}')) AS labels FROM prints)
 SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, o.root || '|' || o.body AS fingerprint, d.root || '|' || d.body AS edited_fingerprint,
        CASE WHEN o.root = d.root THEN 1.0::DOUBLE ELSE len(list_intersect(o.labels, d.labels))::DOUBLE
-            / greatest(len(o.labels) + len(d.labels) - len(list_intersect(o.labels, d.labels)), 1) END AS near_edited,
+            / (len(o.labels) + len(d.labels) - len(list_intersect(o.labels, d.labels)) + 2) END AS near_edited,
        CASE WHEN o.root = n.root THEN 1.0::DOUBLE ELSE len(list_intersect(o.labels, n.labels))::DOUBLE
-            / greatest(len(o.labels) + len(n.labels) - len(list_intersect(o.labels, n.labels)), 1) END AS near_next
+            / (len(o.labels) + len(n.labels) - len(list_intersect(o.labels, n.labels)) + 2) END AS near_next
 FROM edits e JOIN trees o ON o.doc_id = e.doc_id AND o.kind = 'own' JOIN trees d ON d.doc_id = e.doc_id AND d.kind = 'edited'
 JOIN trees n ON n.doc_id = e.doc_id AND n.kind = 'next'
 """
