@@ -61,5 +61,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs removed.
+
+    Spark's cleaner drops them once the driver's JVM has collected the plans that made them, which
+    a driver with memory to spare may put off until the disks are full.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
