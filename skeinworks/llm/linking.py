@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.runtime import materialize
+from skeinworks.runtime import materialize, release
 
 #: Items of one bucket that a task compares at once, about; larger buckets are dealt out.
 CELL = 512
@@ -51,21 +51,42 @@ def bucket_cells(entries: DataFrame, item: list[str], cell: int = CELL) -> DataF
 
 
 def verified_links(
-    entries: DataFrame, bodies: Callable[[DataFrame], DataFrame], same: Callable[[tuple, tuple], bool], label: str, cell: int = CELL
+    entries: DataFrame,
+    bodies: Callable[[DataFrame], DataFrame],
+    same: Callable[[tuple, tuple], bool],
+    label: str,
+    cell: int = CELL,
+    prints: DataFrame | None = None,
+    near: int = 64,
 ) -> DataFrame:
     """Edges (``a``, ``b``) that connect all ids that share a ``key`` and are the ``same``.
 
     ``entries``: ``key`` and ``id``, distinct. ``bodies`` gives, for a table of ids, ``id`` and ``body``, a
-    struct; ``same`` compares two bodies, each as a tuple.
+    struct; ``same`` compares two bodies, each as a tuple. With ``prints`` (``id``, ``bits``), two ids
+    alone under a key whose bits differ in more than ``near`` places are passed over, and no body is
+    fetched for them.
 
     In each key all ids are first compared with its least one, the pivot. Those that match it are
     connected by it and need not be compared among themselves; only pairs with an id that does not
     match are. So a large group of copies costs one comparison a member, and no pair is lost. What
     remains to be compared is dealt out in cells of about ``cell`` ids on either side.
     """
-    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).where("n > 1")
+    spark = entries.sparkSession
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     inside = materialize(entries.join(buckets, "key"), f"{label}-colliding")
-    known = materialize(bodies(inside.select("id").distinct()), f"{label}-bodies")
+    release(spark)
+    if prints is not None:
+        inside = inside.join(prints, "id")
+    else:
+        inside = inside.withColumn("bits", F.lit(0).cast("long"))
+    pivots = inside.groupBy("key").agg(F.min(F.struct("id", "bits")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.bits").alias("pivot_bits"))
+    apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("pivot_bits")))
+    ends = inside.join(pivots, "key").withColumn("apart", F.when(F.col("n") == 2, apart).otherwise(0))
+    close = ends.where((F.col("apart") <= near) & ((F.col("n") > 2) | (F.col("id") != F.col("pivot"))))
+    inside = materialize(close.select("key", "id", "n", "pivot"), f"{label}-suspects")
+    ids = inside.select("id").unionByName(inside.select(F.col("pivot").alias("id"))).distinct()
+    known = materialize(bodies(ids), f"{label}-bodies")
+    release(spark)
     other = known.select(F.col("id").alias("pivot"), F.col("body").alias("pivot_body"))
 
     @F.pandas_udf("boolean")
