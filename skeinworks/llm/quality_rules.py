@@ -178,7 +178,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     labelled = materialize(with_statistics(docs.select("doc_id", "text").join(marks, "doc_id")), "rule-labelled")
     rules = learn_rules(labelled.where(~failed), **settings)
     rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("_copy"))
-    return with_statistics(rows, "_copy").where(~failed & (verdict(rules) == 0)).select("row.*")
+    # A condition over the statistics would be pushed below them, and compute them again for each
+    # use and element. A generator is not: it gives one row for each document that is kept.
+    kept = F.explode(F.when(~failed & (verdict(rules) == 0), F.array(F.lit(1))))
+    return with_statistics(rows, "_copy").select("row", kept.alias("kept")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
