@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinworks.runtime import materialize
+
 #: Labelled documents of each class to fit on, at most about; features kept, at most.
 SAMPLE = 2_000
 MAX_FEATURES = 1_500
@@ -29,7 +31,7 @@ MAX_FEATURES = 1_500
 PREFIXES = (4, 5, 6, 7)
 MIN_DOCUMENTS = 5
 #: A feature's score and share of toxic documents from which its tokens are labelled toxic.
-MIN_SCORE, MIN_SHARE = 5.0, 0.45
+MIN_SCORE, MIN_SHARE = 3.5, 0.75
 #: Labelled tokens in a training sequence; words kept in a worker's table.
 SEGMENT = 256
 KEEP = 300_000
@@ -190,21 +192,23 @@ def fit_document(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int =
     return b
 
 
-def learn(labelled: DataFrame, *, sample: int = SAMPLE, max_features: int = MAX_FEATURES) -> SpanModel:
-    """A model from ``doc_id``, ``text`` and ``toxic`` (0 or 1) of the rows to learn from.
+def learn(docs: DataFrame, marks: DataFrame, *, sample: int = SAMPLE, max_features: int = MAX_FEATURES) -> SpanModel:
+    """A model from ``docs`` (``doc_id``, ``text``) and ``marks`` (``doc_id``, ``toxic``: 0 or 1, no nulls).
 
-    About ``sample`` rows of each class, or all if fewer, chosen by a hash of the id, are fitted on;
-    their whole texts count. Without both classes: a model that scores all by the labels' share.
+    About ``sample`` marks of each class, or all if fewer, chosen by a hash of the id, are fitted on;
+    the whole texts of their documents count. They are picked before the texts are read, so the table
+    joined to them is of bounded size. Without both classes: a model that scores all by the marks'
+    share.
     """
-    counts = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     good, bad = counts.get(0, 0), counts.get(1, 0)
     if not good or not bad:
         share = (bad + 0.5) / (good + bad + 1)
         return SpanModel(document=np.array([np.log(share / (1 - share)), 0.0, 0.0]))
     rate = {0: min(1.0, sample / good), 1: min(1.0, sample / bad)}
     place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    chosen = labelled.where(place < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
-    rows = chosen.select("text", "toxic").toPandas()
+    chosen = marks.where(place < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0])).select("doc_id", "toxic")
+    rows = docs.select("doc_id", "text").join(materialize(chosen, "toxic-sample"), "doc_id").select("text", "toxic").toPandas()
     texts, toxic = [tokens(t) for t in rows["text"]], [bool(y) for y in rows["toxic"]]
     seen = (Counter(), Counter())
     for words, y in zip(texts, toxic, strict=True):
@@ -217,7 +221,7 @@ def learn(labelled: DataFrame, *, sample: int = SAMPLE, max_features: int = MAX_
             odds = np.log((a + 0.5) / (n[1] - a + 0.5)) - np.log((c + 0.5) / (n[0] - c + 0.5))
             score = odds / np.sqrt(1 / (a + 0.5) + 1 / (c + 0.5) + 1 / (n[1] - a + 0.5) + 1 / (n[0] - c + 0.5))
             # The share among documents of the sample, in which the classes weigh alike.
-            if score > MIN_SCORE / 2:
+            if score > 2.5:
                 scored[f] = (float(score), (a / n[1]) / (a / n[1] + c / n[0]))
     best = sorted(scored, key=lambda f: (-scored[f][0], f))[:max_features]
     model = fit_field(texts, toxic, {f: scored[f] for f in best})
@@ -281,7 +285,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     docs, kept = read("documents"), held_out(5, 0)
     marks = read("labels").where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "toxic")
-    model = learn(docs.select("doc_id", "text").where(~kept).join(marks, "doc_id"))
+    model = learn(docs, marks.where(~kept))
     return score_documents(docs, model).select(
         "doc_id", kept.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic_tokens", "spans"
     )
