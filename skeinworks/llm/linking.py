@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from itertools import combinations
 
@@ -31,6 +32,18 @@ def pigeonhole_keys(bits: Column, blocks: int, intact: int, width: int = 64) ->
     return F.array(*keys)
 
 
+def tuned_blocks(n: int, differing: int, least: int, width: int = 64) -> int:
+    """Blocks into which to cut ``n`` distinct fingerprints, ``least`` or more.
+
+    The intact ones hold so many bits that a fingerprint meets 1/16 of another one by chance under a
+    key, whatever ``n`` is; pairs within ``differing`` bits meet with any number.
+    """
+    blocks = least
+    while width * (blocks - differing) / blocks < math.log2(max(n, 1)) + 4 and blocks < width:
+        blocks += 1
+    return blocks
+
+
 def bucket_cells(entries: DataFrame, item: list[str], cell: int = CELL) -> DataFrame:
     """Lists of the items that share a ``key``, so that any two of them are together in some list.
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.llm.linking import CELL, bucket_cells, connected_components, pigeonhole_keys
+from skeinworks.llm.linking import CELL, bucket_cells, connected_components, pigeonhole_keys, tuned_blocks
 from skeinworks.runtime import materialize
 
 SHINGLE = 3
@@ -114,10 +114,10 @@ def bit_sliced_forest(values: np.ndarray, radius: int = RADIUS) -> list[tuple[in
 def fingerprint_edges(nodes: DataFrame, *, radius: int = RADIUS, blocks: int | None = None, cell: int = CELL) -> DataFrame:
     """Edges (``a``, ``b``) that connect the ids of all fingerprints within ``radius`` of each other.
 
-    ``nodes``: ``bits``, distinct, and ``id``. With ``blocks`` blocks (``radius`` + 2 unless given), any
-    two such fingerprints share all but ``radius`` of them.
+    ``nodes``: ``bits``, distinct, and ``id``. Any two such fingerprints share all but ``radius`` of
+    ``blocks`` blocks: ``radius`` + 2 unless given, and more where there are more fingerprints.
     """
-    blocks = blocks or radius + 2
+    blocks = blocks or tuned_blocks(nodes.count(), radius, radius + 2)
     keys = nodes.select(F.explode(pigeonhole_keys(F.col("bits"), blocks, blocks - radius)).alias("key"), "bits", "id")
 
     @F.pandas_udf("array<struct<a:long,b:long>>")

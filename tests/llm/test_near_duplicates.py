@@ -37,6 +37,13 @@ def test_components(spark, seed):
     assert linking.connected_components(df.limit(0)).count() == 0
 
 
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [linking.tuned_blocks(n, 2, 4) for n in (0, 10**6, 5 * 10**10)] == [4, 4, 6]
+    for n in (10**5, 10**8, 10**11):
+        b = linking.tuned_blocks(n, 3, 5)
+        assert 2 ** (64 * (b - 3) / b) >= 16 * n
+
+
 def test_cells_lose_no_pair(spark):
     df = spark.createDataFrame([(k % 3, k) for k in range(60)] + [(9, 1)], "key long, id long")
     pairs = set()
