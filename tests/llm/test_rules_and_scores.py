@@ -134,4 +134,5 @@ def test_toxicity_of_awkward_rows(spark, awkward, nothing):
     assert len(out) == awkward.count() and all(0 < r["score"] < 0.5 and r["spans"] == [] for r in out)
     assert toxicity.score_documents(nothing, model).count() == 0
     assert toxicity.learn(nothing, nothing.select("doc_id", F.lit(0).alias("toxic"))).document_scores([np.zeros(0)])[0] == pytest.approx(0.5)
-    assert toxicity.toxic_spans("İİ bad", np.array([False, True])) in ([{"start": 3, "end": 6}], [{"start": 2, "end": 6}])
+    # In lower case each of these letters is two characters, the second no letter.
+    assert toxicity.toxic_spans("İİ bad", np.array([False, False, True])) == [{"start": 3, "end": 6}]
