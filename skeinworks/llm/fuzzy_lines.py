@@ -1,9 +1,9 @@
 """Fuzzy line deduplication: SimHash of normalised lines, pigeonhole join, edit similarity, groups.
 
-Lines are equal if their normal forms are; only distinct forms are compared. Their fingerprints
-meet under pigeonhole keys; the text of those that do is fetched, and pairs whose fingerprints are
-near are verified by edit similarity. Of each connected group the first occurrence, by document
-and place, stays.
+Lines are equal if their normal forms are; only distinct forms are compared. They meet under the
+pigeonhole keys of their fingerprints, under MinHash bands of their character n-grams, and short
+ones under their words but one; the text of all that meet is fetched, and every pair is verified by
+edit similarity. Of each connected group the first occurrence, by document and place, stays.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks.llm.linking import CELL, connected_components, pigeonhole_keys, tuned_blocks, verified_links
+from skeinworks.llm.passages import runs
 from skeinworks.llm.simhash import ROWS
 from skeinworks.llm.text import let
 from skeinworks.runtime import materialize
@@ -26,8 +27,15 @@ from skeinworks.runtime import materialize
 MIN_WORDS = 3
 SIMILARITY = 0.8
 #: Fingerprints within ``SURE`` bits always meet: of ``BLOCKS`` blocks, or more where there are more
-#: lines, all but ``SURE`` stay intact. Of those that meet, pairs within ``NEAR`` bits are verified.
-BLOCKS, SURE, NEAR = 5, 3, 10
+#: lines, all but ``SURE`` stay intact. Others meet in a band, which has ``MINIMA`` minima.
+BLOCKS, SURE, BANDS, MINIMA = 5, 3, 40, 4
+#: Lines of at most ``SHORT`` characters have bands of n-grams of the first size; those that a line of
+#: more may be similar to, and longer ones, of the second.
+SHORT, GRAMS = 60, (3, 5)
+#: Lines of at most so many words meet all that differ in one word.
+FEW = 12
+
+_ODD = np.random.default_rng(4).integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _DIGIT = re.compile(r"\d")
 
@@ -63,6 +71,44 @@ def line_fingerprints(lines: list[str]) -> np.ndarray:
     return out
 
 
+def line_bands(lines: list[str], size: int) -> np.ndarray:
+    """``BANDS`` keys of 32 bits of each line's character n-grams, each of ``MINIMA`` minima."""
+    if not lines:
+        return np.zeros((0, BANDS), np.int32)
+    codes = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for x in lines]
+    grams = [runs(c, min(size, len(c))) for c in codes]
+    counts = np.fromiter(map(len, grams), np.int64, len(grams))
+    flat, at = np.concatenate(grams), np.cumsum(counts) - counts
+    out = np.zeros((len(lines), BANDS), np.uint64)
+    for k in range(BANDS * MINIMA):
+        least = np.minimum.reduceat(flat * _ODD[k], at)
+        mixed = (out[:, k // MINIMA] ^ least) * np.uint64(0x9E3779B97F4A7C15)
+        out[:, k // MINIMA] = mixed ^ (mixed >> np.uint64(31))
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def but_one(line: str) -> list[int]:
+    """Hashes of the line and of all but one of its words, such that lines of at most ``FEW`` words
+    that differ in one word, or by one word, have one in common; none for longer lines."""
+    words = line.split(" ")
+    if len(words) > FEW + 1:
+        return []
+    kept = {line, *(" ".join(words[:k] + words[k + 1 :]) for k in range(len(words)))}
+    return sorted(line_hash(x) - (1 << 63) for x in kept)
+
+
+def meeting_keys(lines: list[str]) -> list[list[int]]:
+    """Keys of each line beside those of its fingerprint: numbers of 64 bits."""
+    out = [but_one(x) for x in lines]
+    for size, chosen in zip(GRAMS, ([k for k, x in enumerate(lines) if len(x) <= SHORT], [k for k, x in enumerate(lines) if len(x) >= SIMILARITY * SHORT]), strict=True):
+        found = line_bands([lines[k] for k in chosen], size).astype(np.int64)
+        # The size and the band above, the minima below.
+        found = (found & 0xFFFFFFFF) + ((size * BANDS + np.arange(BANDS)) << 32)
+        for k, keys in zip(chosen, found.tolist(), strict=True):
+            out[k] += keys
+    return out
+
+
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance, bit-parallel: a column of the table is a pair of bit vectors."""
     start = 0
@@ -96,7 +142,8 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
 
 
 def all_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id``, ``line`` (place from 0), ``h`` and ``bits`` of every line of ``min_words`` or more."""
+    """``doc_id``, ``line`` (place from 0), ``h``, ``bits`` and ``meets`` (keys) of every line of
+    ``min_words`` or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -104,18 +151,19 @@ def all_lines(docs: DataFrame, min_words: int) -> DataFrame:
                 rows = [(d, k, x) for d, t in zip(part["doc_id"], part["text"], strict=True) for k, x in enumerate(normal_lines(t)) if x.count(" ") >= min_words - 1 and x]
                 doc, place, lines = zip(*rows, strict=True) if rows else ((), (), ())
                 hashes = np.fromiter(map(line_hash, lines), np.uint64, len(lines))
-                yield pd.DataFrame({"doc_id": pd.Series(doc, dtype=part["doc_id"].dtype), "line": np.array(place, np.int32), "h": hashes.view(np.int64), "bits": line_fingerprints(list(lines)).view(np.int64)})
+                yield pd.DataFrame({"doc_id": pd.Series(doc, dtype=part["doc_id"].dtype), "line": np.array(place, np.int32), "h": hashes.view(np.int64), "bits": line_fingerprints(list(lines)).view(np.int64), "meets": pd.Series(meeting_keys(list(lines)), dtype=object)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, line int, h long, bits long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, line int, h long, bits long, meets array<long>")
 
 
 def similar_line_edges(docs: DataFrame, forms: DataFrame, least: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """Edges (``a``, ``b``) that connect the hashes of similar lines.
 
-    ``forms``: ``h``, ``bits`` and ``first`` (struct of doc_id and line) of every distinct line.
+    ``forms``: ``h``, ``bits``, ``meets`` and ``first`` (struct of doc_id and line) of every distinct line.
     """
     blocks = tuned_blocks(forms.count(), SURE, BLOCKS)
-    keys = forms.select(F.explode(pigeonhole_keys(F.col("bits"), blocks, blocks - SURE)).alias("key"), F.col("h").alias("id"))
+    both = F.array_distinct(F.concat(pigeonhole_keys(F.col("bits"), blocks, blocks - SURE), "meets"))
+    keys = forms.select(F.explode(both).alias("key"), F.col("h").alias("id"))
 
     @F.pandas_udf("array<struct<h:long,form:string>>")
     def fetch(text: pd.Series, places: pd.Series) -> pd.Series:
@@ -131,13 +179,9 @@ def similar_line_edges(docs: DataFrame, forms: DataFrame, least: float = SIMILAR
         wanted = found.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line", "h")).alias("places"))
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
         lines = texts.select(F.explode(fetch("text", "places")).alias("x")).select("x.h", "x.form").groupBy("h").agg(F.first("form").alias("form"))
-        return lines.join(found.select("h", "bits"), "h").select(F.col("h").alias("id"), F.struct("bits", "form").alias("body"))
-
-    def same(a: tuple, b: tuple) -> bool:
-        return (int(a[0]) ^ int(b[0])).bit_count() <= NEAR and similar(a[1], b[1], least)
+        return lines.select(F.col("h").alias("id"), F.struct("form").alias("body"))
 
-    prints = forms.select(F.col("h").alias("id"), "bits")
-    return verified_links(keys, bodies, same, "lines", cell, prints, NEAR)
+    return verified_links(keys, bodies, lambda a, b: similar(a[0], b[0], least), "lines", cell)
 
 
 def repeated_lines(docs: DataFrame, *, least: float = SIMILARITY, min_words: int = MIN_WORDS, cell: int = CELL) -> DataFrame:
@@ -145,7 +189,7 @@ def repeated_lines(docs: DataFrame, *, least: float = SIMILARITY, min_words: int
     where the first occurrences stay) of every document that loses a line."""
     lines = materialize(all_lines(docs, min_words), "lines")
     place = F.struct("doc_id", "line")
-    forms = lines.groupBy("h").agg(F.first("bits").alias("bits"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    forms = lines.groupBy("h").agg(F.first("bits").alias("bits"), F.first("meets").alias("meets"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     forms = materialize(forms, "line-forms")
     groups = materialize(connected_components(similar_line_edges(docs, forms, least, cell)), "line-components")
     known = forms.join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("g", F.coalesce("component", "h"))

@@ -171,6 +171,35 @@ def test_lines_match_brute_force(spark):
         assert by_id.get(d) == ("\n".join(rest) if any(x.strip() for x in rest) else None)
 
 
+def test_similar_lines_of_all_lengths_are_linked(spark):
+    rng = random.Random(12)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    some = lambda n: ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5))) for _ in range(n)]
+    lines = []
+    for n in [k for k in (3, 4, 5, 8, 12, 20, 35, 50) for _ in range(25)]:
+        base = some(n)
+        one, several = list(base), list(base)
+        one[rng.randrange(n)] = some(1)[0]
+        for k in rng.sample(range(n), max(1, n // 6)):
+            several[k] = some(1)[0]
+        typed = list(" ".join(base))
+        for k in rng.sample(range(len(typed)), max(1, len(typed) // 25)):
+            typed[k] = rng.choice("aeiou")
+        lines += [" ".join(base), " ".join(one), " ".join(several), "".join(typed)]
+    forms = sorted({x for t in lines for x in fuzzy_lines.normal_lines(t) if len(x.split()) >= 3})
+    pairs = [(a, b) for a in forms for b in forms if a < b and fuzzy_lines.similar(a, b)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    at = fuzzy_lines.all_lines(df, 3).groupBy("h").agg(F.first("bits").alias("bits"), F.first("meets").alias("meets"), F.min(F.struct("doc_id", "line")).alias("first"))
+    edges = [tuple(r) for r in fuzzy_lines.similar_line_edges(df, at).collect()]
+    name = {x: fuzzy_lines.line_hash(x) - (fuzzy_lines.line_hash(x) >> 63 << 64) for x in forms}
+    group = least_reached(edges, name.values())
+    together = [group[name[a]] == group[name[b]] for a, b in pairs]
+    apart = lambda a, b: len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    few = [t for (a, b), t in zip(pairs, together, strict=True) if len(a.split()) <= fuzzy_lines.FEW and apart(a.split(), b.split())]
+    assert len(pairs) > 300 and len(few) > 100 and all(few)
+    assert sum(together) >= 0.97 * len(pairs)
+
+
 def test_awkward_lines(awkward, nothing):
     left = fuzzy_lines.dedup_lines(awkward)
     assert left.columns == awkward.columns
