@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.llm.linking import CELL, connected_components, pigeonhole_keys, tuned_blocks, verified_links
+from skeinworks.llm.linking import CELL, connected_components, pigeonhole_keys, verified_links
 from skeinworks.llm.passages import runs
 from skeinworks.llm.simhash import ROWS
 from skeinworks.llm.text import let
@@ -26,8 +26,9 @@ from skeinworks.runtime import materialize
 #: Lines of fewer words are left alone.
 MIN_WORDS = 3
 SIMILARITY = 0.8
-#: Fingerprints within ``SURE`` bits always meet: of ``BLOCKS`` blocks, or more where there are more
-#: lines, all but ``SURE`` stay intact. Others meet in a band, which has ``MINIMA`` minima.
+#: Fingerprints within ``SURE`` bits always meet: of ``BLOCKS`` blocks all but ``SURE`` stay
+#: intact. Their number is fixed, so that a link does not hang on how many other lines there are. Others
+#: meet in a band, which has ``MINIMA`` minima.
 BLOCKS, SURE, BANDS, MINIMA = 5, 3, 40, 4
 #: Lines of at most ``SHORT`` characters have bands of n-grams of the first size; those that a line of
 #: more may be similar to, and longer ones, of the second.
@@ -161,8 +162,7 @@ def similar_line_edges(docs: DataFrame, forms: DataFrame, least: float = SIMILAR
 
     ``forms``: ``h``, ``bits``, ``meets`` and ``first`` (struct of doc_id and line) of every distinct line.
     """
-    blocks = tuned_blocks(forms.count(), SURE, BLOCKS)
-    both = F.array_distinct(F.concat(pigeonhole_keys(F.col("bits"), blocks, blocks - SURE), "meets"))
+    both = F.array_distinct(F.concat(pigeonhole_keys(F.col("bits"), BLOCKS, BLOCKS - SURE), "meets"))
     keys = forms.select(F.explode(both).alias("key"), F.col("h").alias("id"))
 
     @F.pandas_udf("array<struct<h:long,form:string>>")

@@ -200,6 +200,18 @@ def test_similar_lines_of_all_lengths_are_linked(spark):
     assert sum(together) >= 0.97 * len(pairs)
 
 
+def test_keys_of_lines_do_not_depend_on_their_number(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "some words of one line")], "doc_id long, text string")
+    forms = fuzzy_lines.all_lines(df, 3).select("h", "bits", "meets", F.struct("doc_id", "line").alias("first"))
+    count, keys = type(forms).count, []
+    monkeypatch.setattr(fuzzy_lines, "verified_links", lambda entries, *_: keys.append({r["key"] for r in entries.collect()}))
+    for n in (1, 10**7, 10**9):
+        monkeypatch.setattr(type(forms), "count", lambda _, n=n: n)
+        fuzzy_lines.similar_line_edges(df, forms)
+    monkeypatch.setattr(type(forms), "count", count)
+    assert keys[0] == keys[1] == keys[2]
+
+
 def test_awkward_lines(awkward, nothing):
     left = fuzzy_lines.dedup_lines(awkward)
     assert left.columns == awkward.columns
