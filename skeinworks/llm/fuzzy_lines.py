@@ -144,7 +144,7 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
 
 def all_lines(docs: DataFrame, min_words: int) -> DataFrame:
     """``doc_id``, ``line`` (place from 0), ``h``, ``bits`` and ``meets`` (keys) of every line of
-    ``min_words`` or more."""
+    ``min_words`` or more; ``form``, the line, where there is no doc_id to find it by."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -152,15 +152,16 @@ def all_lines(docs: DataFrame, min_words: int) -> DataFrame:
                 rows = [(d, k, x) for d, t in zip(part["doc_id"], part["text"], strict=True) for k, x in enumerate(normal_lines(t)) if x.count(" ") >= min_words - 1 and x]
                 doc, place, lines = zip(*rows, strict=True) if rows else ((), (), ())
                 hashes = np.fromiter(map(line_hash, lines), np.uint64, len(lines))
-                yield pd.DataFrame({"doc_id": pd.Series(doc, dtype=part["doc_id"].dtype), "line": np.array(place, np.int32), "h": hashes.view(np.int64), "bits": line_fingerprints(list(lines)).view(np.int64), "meets": pd.Series(meeting_keys(list(lines)), dtype=object)})
+                yield pd.DataFrame({"doc_id": pd.Series(doc, dtype=part["doc_id"].dtype), "line": np.array(place, np.int32), "h": hashes.view(np.int64), "bits": line_fingerprints(list(lines)).view(np.int64), "meets": pd.Series(meeting_keys(list(lines)), dtype=object), "form": pd.Series([x if pd.isna(d) else None for d, x in zip(doc, lines, strict=True)], dtype=object)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, line int, h long, bits long, meets array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, line int, h long, bits long, meets array<long>, form string")
 
 
 def similar_line_edges(docs: DataFrame, forms: DataFrame, least: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """Edges (``a``, ``b``) that connect the hashes of similar lines.
 
-    ``forms``: ``h``, ``bits``, ``meets`` and ``first`` (struct of doc_id and line) of every distinct line.
+    ``forms``: ``h``, ``bits``, ``meets`` and ``at`` (struct of doc_id and line, the least with a doc_id) or
+    ``form`` of every distinct line.
     """
     both = F.array_distinct(F.concat(pigeonhole_keys(F.col("bits"), BLOCKS, BLOCKS - SURE), "meets"))
     keys = forms.select(F.explode(both).alias("key"), F.col("h").alias("id"))
@@ -176,20 +177,34 @@ def similar_line_edges(docs: DataFrame, forms: DataFrame, least: float = SIMILAR
 
     def bodies(ids: DataFrame) -> DataFrame:
         found = forms.join(ids.withColumnRenamed("id", "h"), "h")
-        wanted = found.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line", "h")).alias("places"))
+        wanted = found.where("form IS NULL").groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line", "h")).alias("places"))
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
         lines = texts.select(F.explode(fetch("text", "places")).alias("x")).select("x.h", "x.form").groupBy("h").agg(F.first("form").alias("form"))
+        lines = lines.unionByName(found.where("form IS NOT NULL").select("h", "form"))
         return lines.select(F.col("h").alias("id"), F.struct("form").alias("body"))
 
     return verified_links(keys, bodies, lambda a, b: similar(a[0], b[0], least), "lines", cell)
 
 
+def distinct_forms(lines: DataFrame) -> DataFrame:
+    """One row for each ``h`` of ``all_lines``: its keys, ``first`` place, ``n`` and where its text is."""
+    place = F.struct("doc_id", "line")
+    return lines.groupBy("h").agg(
+        F.first("bits").alias("bits"),
+        F.first("meets").alias("meets"),
+        F.max("form").alias("form"),
+        F.min(F.when(F.col("doc_id").isNotNull(), place)).alias("at"),
+        F.min(place).alias("first"),
+        F.count(F.lit(1)).alias("n"),
+    )
+
+
 def repeated_lines(docs: DataFrame, *, least: float = SIMILARITY, min_words: int = MIN_WORDS, cell: int = CELL) -> DataFrame:
     """``doc_id``, ``removed`` (places of lines, sorted) and ``keepers`` (sorted ids of the documents
     where the first occurrences stay) of every document that loses a line."""
     lines = materialize(all_lines(docs, min_words), "lines")
     place = F.struct("doc_id", "line")
-    forms = lines.groupBy("h").agg(F.first("bits").alias("bits"), F.first("meets").alias("meets"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    forms = distinct_forms(lines)
     forms = materialize(forms, "line-forms")
     groups = materialize(connected_components(similar_line_edges(docs, forms, least, cell)), "line-components")
     known = forms.join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("g", F.coalesce("component", "h"))

@@ -189,8 +189,8 @@ def test_similar_lines_of_all_lengths_are_linked(spark):
     forms = sorted({x for t in lines for x in fuzzy_lines.normal_lines(t) if len(x.split()) >= 3})
     pairs = [(a, b) for a in forms for b in forms if a < b and fuzzy_lines.similar(a, b)]
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    at = fuzzy_lines.all_lines(df, 3).groupBy("h").agg(F.first("bits").alias("bits"), F.first("meets").alias("meets"), F.min(F.struct("doc_id", "line")).alias("first"))
-    edges = [tuple(r) for r in fuzzy_lines.similar_line_edges(df, at).collect()]
+    forms_of = fuzzy_lines.distinct_forms(fuzzy_lines.all_lines(df, 3))
+    edges = [tuple(r) for r in fuzzy_lines.similar_line_edges(df, forms_of).collect()]
     name = {x: fuzzy_lines.line_hash(x) - (fuzzy_lines.line_hash(x) >> 63 << 64) for x in forms}
     group = least_reached(edges, name.values())
     together = [group[name[a]] == group[name[b]] for a, b in pairs]
@@ -202,7 +202,7 @@ def test_similar_lines_of_all_lengths_are_linked(spark):
 
 def test_keys_of_lines_do_not_depend_on_their_number(spark, monkeypatch):
     df = spark.createDataFrame([(1, "some words of one line")], "doc_id long, text string")
-    forms = fuzzy_lines.all_lines(df, 3).select("h", "bits", "meets", F.struct("doc_id", "line").alias("first"))
+    forms = fuzzy_lines.distinct_forms(fuzzy_lines.all_lines(df, 3))
     count, keys = type(forms).count, []
     monkeypatch.setattr(fuzzy_lines, "verified_links", lambda entries, *_: keys.append({r["key"] for r in entries.collect()}))
     for n in (1, 10**7, 10**9):
@@ -212,6 +212,13 @@ def test_keys_of_lines_do_not_depend_on_their_number(spark, monkeypatch):
     assert keys[0] == keys[1] == keys[2]
 
 
+def test_lines_of_rows_without_id_are_compared(spark):
+    line = "these are the several words of one rather long line"
+    rows = [(None, line), (None, "a line that only rows without an id do hold"), (3, line), (4, line + "s"), (5, "a line that only rows without an id did hold"), (6, "nothing like the others")]
+    left = fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == sorted((str(d), t) for d, t in [*rows[:2], rows[5]])
+
+
 def test_awkward_lines(awkward, nothing):
     left = fuzzy_lines.dedup_lines(awkward)
     assert left.columns == awkward.columns
