@@ -1,10 +1,11 @@
 """Repeated passages: MinHash banding of paragraphs, exact Jaccard similarity, and removal.
 
-A document gives two kinds of units. Paragraphs are its lines of enough words. Windows are runs of
-as many words that start at places the text itself picks (where a word shingle's hash is least
-among its neighbours'), whatever the lines are; so a passage that stands inside other text gives
-the same windows wherever it stands. Units with the same words are one form. Paragraphs whose
-shingle sets are alike meet in a MinHash band, are compared exactly, and connected ones are a group.
+A document gives two kinds of units. Paragraphs are its lines of enough words, and runs of shorter
+lines that together have as many. Windows are all runs of ``WORDS`` words that occur again, wherever
+they stand. To find them, seeds of fewer words are taken at places the text itself picks, such that
+every window holds one (winnowing); where a seed occurs again, all windows around it are compared.
+Units with the same words are one form. Paragraphs whose shingle sets are alike meet in a MinHash
+band, are compared exactly, and connected ones are a group.
 Of each group the first occurrence stays, and the rest are cut.
 """
 
@@ -27,8 +28,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Words of a window, and of the shortest paragraph that counts.
 WORDS = 20
-#: A window starts where a shingle's hash is least among so many on either side.
-REACH = 5
+#: Words of a seed; every window holds the one whose hash is least in it.
+SEED = 10
 #: Minima that are equal in a band, and the share of similar pairs that must meet in some band.
 ROWS, RECALL = 3, 0.999
 
@@ -61,31 +62,42 @@ def runs(hashes: np.ndarray, n: int) -> np.ndarray:
     return _mixed(out)
 
 
-def anchors(shingles: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Places whose shingle hash is below all of the ``reach`` before and none of those after."""
-    n = len(shingles)
-    if n < 2 * reach + 1:
+def anchors(seeds: np.ndarray, window: int = WORDS - SEED + 1) -> np.ndarray:
+    """Places of the least hash, the last if there are several, of each ``window`` in a row."""
+    if len(seeds) < window:
         return np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(shingles, 2 * reach + 1)
-    middle = view[:, reach]
-    least = (middle < view[:, :reach].min(axis=1)) & (middle <= view[:, reach + 1 :].min(axis=1))
-    return np.flatnonzero(least) + reach
+    view = np.lib.stride_tricks.sliding_window_view(seeds[::-1], window)
+    return np.unique(len(seeds) - 1 - np.arange(len(view)) - view.argmin(axis=1))
+
+
+def paragraphs(lengths: list[int], words: int = WORDS) -> list[tuple[int, int]]:
+    """Start and length, in words, of the lines of ``words`` or more, and of the runs of shorter
+    lines between those and empty ones that have so many together."""
+    out, start, short = [], 0, 0
+    for n in [*lengths, 0]:
+        if n == 0 or n >= words:
+            if short >= words:
+                out.append((start - short, short))
+            if n:
+                out.append((start, n))
+            short = 0
+        else:
+            short += n
+        start += n
+    return out
 
 
 def units(text: str | None, shingle: int = SHINGLE, words: int = WORDS) -> list[tuple[int, int, int, np.ndarray | None]]:
-    """Start (in words), length, hash, and for paragraphs the shingle hashes, of a text's units."""
+    """Start (in words), length, hash, and for paragraphs the shingle hashes, of a text's paragraphs and seeds."""
     lines = [_SPACED.findall(x) for x in (text or "").lower().split("\n")]
     hashes = word_hashes([w for x in lines for w in x])
-    small, out, start = runs(hashes, shingle), [], 0
-    for x in lines:
-        if len(x) >= words:
-            own = hashes[start : start + len(x)]
-            out.append((start, len(x), xxhash.xxh64_intdigest(own.tobytes()), small[start : start + len(x) - shingle + 1]))
-        start += len(x)
-    large = runs(hashes, words)
-    places = anchors(small)
-    places = places[places < len(large)]
-    out += [(a, words, h, None) for a, h in zip(places.tolist(), large[places].tolist(), strict=True)]
+    small, out = runs(hashes, shingle), []
+    for start, n in paragraphs([len(x) for x in lines], words):
+        own = hashes[start : start + n]
+        out.append((start, n, xxhash.xxh64_intdigest(own.tobytes()), small[start : start + n - shingle + 1]))
+    seeds = runs(hashes, SEED)
+    places = anchors(seeds)
+    out += [(a, SEED, h, None) for a, h in zip(places.tolist(), seeds[places].tolist(), strict=True)]
     return out
 
 
@@ -162,15 +174,40 @@ def paragraph_edges(docs: DataFrame, forms: DataFrame, least: float = SIMILARITY
     return verified_links(keys, bodies, lambda a, b: alike(a, b, least), "passages", cell)
 
 
+def repeated_windows(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``doc_id``, ``start``, ``n`` and ``h`` of all windows that hold a seed which occurs again.
+
+    Two windows of the same words hold the same least seed, so all windows that occur again are among
+    them. ``seeds``: the units of ``docs`` without bands.
+    """
+    again = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
+    places = seeds.join(again, "h").groupBy("doc_id").agg(F.collect_set("start").alias("places"))
+
+    @F.pandas_udf("array<struct<start:int,h:long>>")
+    def around(text: pd.Series, places: pd.Series) -> pd.Series:
+        out = []
+        for t, wanted in zip(text, places, strict=True):
+            large = runs(word_hashes(_SPACED.findall((t or "").lower())), WORDS)
+            near = (np.asarray(wanted, np.int64)[:, None] - np.arange(WORDS - SEED + 1)).ravel()
+            near = np.unique(near[(near >= 0) & (near < len(large))])
+            out.append([{"start": a, "h": h} for a, h in zip(near.tolist(), large[near].view(np.int64).tolist(), strict=True)])
+        return pd.Series(out)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(places, "doc_id")
+    return texts.select("doc_id", F.explode(around("text", "places")).alias("x")).select("doc_id", "x.start", F.lit(WORDS).alias("n"), "x.h")
+
+
 def repeated_passages(docs: DataFrame, *, least: float = SIMILARITY, recall: float = RECALL, cell: int = CELL) -> DataFrame:
     """``doc_id``, ``spans`` and ``keepers`` of every document that repeats a passage.
 
     ``spans``: disjoint runs of words (start, end) to cut, in order; ``keepers``: the documents where
     the first occurrences stay, sorted. A passage repeated inside its own document stays once.
     """
-    found = materialize(all_units(docs, tune_bands(least, ROWS, recall)), "units")
+    whole = materialize(all_units(docs, tune_bands(least, ROWS, recall)), "units")
     place = F.struct("doc_id", "start", "n")
-    lines = found.where("bands IS NOT NULL").groupBy("h").agg(F.first("bands").alias("bands"), F.min(place).alias("first"))
+    windows = materialize(repeated_windows(docs, whole.where("bands IS NULL").select("doc_id", "start", "h")), "windows")
+    found = whole.where("bands IS NOT NULL").select("doc_id", "start", "n", "h").unionByName(windows)
+    lines = whole.where("bands IS NOT NULL").groupBy("h").agg(F.first("bands").alias("bands"), F.min(place).alias("first"))
     groups = materialize(connected_components(paragraph_edges(docs, lines, least, cell)).withColumnRenamed("node", "h"), "passage-components")
     counted = found.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_units"))
     known = counted.join(groups, "h", "left").where("component IS NOT NULL OR n_units > 1")
@@ -198,9 +235,9 @@ def repeated_passages(docs: DataFrame, *, least: float = SIMILARITY, recall: flo
 def dedup_passages(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``; all their first occurrences stay.
 
-    A passage is a paragraph of ``WORDS`` words or more whose 5-word shingles are alike (Jaccard
-    similarity ``least`` or more, or connected by such), or a window of as many equal words. First
-    is by doc_id, then place.
+    A passage is a paragraph (a line, or a run of lines that are shorter) of ``WORDS`` words or more
+    whose 5-word shingles are alike (Jaccard similarity ``least`` or more, or connected by such), or
+    any run of as many equal words or more, which is cut whole. First is by doc_id, then place.
 
     Null or empty text: unchanged. Null doc_id: takes no part, unchanged. Repeated rows of one id:
     each loses the same spans. Very long texts: whole. No rows: no rows. All columns of ``docs`` are

@@ -270,6 +270,36 @@ def test_similar_paragraphs_meet(spark):
     assert all([tuple(s) for s in r["spans"]] == [(0, 100)] for r in found.values())
 
 
+def test_whole_passages_inside_other_text_are_cut(spark):
+    rng = random.Random(8)
+    some = lambda n, tag: [f"{tag}{rng.randrange(10**6)}" for _ in range(n)]
+    docs, expected = [], {}
+    for k, n in enumerate([20, 21, 25, 30, 35, 51, 60, 80, 100] * 4):
+        passage = some(n, "p")
+        before = rng.randrange(3, 60)
+        docs.append((2 * k, " ".join([*some(30, "a"), *passage, *some(30, "b")])))
+        docs.append((2 * k + 1, " ".join([*some(before, "c"), *passage, *some(rng.randrange(3, 60), "d")])))
+        expected[2 * k + 1] = [(before, before + n)]
+    periodic = ["one", "two", "three"] * 20
+    docs += [(900, " ".join([*some(9, "a"), *periodic, *some(9, "b")])), (901, " ".join([*some(4, "c"), *periodic, *some(5, "d")]))]
+    # In 900 the windows that overlap none of their first occurrences go too.
+    expected |= {900: [(30, 69)], 901: [(4, 64)]}
+    docs.append((902, " ".join(some(19, "e"))))
+    docs.append((903, docs[-1][1] + " and more " + " ".join(some(9, "f"))))
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == expected
+
+
+def test_runs_of_short_lines_are_paragraphs(spark):
+    assert passages.paragraphs([5, 15, 0, 19, 20, 7, 7, 7]) == [(0, 20), (39, 20), (59, 21)]
+    rng = random.Random(3)
+    lines = [" ".join(f"s{rng.randrange(9000)}" for _ in range(10)) for _ in range(8)]
+    other = [x if k % 2 else x.replace(x.split()[4], "other") for k, x in enumerate(lines)]
+    docs = [(1, "\n".join(lines)), (2, "\n".join([*lines[:4], lines[4].replace(lines[4].split()[5], "other"), *lines[5:]])), (3, "\n".join(other[:3]))]
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {2: [(0, 80)]}
+
+
 def test_bands_are_tuned():
     b = passages.tune_bands()
     assert 1 - (1 - passages.SIMILARITY**passages.ROWS) ** b >= passages.RECALL > 1 - (1 - passages.SIMILARITY**passages.ROWS) ** (b - 1)
