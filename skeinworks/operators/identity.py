@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinworks.functions.text import slug_root
+from skeinworks.runtime import materialize
+from skeinworks.schema import backfill_order
 
 
 def reuse_ids(sources: DataFrame, books: DataFrame, path: str = "source_path") -> DataFrame:
@@ -25,13 +27,43 @@ def assign_slugs(candidates: DataFrame, owned: DataFrame | None = None, *, base:
     """``candidates`` with ``slug``: the base, or the base with the first free of -2, -3, and so on.
 
     In ``order``, a slug is free if no earlier candidate has it and no row of ``owned`` (``slug`` and
-    the path) has it for another source. Slugs of different roots (without numbers at the end)
-    never meet, so each root is a group of its own; a group holds names alone.
+    the path) has it for another source.
+
+    Equal bases are numbered in ranges. Where these slugs are neither those of another base nor owned
+    they are what the order gives. Only the rows of bases that clash are gone through in order, root
+    by root (slugs of different roots, without numbers at the end, never meet).
     """
+    keys = backfill_order(candidates.select(path, base, order), "_place", [base, order, path])
+    first = keys.groupBy(F.col(base).alias("_base")).agg(F.min("_place").alias("_first"))
+    nth = F.col("_place") - F.col("_first") + 1
+    plain = F.when(nth == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), nth.cast("string")))
+    numbered = materialize(keys.join(first, F.col(base).eqNullSafe(F.col("_base"))).select(path, base, order, plain.alias("slug")), "slugs")
+    clashing = numbered.groupBy("slug").agg(F.min(base).alias("a"), F.max(base).alias("b")).where("a <> b")
+    found = numbered.join(clashing.select("slug"), "slug").select(base)
+    if owned is not None:
+        theirs = owned.select("slug", F.col(path).alias("_owner"))
+        found = found.unionByName(numbered.join(theirs, "slug").where(F.col(path) != F.col("_owner")).select(base))
+    bases = materialize(found.distinct(), "slug-bases")
+    while True:
+        easy = numbered.join(bases, base, "left_anti")
+        hard = materialize(_slugs_in_order(numbered.join(bases, base).drop("slug"), owned, base, path, order), "slugs-in-order")
+        # Slugs found in order may be those of a base that had no clash so far.
+        more = easy.join(hard.select("slug"), "slug", "left_semi").select(base).distinct()
+        if more.isEmpty():
+            break
+        bases = materialize(bases.unionByName(more), "slug-bases")
+    named = easy.select(path, "slug").unionByName(hard.select(path, "slug"))
+    return candidates.join(named, path)
+
+
+def _slugs_in_order(candidates: DataFrame, owned: DataFrame | None, base: str, path: str, order: str) -> DataFrame:
+    """``candidates`` with the slug that each has when they are gone through in order."""
     keys = candidates.select(path, base, order).withColumn("_root", slug_root(F.col(base)))
     taken = None
     if owned is not None:
+        # Only roots that have candidates; a group of owned slugs alone would be gathered for nothing.
         taken = owned.select("slug", F.col(path).alias("_owner")).withColumn("_root", slug_root(F.col("slug")))
+        taken = taken.join(keys.select("_root").distinct(), "_root", "left_semi")
 
     def assign(group: pd.DataFrame, owners: dict[str, set[str]]) -> pd.DataFrame:
         seen: set[str] = set()
@@ -58,7 +90,7 @@ def assign_slugs(candidates: DataFrame, owned: DataFrame | None = None, *, base:
         def alone(group: pd.DataFrame) -> pd.DataFrame:
             return assign(group.sort_values([order, path]).drop(columns="_root"), {})
 
-        named = keys.groupBy("_root").applyInPandas(alone, schema)
+        return keys.groupBy("_root").applyInPandas(alone, schema)
     else:
         def beside(group: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
             owners: dict[str, set[str]] = {}
@@ -66,8 +98,7 @@ def assign_slugs(candidates: DataFrame, owned: DataFrame | None = None, *, base:
                 owners.setdefault(slug, set()).add(source)
             return assign(group.sort_values([order, path]).drop(columns="_root"), owners)
 
-        named = keys.groupBy("_root").cogroup(taken.groupBy("_root")).applyInPandas(beside, schema)
-    return candidates.join(named.select(path, "slug"), path)
+        return keys.groupBy("_root").cogroup(taken.groupBy("_root")).applyInPandas(beside, schema)
 
 
 def capability_ids(n: int) -> list[str]:

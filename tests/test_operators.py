@@ -99,6 +99,24 @@ def test_slugs_match_a_plain_loop(spark):
         assert [got[s] for _, s in items] == plain_slugs(items, owned)
 
 
+def test_a_common_slug_is_numbered_without_gathering_it(spark, monkeypatch):
+    gathered, in_order = [], identity._slugs_in_order
+
+    def watched(candidates, *rest):
+        gathered.append({r["base"] for r in candidates.collect()})
+        return in_order(candidates, *rest)
+
+    monkeypatch.setattr(identity, "_slugs_in_order", watched)
+    rng = random.Random(5)
+    # x and x-2 clash; what x then gets is x-4, which clashes in the second round.
+    items = [(b, f"/s{k}") for k, b in enumerate(["x", "x-2", "x", "x", "x-4", *["book"] * 300, "book-400", "book-x"])]
+    rng.shuffle(items)
+    df = spark.createDataFrame([(b, s, k) for k, (b, s) in enumerate(items)], "base string, source_path string, position int")
+    got = {r["source_path"]: r["slug"] for r in identity.assign_slugs(df).collect()}
+    assert [got[s] for _, s in items] == plain_slugs(items, {})
+    assert gathered[0] == {"x", "x-2"} and gathered[-1] <= {"x", "x-2", "x-4"}
+
+
 def test_tracks_by_number_or_by_name(spark):
     df = spark.createDataFrame([("a", 2, "A.mp3"), ("a", 1, "b.mp3"), ("b", 1, "Z.mp3"), ("b", 1, "a.mp3"), ("c", None, "B.mp3"), ("c", 1, "a.mp3")], "dir string, track int, name string")
     got = rows(feed.track_order(df, ["dir"], "track", "name"), "dir", "idx", "name")
