@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -53,22 +54,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage, survives the loss of executors, and gives the planner the true size of
-    the table, so that a join broadcasts it only under ``autoBroadcastJoinThreshold``.
+    the table, so that a join broadcasts it only under ``autoBroadcastJoinThreshold``. The shuffle
+    files of the job go as soon as the table is written: nothing reads them again.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "skeinworks", f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Have the shuffle files of finished jobs removed.
-
-    Spark's cleaner drops them once the driver's JVM has collected the plans that made them, which
-    a driver with memory to spare may put off until the disks are full.
-    """
-    spark.sparkContext._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
