@@ -1,9 +1,11 @@
 """Fuzzy line deduplication: SimHash of normalised lines, pigeonhole join, edit similarity, groups.
 
 Lines are equal if their normal forms are; only distinct forms are compared. They meet under the
-pigeonhole keys of their fingerprints, under MinHash bands of their character n-grams, and short
-ones under their words but one; the text of all that meet is fetched, and every pair is verified by
-edit similarity. Of each connected group the first occurrence, by document and place, stays.
+pigeonhole keys of their fingerprints, and, because edits that edit similarity allows move more bits than any
+pigeonhole of 64 bits covers, also under MinHash bands of their longer words, short ones under
+bands of character n-grams and under their words but one. The text of all that meet is fetched, and
+every pair is verified by edit similarity. Of each connected group the first occurrence, by document and
+place, stays.
 """
 
 from __future__ import annotations
@@ -18,25 +20,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks.llm.linking import CELL, connected_components, pigeonhole_keys, verified_links
-from skeinworks.llm.passages import runs
-from skeinworks.llm.simhash import ROWS
-from skeinworks.llm.text import let
+from skeinworks.llm.text import boxed, let
 from skeinworks.runtime import materialize
 
 #: Lines of fewer words are left alone.
 MIN_WORDS = 3
 SIMILARITY = 0.8
-#: Fingerprints within ``SURE`` bits always meet: of ``BLOCKS`` blocks all but ``SURE`` stay
-#: intact. Their number is fixed, so that a link does not hang on how many other lines there are. Others
-#: meet in a band, which has ``MINIMA`` minima.
-BLOCKS, SURE, BANDS, MINIMA = 5, 3, 40, 4
-#: Lines of at most ``SHORT`` characters have bands of n-grams of the first size; those that a line of
-#: more may be similar to, and longer ones, of the second.
-SHORT, GRAMS = 60, (3, 5)
+#: Fingerprints within ``SURE`` bits always meet: of ``BLOCKS`` blocks all but ``SURE`` stay intact.
+BLOCKS, SURE = 4, 2
+#: Two lines of ``MANY`` words or more whose fingerprints are further apart are not compared.
+FAR, MANY = 24, 10
+#: Lines above ``SHORT`` characters: bands, minima in each, and bytes of the words that count.
+BANDS, MINIMA, LETTERS = 20, 4, 4
+#: Lines of at most ``SHORT`` characters, and those as long as a line of more may be similar to: bands
+#: of n-grams of so many characters, with as many minima each.
+SHORT, SHORT_BANDS, GRAM = 60, 24, 3
 #: Lines of at most so many words meet all that differ in one word.
 FEW = 12
+#: Characters that are handled at once, and lines whose keys a task has given out already.
+CHARS, SEEN = 1_000_000, 1_000_000
 
-_ODD = np.random.default_rng(4).integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.random.default_rng(4).integers(0, 1 << 63, max(BANDS, SHORT_BANDS) * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _DIGIT = re.compile(r"\d")
 
@@ -50,68 +55,119 @@ def line_hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
 
 
-def line_fingerprints(lines: list[str]) -> np.ndarray:
-    """The SimHash of each line's distinct words; no line is empty.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def hashed_words(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each word of all lines in order, its bytes, and how many words each line has.
+
+    No line is empty; single spaces part its words. A word's hash is a polynomial of its bytes.
+    """
+    raw = np.frombuffer(("\n".join(lines) + "\n").encode("utf-8", "surrogatepass"), np.uint8)
+    ends = np.flatnonzero((raw == 32) | (raw == 10))
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    size = ends - starts
+    powers = np.full(int(size.max()) + 1, _STEP, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    values = raw.astype(np.uint64)
+    values[ends] = 0
+    values *= powers[np.arange(len(raw)) - np.repeat(starts, size + 1)]
+    counts = np.diff(np.flatnonzero(raw[ends] == 10), prepend=-1)
+    return _mixed(np.add.reduceat(values, starts) + size.astype(np.uint64)), size, counts
+
+
+def fingerprints_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The SimHash of each line's distinct words.
 
     Each word has one vote, so that one that comes again and again, such as a table's rule, does
     not decide the fingerprint alone.
     """
-    words = [set(x.encode("utf-8", "surrogatepass").split()) for x in lines]
-    counts = np.fromiter(map(len, words), np.int64, len(words))
-    out, k = np.zeros(len(words), np.uint64), 0
-    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    while k < len(words):
-        # As many lines as have about ROWS words; a longer one comes alone.
-        end = max(k + 1, k + int(np.searchsorted(np.cumsum(counts[k : k + ROWS]), ROWS)))
-        n = counts[k:end]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for x in words[k:end] for w in x), np.uint64, int(n.sum()))
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
-        out[k:end] = ((2 * ones > n[:, None]) * weights).sum(axis=1, dtype=np.uint64)
-        k = end
-    return out
-
-
-def line_bands(lines: list[str], size: int) -> np.ndarray:
-    """``BANDS`` keys of 32 bits of each line's character n-grams, each of ``MINIMA`` minima."""
-    if not lines:
-        return np.zeros((0, BANDS), np.int32)
-    codes = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for x in lines]
-    grams = [runs(c, min(size, len(c))) for c in codes]
-    counts = np.fromiter(map(len, grams), np.int64, len(grams))
-    flat, at = np.concatenate(grams), np.cumsum(counts) - counts
-    out = np.zeros((len(lines), BANDS), np.uint64)
-    for k in range(BANDS * MINIMA):
-        least = np.minimum.reduceat(flat * _ODD[k], at)
-        mixed = (out[:, k // MINIMA] ^ least) * np.uint64(0x9E3779B97F4A7C15)
+    line = np.repeat(np.arange(len(counts)), counts)
+    first = np.sort(np.unique(hashes ^ _mixed(line.astype(np.uint64) + np.uint64(1)), return_index=True)[1])
+    n = np.bincount(line[first], minlength=len(counts))
+    bits = np.unpackbits(hashes[first].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
+    return ((2 * ones > n[:, None]) * (np.uint64(1) << np.arange(64, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+
+
+def line_fingerprints(lines: list[str]) -> np.ndarray:
+    """The fingerprint of each line; none is empty."""
+    hashes, _, counts = hashed_words(lines)
+    return fingerprints_of(hashes, counts)
+
+
+def banded(features: np.ndarray, counts: np.ndarray, bands: int, scheme: int) -> np.ndarray:
+    """``bands`` keys of each set of features: scheme and band above, a hash of the minima below."""
+    at = np.cumsum(counts) - counts
+    out = np.zeros((len(counts), bands), np.uint64)
+    for k in range(bands * MINIMA):
+        least = np.minimum.reduceat(features * _ODD[k], at)
+        mixed = (out[:, k // MINIMA] ^ least) * _STEP
         out[:, k // MINIMA] = mixed ^ (mixed >> np.uint64(31))
-    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return (out >> np.uint64(32)).astype(np.int64) + ((scheme * 64 + np.arange(bands)) << 32)
+
+
+def longer_words(hashes: np.ndarray, size: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of ``LETTERS`` bytes or more of each line, all of a line that has fewer than three."""
+    starts = np.cumsum(counts) - counts
+    kept = size >= LETTERS
+    enough = np.add.reduceat(kept, starts, dtype=np.int64) >= 3
+    kept |= np.repeat(~enough, counts)
+    return hashes[kept], np.add.reduceat(kept, starts, dtype=np.int64)
+
+
+def letter_grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``GRAM`` characters of each line; of a shorter line, itself."""
+    codes = np.frombuffer(("\n".join(lines) + "\n" * GRAM).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    length = np.fromiter(map(len, lines), np.int64, len(lines))
+    counts = np.maximum(length - GRAM + 1, 1)
+    at = np.repeat(np.cumsum(length + 1) - length - 1 - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    out = np.zeros(len(at), np.uint64)
+    for k in range(GRAM):
+        out = out * _STEP + codes[at + k]
+    return _mixed(out), counts
 
 
 def but_one(line: str) -> list[int]:
-    """Hashes of the line and of all but one of its words, such that lines of at most ``FEW`` words
+    """Hashes of 32 bits of the line and of all but one of its words, such that lines of at most ``FEW`` words
     that differ in one word, or by one word, have one in common; none for longer lines."""
     words = line.split(" ")
     if len(words) > FEW + 1:
         return []
     kept = {line, *(" ".join(words[:k] + words[k + 1 :]) for k in range(len(words)))}
-    return sorted(line_hash(x) - (1 << 63) for x in kept)
-
+    return sorted({line_hash(x) >> 32 for x in kept})
 
-def meeting_keys(lines: list[str]) -> list[list[int]]:
-    """Keys of each line beside those of its fingerprint: numbers of 64 bits."""
-    out = [but_one(x) for x in lines]
-    for size, chosen in zip(GRAMS, ([k for k, x in enumerate(lines) if len(x) <= SHORT], [k for k, x in enumerate(lines) if len(x) >= SIMILARITY * SHORT]), strict=True):
-        found = line_bands([lines[k] for k in chosen], size).astype(np.int64)
-        # The size and the band above, the minima below.
-        found = (found & 0xFFFFFFFF) + ((size * BANDS + np.arange(BANDS)) << 32)
-        for k, keys in zip(chosen, found.tolist(), strict=True):
-            out[k] += keys
-    return out
 
-
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, bit-parallel: a column of the table is a pair of bit vectors."""
+def fingerprints_and_keys(lines: list[str]) -> tuple[np.ndarray, list[list[int]]]:
+    """Of each line the fingerprint, and its keys beside those of the fingerprint."""
+    if not lines:
+        return np.zeros(0, np.uint64), []
+    hashes, size, counts = hashed_words(lines)
+    length = np.fromiter(map(len, lines), np.int64, len(lines))
+    keys = [but_one(x) if n <= FEW + 1 else [] for x, n in zip(lines, counts.tolist(), strict=True)]
+    long = np.flatnonzero(length > SIMILARITY * SHORT)
+    if len(long):
+        chosen = np.repeat(length > SIMILARITY * SHORT, counts)
+        features = longer_words(hashes[chosen], size[chosen], counts[long])
+        for k, found in zip(long.tolist(), banded(*features, BANDS, 1).tolist(), strict=True):
+            keys[k] += found
+    short = np.flatnonzero(length <= SHORT / SIMILARITY)
+    if len(short):
+        for k, found in zip(short.tolist(), banded(*letter_grams([lines[k] for k in short]), SHORT_BANDS, 2).tolist(), strict=True):
+            keys[k] += found
+    return fingerprints_of(hashes, counts), keys
+
+
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance, bit-parallel: a column of the table is a pair of bit vectors.
+
+    With ``most``, a distance above it may be given too low, but not as low as ``most``: the columns end
+    once the rest cannot bring it down so far.
+    """
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
@@ -126,45 +182,96 @@ def edit_distance(a: str, b: str) -> int:
         has[c] = has.get(c, 0) | 1 << k
     full, top, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
     up, down = full, 0
-    for c in b:
+    limit = 2 * (len(a) + len(b)) if most is None else most + len(b)
+    for k, c in enumerate(b, 1):
         match = has.get(c, 0)
         diagonal = (((match & up) + up) ^ up) | match | down
         rise, fall = down | (full & ~(diagonal | up)), up & diagonal
         score += bool(rise & top) - bool(fall & top)
+        if score + k > limit:
+            return score + k - len(b)
         rise, fall = (rise << 1 | 1) & full, (fall << 1) & full
         up, down = fall | (full & ~(diagonal | rise)), rise & diagonal
     return score
 
 
+#: Characters from which lines are first compared by their letters alone.
+LONG = 2_000
+
+
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Whether 1 - distance / length of the longer is ``least`` or more."""
     longer, shorter = max(len(a), len(b)), min(len(a), len(b))
-    return shorter >= least * longer and edit_distance(a, b) <= (1 - least) * longer + 1e-9
+    most = int((1 - least) * longer + 1e-9)
+    if longer - shorter > most:
+        return False
+    if longer > LONG and too_unlike(a, b, most):
+        return False
+    return edit_distance(a, b, most) <= most
 
 
-def all_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id``, ``line`` (place from 0), ``h``, ``bits`` and ``meets`` (keys) of every line of
-    ``min_words`` or more; ``form``, the line, where there is no doc_id to find it by."""
+def too_unlike(a: str, b: str, most: int) -> bool:
+    """Whether letters alone show that the distance is above ``most``: an edit changes one in either line."""
+    x, y = (np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) & 0xFFF, minlength=1 << 12) for t in (a, b))
+    return int(np.maximum(x - y, 0).sum()) > most or int(np.maximum(y - x, 0).sum()) > most
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in (batch.iloc[k : k + 500] for k in range(0, len(batch), 500)):
-                rows = [(d, k, x) for d, t in zip(part["doc_id"], part["text"], strict=True) for k, x in enumerate(normal_lines(t)) if x.count(" ") >= min_words - 1 and x]
-                doc, place, lines = zip(*rows, strict=True) if rows else ((), (), ())
-                hashes = np.fromiter(map(line_hash, lines), np.uint64, len(lines))
-                yield pd.DataFrame({"doc_id": pd.Series(doc, dtype=part["doc_id"].dtype), "line": np.array(place, np.int32), "h": hashes.view(np.int64), "bits": line_fingerprints(list(lines)).view(np.int64), "meets": pd.Series(meeting_keys(list(lines)), dtype=object), "form": pd.Series([x if pd.isna(d) else None for d, x in zip(doc, lines, strict=True)], dtype=object)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, line int, h long, bits long, meets array<long>, form string")
+def pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs (start, end) of texts of about ``CHARS`` characters together."""
+    start, held = 0, 0
+    for k, t in enumerate(texts):
+        if k > start and held + len(t or "") > CHARS:
+            yield start, k
+            start, held = k, 0
+        held += len(t or "")
+    if start < len(texts):
+        yield start, len(texts)
 
 
-def similar_line_edges(docs: DataFrame, forms: DataFrame, least: float = SIMILARITY, cell: int = CELL) -> DataFrame:
-    """Edges (``a``, ``b``) that connect the hashes of similar lines.
+def row_key() -> F.Column:
+    """Tells rows apart, those of one doc_id too: equal rows alone have one key."""
+    return F.xxhash64(F.lit(3), "doc_id", "text")
 
-    ``forms``: ``h``, ``bits``, ``meets`` and ``at`` (struct of doc_id and line, the least with a doc_id) or
-    ``form`` of every distinct line.
-    """
-    both = F.array_distinct(F.concat(pigeonhole_keys(F.col("bits"), BLOCKS, BLOCKS - SURE), "meets"))
-    keys = forms.select(F.explode(both).alias("key"), F.col("h").alias("id"))
+
+def all_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """``doc_id``, ``row`` (``row_key``), ``line`` (place from 0), ``h``, ``bits`` and ``meets`` (keys) of every
+    line of ``min_words`` or more. A line that comes again in a task has its keys but once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for batch in batches:
+            for a, b in pieces(batch["text"].tolist()):
+                part = batch.iloc[a:b]
+                rows = [(d, r, k, x) for d, r, t in zip(part["doc_id"], part["row"], part["text"], strict=True) for k, x in enumerate(normal_lines(t)) if x.count(" ") >= min_words - 1 and x]
+                doc, row, place, lines = zip(*rows, strict=True) if rows else ((), (), (), ())
+                hashes = [line_hash(x) for x in lines]
+                if len(seen) > SEEN:
+                    seen.clear()
+                new = {h: x for h, x in zip(hashes, lines, strict=True) if h not in seen}
+                seen |= new.keys()
+                bits, keys = fingerprints_and_keys(list(new.values()))
+                known = dict(zip(new, zip(bits.view(np.int64).tolist(), keys, strict=True), strict=True))
+                found = [known.pop(h, (None, None)) for h in hashes]
+                yield pd.DataFrame(
+                    {
+                        "doc_id": pd.Series(doc, dtype="Int64"),
+                        "row": np.array(row, np.int64),
+                        "line": np.array(place, np.int32),
+                        "h": np.array(hashes, np.uint64).view(np.int64),
+                        "bits": pd.Series([f[0] for f in found], dtype="Int64"),
+                        "many": np.array([x.count(" ") >= MANY - 1 for x in lines], bool),
+                        "meets": pd.Series([f[1] for f in found], dtype=object),
+                    }
+                )
+
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text")
+    return chosen.mapInPandas(run, "doc_id long, row long, line int, h long, bits long, many boolean, meets array<long>")
+
+
+def similar_line_edges(docs: DataFrame, lines: DataFrame, forms: DataFrame, least: float = SIMILARITY, cell: int = CELL) -> DataFrame:
+    """Edges (``a``, ``b``) that connect the hashes of similar lines: ``lines`` of ``all_lines``, ``forms`` of ``distinct_forms``."""
+    keyed = lines.where("meets IS NOT NULL")
+    entries = keyed.select(F.explode(F.concat(pigeonhole_keys(F.col("bits"), BLOCKS, BLOCKS - SURE), "meets")).alias("key"), F.col("h").alias("id"))
 
     @F.pandas_udf("array<struct<h:long,form:string>>")
     def fetch(text: pd.Series, places: pd.Series) -> pd.Series:
@@ -177,43 +284,45 @@ def similar_line_edges(docs: DataFrame, forms: DataFrame, least: float = SIMILAR
 
     def bodies(ids: DataFrame) -> DataFrame:
         found = forms.join(ids.withColumnRenamed("id", "h"), "h")
-        wanted = found.where("form IS NULL").groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line", "h")).alias("places"))
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+        wanted = materialize(found.groupBy("first.row").agg(F.collect_list(F.struct("first.line", "h")).alias("places")), "line-places")
+        texts = docs.select(row_key().alias("row"), "text").join(wanted, "row")
         lines = texts.select(F.explode(fetch("text", "places")).alias("x")).select("x.h", "x.form").groupBy("h").agg(F.first("form").alias("form"))
-        lines = lines.unionByName(found.where("form IS NOT NULL").select("h", "form"))
         return lines.select(F.col("h").alias("id"), F.struct("form").alias("body"))
 
-    return verified_links(keys, bodies, lambda a, b: similar(a[0], b[0], least), "lines", cell)
+    prints = forms.select(F.col("h").alias("id"), F.col("bits").alias("of_id"), F.col("many").alias("long_id"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        other = prints.toDF("pivot", "of_pivot", "long_pivot")
+        apart = F.bit_count(F.col("of_id").bitwiseXOR(F.col("of_pivot")))
+        both = pairs.join(prints, "id").join(other, "pivot")
+        return both.where((apart <= FAR) | ~F.col("long_id") | ~F.col("long_pivot")).select("id", "pivot")
+
+    return verified_links(entries, bodies, lambda a, b: similar(a[0], b[0], least), "lines", cell, near)
 
 
 def distinct_forms(lines: DataFrame) -> DataFrame:
-    """One row for each ``h`` of ``all_lines``: its keys, ``first`` place, ``n`` and where its text is."""
-    place = F.struct("doc_id", "line")
+    """One row for each ``h`` of ``all_lines``: its fingerprint, whether it has ``MANY`` words, ``first`` place and ``n``."""
     return lines.groupBy("h").agg(
-        F.first("bits").alias("bits"),
-        F.first("meets").alias("meets"),
-        F.max("form").alias("form"),
-        F.min(F.when(F.col("doc_id").isNotNull(), place)).alias("at"),
-        F.min(place).alias("first"),
+        F.max("bits").alias("bits"),
+        F.max("many").alias("many"),
+        F.min(F.struct("doc_id", "row", "line")).alias("first"),
         F.count(F.lit(1)).alias("n"),
     )
 
 
 def repeated_lines(docs: DataFrame, *, least: float = SIMILARITY, min_words: int = MIN_WORDS, cell: int = CELL) -> DataFrame:
-    """``doc_id``, ``removed`` (places of lines, sorted) and ``keepers`` (sorted ids of the documents
-    where the first occurrences stay) of every document that loses a line."""
+    """``doc_id``, ``row`` (``row_key``), ``removed`` (places of lines, sorted) and ``keepers`` (sorted ids of the
+    documents where the first occurrences stay) of every row that loses a line."""
     lines = materialize(all_lines(docs, min_words), "lines")
-    place = F.struct("doc_id", "line")
-    forms = distinct_forms(lines)
-    forms = materialize(forms, "line-forms")
-    groups = materialize(connected_components(similar_line_edges(docs, forms, least, cell)), "line-components")
+    forms = materialize(distinct_forms(lines), "line-forms")
+    groups = materialize(connected_components(similar_line_edges(docs, lines, forms, least, cell)), "line-components")
     known = forms.join(groups.withColumnRenamed("node", "h"), "h", "left").withColumn("g", F.coalesce("component", "h"))
-    firsts = known.groupBy("g").agg(F.min("first").alias("keeper"), F.sum("n").alias("all")).where("all > 1")
-    again = known.join(firsts, "g").select("h", "keeper")
-    gone = lines.join(again, "h").where(~place.eqNullSafe(F.col("keeper")))
-    return gone.groupBy("doc_id").agg(
-        F.array_sort(F.collect_set("line")).alias("removed"), F.array_sort(F.collect_set("keeper.doc_id")).alias("keepers")
-    )
+    firsts = materialize(known.groupBy("g").agg(F.min("first").alias("keeper"), F.sum("n").alias("all")).where("all > 1"), "line-firsts")
+    again = materialize(known.join(firsts, "g").select("h", "keeper"), "line-repeats")
+    here = F.struct("doc_id", "row", "line")
+    gone = lines.select("doc_id", "row", "line", "h").join(again, "h").where(F.col("doc_id").isNotNull() & ~here.eqNullSafe(F.col("keeper")))
+    gone = materialize(gone.select("doc_id", "row", "line", F.col("keeper.doc_id").alias("keeper")), "lines-gone")
+    return gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line")).alias("removed"), F.array_sort(F.collect_set("keeper")).alias("keepers"))
 
 
 def dedup_lines(docs: DataFrame, **settings) -> DataFrame:
@@ -224,27 +333,30 @@ def dedup_lines(docs: DataFrame, **settings) -> DataFrame:
     stay, as do the first occurrences.
 
     Null or empty text: unchanged. Null doc_id: its lines count as the first occurrences, and
-    nothing is removed from it. Repeated rows of one id: each loses the same lines. No rows: no
-    rows. All columns of ``docs`` are returned, whatever their names.
+    nothing is removed from it. Rows of one id and different texts are documents of their own, in an order
+    that their texts give; equal rows lose the same lines. Ties of place cannot be: a place is a row's.
+    Very long texts and lines: whole; a line beside one that is too unlike is left at once. No rows: no rows. All columns of ``docs`` are
+    returned, whatever their names.
     """
-    gone = repeated_lines(docs, **settings).select(F.col("doc_id").alias("_gone_id"), F.col("removed").alias("_gone"))
-    joined = docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left").drop("_gone_id")
+    gone = repeated_lines(docs, **settings).select("row", "removed")
+    joined = boxed(docs, row=row_key()).join(gone, "row", "left")
 
     def remaining(lines):
-        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
         return F.transform(places, lambda i: F.get(lines, i))
 
-    left = joined.withColumn("_left", F.when(F.col("_gone").isNotNull(), let(F.split("text", "\n"), remaining)))
-    kept = left.where(F.col("_gone").isNull() | F.exists("_left", lambda x: F.trim(x) != ""))
-    return kept.withColumn("text", F.coalesce(F.array_join("_left", "\n"), F.col("text"))).drop("_gone", "_left").select(*docs.columns)
+    left = F.when(F.col("removed").isNotNull(), let(F.split("text", "\n"), remaining))
+    kept = joined.withColumn("left", left).where(F.col("removed").isNull() | F.exists("left", lambda x: F.trim(x) != ""))
+    text = F.coalesce(F.array_join("left", "\n"), F.col("text"))
+    return kept.select(*[(text if c == "text" else F.col("boxed").getField(c)).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """One row per document: its lines, those that go, and where their first occurrences stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sizes = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    sizes = docs.select("doc_id", row_key().alias("row"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
     none = F.array().cast("array<long>")
-    return sizes.join(repeated_lines(docs), "doc_id", "left").select(
+    return sizes.join(repeated_lines(docs).drop("doc_id"), "row", "left").select(
         "doc_id",
         "n_lines",
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.runtime import materialize, release
+from skeinworks.runtime import materialize
 
 #: Items of one bucket that a task compares at once, about; larger buckets are dealt out.
 CELL = 512
@@ -69,37 +69,32 @@ def verified_links(
     same: Callable[[tuple, tuple], bool],
     label: str,
     cell: int = CELL,
-    prints: DataFrame | None = None,
-    near: int = 64,
+    near: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Edges (``a``, ``b``) that connect all ids that share a ``key`` and are the ``same``.
 
-    ``entries``: ``key`` and ``id``, distinct. ``bodies`` gives, for a table of ids, ``id`` and ``body``, a
-    struct; ``same`` compares two bodies, each as a tuple. With ``prints`` (``id``, ``bits``), two ids
-    alone under a key whose bits differ in more than ``near`` places are passed over, and no body is
-    fetched for them.
-
-    In each key all ids are first compared with its least one, the pivot. Those that match it are
-    connected by it and need not be compared among themselves; only pairs with an id that does not
-    match are. So a large group of copies costs one comparison a member, and no pair is lost. What
-    remains to be compared is dealt out in cells of about ``cell`` ids on either side.
+    ``entries``: ``key`` and ``id``, repeats allowed. ``bodies`` gives, for a table of ids, ``id`` and ``body``, a
+    struct; ``same`` compares two bodies, each as a tuple. ``near`` takes a table with ``id`` and
+    ``pivot`` and leaves out rows that cannot be the same: two ids alone under a key that it leaves out
+    are passed over, and no body is fetched for them.
+
+    A key's least and greatest id come from a combined aggregate and show whether it has several;
+    only such keys are joined back. In each key all ids are first compared with its least one, the
+    pivot. Those that match it are connected by it and need not be compared among themselves; only
+    pairs with an id that does not match are. So a large group of copies costs one comparison a
+    member, and no pair is lost. What remains to be compared is dealt out in cells of about ``cell`` ids on
+    either side. What a join by a key, or by a pivot, makes is written before it is grouped, so that
+    the planner can split a large key between tasks.
     """
-    spark = entries.sparkSession
-    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    inside = materialize(entries.join(buckets, "key"), f"{label}-colliding")
-    release(spark)
-    if prints is not None:
-        inside = inside.join(prints, "id")
-    else:
-        inside = inside.withColumn("bits", F.lit(0).cast("long"))
-    pivots = inside.groupBy("key").agg(F.min(F.struct("id", "bits")).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.bits").alias("pivot_bits"))
-    apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("pivot_bits")))
-    ends = inside.join(pivots, "key").withColumn("apart", F.when(F.col("n") == 2, apart).otherwise(0))
-    close = ends.where((F.col("apart") <= near) & ((F.col("n") > 2) | (F.col("id") != F.col("pivot"))))
-    inside = materialize(close.select("key", "id", "n", "pivot"), f"{label}-suspects")
-    ids = inside.select("id").unionByName(inside.select(F.col("pivot").alias("id"))).distinct()
-    known = materialize(bodies(ids), f"{label}-bodies")
-    release(spark)
+    shared = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last")
+    shared = materialize(shared, f"{label}-shared")
+    inside = materialize(entries.join(shared, "key").where("id <> pivot"), f"{label}-colliding").distinct()
+    more = inside.where("id < last").select("key").distinct()
+    crowded = materialize(inside.join(more, "key").select("key", "id", "pivot"), f"{label}-crowded")
+    tried = inside.select("id", "pivot").distinct()
+    tried = materialize(near(tried) if near else tried, f"{label}-tried")
+    both = [df.select(F.col(c).alias("id")) for df in (tried, crowded) for c in ("id", "pivot")]
+    known = materialize(bodies(both[0].unionByName(both[1]).unionByName(both[2]).unionByName(both[3]).distinct()), f"{label}-bodies")
     other = known.select(F.col("id").alias("pivot"), F.col("body").alias("pivot_body"))
 
     @F.pandas_udf("boolean")
@@ -107,15 +102,15 @@ def verified_links(
         rows = zip(a.itertuples(index=False, name=None), b.itertuples(index=False, name=None), strict=True)
         return pd.Series([same(x, y) for x, y in rows], dtype=bool)
 
-    tried = inside.where("id <> pivot").select("id", "pivot").distinct().join(known, "id").join(other, "pivot")
-    matched = materialize(tried.where(matches("body", "pivot_body")).select("id", "pivot"), f"{label}-matched")
+    compared = tried.join(known, "id").join(other, "pivot")
+    matched = materialize(compared.where(matches("body", "pivot_body")).select("id", "pivot"), f"{label}-matched")
 
-    rest = inside.where("id <> pivot AND n > 2").select("key", "id", "pivot")
-    odd = rest.join(matched, ["id", "pivot"], "left_anti").select("key", "id")
-    open_keys = rest.groupBy("key").agg((F.floor(F.count(F.lit(1)) / cell) + 1).cast("int").alias("chunks"))
-    open_keys = open_keys.join(odd.groupBy("key").agg((F.floor(F.count(F.lit(1)) / cell) + 1).cast("int").alias("odd_chunks")), "key")
+    odd = materialize(crowded.join(matched, ["id", "pivot"], "left_anti").select("key", "id"), f"{label}-odd")
+    chunks = (F.floor(F.count(F.lit(1)) / cell) + 1).cast("int")
+    open_keys = crowded.groupBy("key").agg(chunks.alias("chunks")).join(odd.groupBy("key").agg(chunks.alias("odd_chunks")), "key")
+    open_keys = materialize(open_keys, f"{label}-open")
     dealt = lambda df, by: df.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64(F.lit(11), "id"), F.col(by)).cast("int"))
-    left = dealt(rest.select("key", "id"), "chunks").select("key", "id", F.col("own").alias("a"), F.explode(F.sequence(F.lit(0), F.col("odd_chunks") - 1)).alias("b"), F.lit(False).alias("odd"))
+    left = dealt(crowded.select("key", "id"), "chunks").select("key", "id", F.col("own").alias("a"), F.explode(F.sequence(F.lit(0), F.col("odd_chunks") - 1)).alias("b"), F.lit(False).alias("odd"))
     right = dealt(odd, "odd_chunks").select("key", "id", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("a"), F.col("own").alias("b"), F.lit(True).alias("odd"))
     cells = left.unionByName(right).join(known, "id").groupBy("key", "a", "b").agg(F.collect_list(F.struct("id", "odd", "body")).alias("m"))
 
@@ -146,7 +141,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     ``edges`` joins 64-bit ids; nulls and loops do not count, direction and repetition do not
     matter. Alternates large-star and small-star steps until the edges are stars around their least
     nodes. A step takes minima, which are combined before the shuffle, and joins them back, so that
-    a node of any degree is never gathered. Each round is written to the shared folder, and only
+    a node of any degree is never gathered; the minima are written first, so that the planner can
+    split the edges of one node between tasks. Each round is written to the shared folder, and only
     the number and a checksum of its edges reach the driver.
     """
     u, v = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
@@ -158,10 +154,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             break
         # Large star: every larger neighbour of a node moves to the least node around it.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v"), "moved").distinct()
         # Small star: the smaller neighbours of a node, and itself, move to the least of them.
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        lower = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
         moved = large.join(lower, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         then = materialize(moved.select("e.u", "e.v").where("u > v").distinct(), "edges")
         before, seen, now = seen, mark(then), then

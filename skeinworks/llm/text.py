@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words are runs of characters other than space, tab, newline, VT, FF and CR.
@@ -30,3 +30,12 @@ def n_words(text: Column) -> Column:
 def count_chars(text: Column, chars: str) -> Column:
     """How many characters of ``text`` are among ``chars``."""
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+
+
+def boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """All columns of ``docs`` in one, ``boxed``, beside its ``text`` and the columns of ``more``.
+
+    So names that an operator adds clash with none of the caller's, whatever those are.
+    """
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(every.alias("boxed"), "text", *[c.alias(name) for name, c in more.items()])

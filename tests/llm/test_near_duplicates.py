@@ -129,46 +129,54 @@ def test_edit_distance():
 
     for _ in range(800):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(14))) for _ in "xy")
-        assert fuzzy_lines.edit_distance(a, b) == plain(a, b)
+        whole = plain(a, b)
+        assert fuzzy_lines.edit_distance(a, b) == whole
+        assert all((fuzzy_lines.edit_distance(a, b, most) <= most) == (whole <= most) for most in range(9))
+        assert not fuzzy_lines.too_unlike(a, b, whole)
+
+
+SYLLABLES = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+
+
+def letter_words(rng, n):
+    return ["".join(rng.choice(SYLLABLES) for _ in range(rng.randrange(1, 5))) for _ in range(n)]
 
 
 def test_lines_match_brute_force(spark):
     rng = random.Random(7)
-    base = [" ".join(f"u{rng.randrange(4000)}" for _ in range(120)) for _ in range(40)]
+    base = [letter_words(rng, rng.choice([3, 6, 9, 15, 30, 60])) for _ in range(60)]
     docs = []
-    for d in range(60):
+    for d in range(80):
         lines = []
         for _ in range(4):
-            line = rng.choice(base)
-            if rng.random() < 0.4:
-                line = line.replace("u1", "U1", 1).replace(" ", "  ", 1)
-            if rng.random() < 0.4:
-                at = rng.randrange(len(line))
-                line = line[:at] + "x" + line[at:]
-            lines.append(line)
-        docs.append((d, "\n".join([*lines, "end"])))
+            line = list(rng.choice(base))
+            if rng.random() < 0.5:
+                line[rng.randrange(len(line))] = letter_words(rng, 1)[0]
+            text = " ".join(line)
+            if rng.random() < 0.3:
+                at = rng.randrange(len(text))
+                text = text[:at] + "x" + text[at:]
+            lines.append(text.title().replace(" ", "  ", 1) if rng.random() < 0.3 else text)
+        docs.append((d // 2 if d < 20 else d, "\n".join([*lines, "end"])))
+    # A row without id, and rows of one id that share a line and have lines of their own.
+    docs += [(None, "\n".join(" ".join(b) for b in base[:3])), (200, " ".join(base[7]) + "\nan own line of this row"), (200, "two other lines of that\nhere is quite another one")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r["doc_id"]: list(r["removed"]) for r in fuzzy_lines.repeated_lines(df, cell=4).collect()}
-    lines = [(d, k, x) for d, t in docs for k, x in enumerate(fuzzy_lines.normal_lines(t)) if len(x.split()) >= 3]
-    forms = sorted({x for _, _, x in lines})
-    prints = dict(zip(forms, fuzzy_lines.line_fingerprints(forms).tolist(), strict=True))
-    pairs = [(a, b) for a in forms for b in forms if a < b and fuzzy_lines.similar(a, b)]
-    sure = [(a, b) for a, b in pairs if (prints[a] ^ prints[b]).bit_count() <= fuzzy_lines.SURE]
-
-    def removed(edges):
-        group = least_reached(edges, forms)
-        keeper = {}
-        for d, k, x in lines:
-            keeper.setdefault(group[x], (d, k))
-        return {(d, k) for d, k, x in lines if keeper[group[x]] != (d, k)}
-
-    found = {(d, k) for d, ks in got.items() for k in ks}
-    assert removed(sure) <= found <= removed(pairs)
-    left = fuzzy_lines.dedup_lines(df)
-    by_id = {r["doc_id"]: r["text"] for r in left.collect()}
-    for d, t in docs:
-        rest = [x for k, x in enumerate(t.split("\n")) if (d, k) not in found]
-        assert by_id.get(d) == ("\n".join(rest) if any(x.strip() for x in rest) else None)
+    key = {(r["doc_id"], r["text"]): r["row"] for r in df.select("*", fuzzy_lines.row_key().alias("row")).collect()}
+    got = {(r["doc_id"], r["row"], k) for r in fuzzy_lines.repeated_lines(df, cell=4).collect() for k in r["removed"]}
+    lines = [(d, key[d, t], k, x) for d, t in docs for k, x in enumerate(fuzzy_lines.normal_lines(t)) if len(x.split()) >= 3]
+    forms = sorted({x for *_, x in lines})
+    pairs = [(a, b) for k, a in enumerate(forms) for b in forms[k + 1 :] if fuzzy_lines.similar(a, b)]
+    assert 250 < len(pairs) < len(forms) ** 2 / 20
+    group = least_reached(pairs, forms)
+    keeper = {}
+    for d, r, k, x in sorted(lines, key=lambda p: (p[0] is not None, p[0] or 0, *p[1:3])):
+        keeper.setdefault(group[x], (d, r, k))
+    expected = {(d, r, k) for d, r, k, x in lines if keeper[group[x]] != (d, r, k) and d is not None}
+    assert got <= expected and len(got) >= 0.99 * len(expected)
+    left = sorted((str(r["doc_id"]), r["text"]) for r in fuzzy_lines.dedup_lines(df).collect())
+    rest = [(d, t, [x for k, x in enumerate(t.split("\n")) if (d, key[d, t], k) not in got]) for d, t in docs]
+    assert left == sorted((str(d), "\n".join(own)) for d, _, own in rest if any(x.strip() for x in own))
+    assert {(200, key[docs[-2]], 1), (200, key[docs[-1]], 0), (200, key[docs[-1]], 1)}.isdisjoint(got)
 
 
 def test_similar_lines_of_all_lengths_are_linked(spark):
@@ -189,8 +197,8 @@ def test_similar_lines_of_all_lengths_are_linked(spark):
     forms = sorted({x for t in lines for x in fuzzy_lines.normal_lines(t) if len(x.split()) >= 3})
     pairs = [(a, b) for a in forms for b in forms if a < b and fuzzy_lines.similar(a, b)]
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    forms_of = fuzzy_lines.distinct_forms(fuzzy_lines.all_lines(df, 3))
-    edges = [tuple(r) for r in fuzzy_lines.similar_line_edges(df, forms_of).collect()]
+    found = fuzzy_lines.all_lines(df, 3)
+    edges = [tuple(r) for r in fuzzy_lines.similar_line_edges(df, found, fuzzy_lines.distinct_forms(found)).collect()]
     name = {x: fuzzy_lines.line_hash(x) - (fuzzy_lines.line_hash(x) >> 63 << 64) for x in forms}
     group = least_reached(edges, name.values())
     together = [group[name[a]] == group[name[b]] for a, b in pairs]
@@ -202,12 +210,13 @@ def test_similar_lines_of_all_lengths_are_linked(spark):
 
 def test_keys_of_lines_do_not_depend_on_their_number(spark, monkeypatch):
     df = spark.createDataFrame([(1, "some words of one line")], "doc_id long, text string")
-    forms = fuzzy_lines.distinct_forms(fuzzy_lines.all_lines(df, 3))
+    lines = fuzzy_lines.all_lines(df, 3)
+    forms = fuzzy_lines.distinct_forms(lines)
     count, keys = type(forms).count, []
     monkeypatch.setattr(fuzzy_lines, "verified_links", lambda entries, *_: keys.append({r["key"] for r in entries.collect()}))
     for n in (1, 10**7, 10**9):
         monkeypatch.setattr(type(forms), "count", lambda _, n=n: n)
-        fuzzy_lines.similar_line_edges(df, forms)
+        fuzzy_lines.similar_line_edges(df, lines, forms)
     monkeypatch.setattr(type(forms), "count", count)
     assert keys[0] == keys[1] == keys[2]
 
