@@ -10,7 +10,7 @@ place, stays.
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +31,7 @@ BLOCKS, SURE = 4, 2
 #: Two lines of ``MANY`` words or more whose fingerprints are further apart are not compared.
 FAR, MANY = 24, 10
 #: Lines above ``SHORT`` characters: bands, minima in each, and bytes of the words that count.
-BANDS, MINIMA, LETTERS = 20, 4, 4
+BANDS, MINIMA, LETTERS = 16, 4, 4
 #: Lines of at most ``SHORT`` characters, and those as long as a line of more may be similar to: bands
 #: of n-grams of so many characters, with as many minima each.
 SHORT, SHORT_BANDS, GRAM = 60, 24, 3
@@ -43,12 +43,13 @@ CHARS, SEEN = 1_000_000, 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.random.default_rng(4).integers(0, 1 << 63, max(BANDS, SHORT_BANDS) * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-_DIGIT = re.compile(r"\d")
+_ZEROS = bytes.maketrans(b"123456789", b"000000000")
 
 
 def normal_lines(text: str | None) -> list[str]:
-    """Each line in lower case, its digits 0, its words joined by single spaces."""
-    return [" ".join(line.split()) for line in _DIGIT.sub("0", (text or "").lower()).split("\n")]
+    """Each line in lower case, its digits 0 to 9 all 0, its words joined by single spaces."""
+    plain = (text or "").lower().encode("utf-8", "surrogatepass").translate(_ZEROS).decode("utf-8", "surrogatepass")
+    return [" ".join(line.split()) for line in plain.split("\n")]
 
 
 def line_hash(line: str) -> int:
@@ -84,14 +85,25 @@ def fingerprints_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The SimHash of each line's distinct words.
 
     Each word has one vote, so that one that comes again and again, such as a table's rule, does
-    not decide the fingerprint alone.
+    not decide the fingerprint alone. Sixteen times four bits are counted at once, in lanes of 16 bits.
     """
-    line = np.repeat(np.arange(len(counts)), counts)
-    first = np.sort(np.unique(hashes ^ _mixed(line.astype(np.uint64) + np.uint64(1)), return_index=True)[1])
-    n = np.bincount(line[first], minlength=len(counts))
-    bits = np.unpackbits(hashes[first].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
-    return ((2 * ones > n[:, None]) * (np.uint64(1) << np.arange(64, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+    line = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    keys = np.sort((line << np.uint64(40)) | (hashes >> np.uint64(24)))
+    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+    votes = _mixed((keys & np.uint64((1 << 40) - 1)) + np.uint64(1))
+    line = (keys >> np.uint64(40)).astype(np.int64)
+    n = np.bincount(line, minlength=len(counts))
+    # Runs of fewer words than a lane can count.
+    parts = np.unique(np.concatenate((np.cumsum(n) - n, np.arange(0, len(keys), 1 << 15))))
+    owner = line[parts]
+    begins = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    out = np.zeros(len(counts), np.uint64)
+    for k in range(16):
+        lanes = np.add.reduceat((votes >> np.uint64(k)) & np.uint64(0x0001000100010001), parts)
+        for lane in range(4):
+            ones = np.add.reduceat((lanes >> np.uint64(16 * lane)) & np.uint64(0xFFFF), begins)
+            out |= (2 * ones > n.astype(np.uint64)).astype(np.uint64) << np.uint64(16 * lane + k)
+    return out
 
 
 def line_fingerprints(lines: list[str]) -> np.ndarray:
@@ -195,25 +207,47 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     return score
 
 
-#: Characters from which lines are first compared by their letters alone.
-LONG = 2_000
+def distance_at_most(a: list[str], b: list[str]) -> int:
+    """A bound from above on the edit distance of two lines of words: of one way to align them.
+
+    Where words differ the next place at which two agree is sought, a few words on.
+    """
+    i = j = total = 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        for x, y in _STEPS:
+            if i + x < len(a) and j + y < len(b) and a[i + x] == b[j + y]:
+                break
+        else:
+            x, y = len(a) - i, len(b) - j
+        total += max(sum(map(len, a[i : i + x])) + x, sum(map(len, b[j : j + y])) + y)
+        i, j = i + x, j + y
+    return total + max(sum(map(len, a[i:])) + len(a) - i, sum(map(len, b[j:])) + len(b) - j)
+
+
+_STEPS = sorted(((x, y) for x in range(4) for y in range(4) if x + y), key=lambda s: (sum(s), abs(s[0] - s[1])))
+
+
+def too_unlike(a: str, b: str, most: int) -> bool:
+    """Whether letters alone show that the distance is above ``most``: an edit changes one in either line."""
+    x, y = Counter(a), Counter(b)
+    return (x - y).total() > most or (y - x).total() > most
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    """Whether 1 - distance / length of the longer is ``least`` or more."""
+    """Whether 1 - distance / length of the longer is ``least`` or more.
+
+    The table of distances is filled only where neither letters nor words decide.
+    """
     longer, shorter = max(len(a), len(b)), min(len(a), len(b))
     most = int((1 - least) * longer + 1e-9)
     if longer - shorter > most:
         return False
-    if longer > LONG and too_unlike(a, b, most):
-        return False
-    return edit_distance(a, b, most) <= most
-
-
-def too_unlike(a: str, b: str, most: int) -> bool:
-    """Whether letters alone show that the distance is above ``most``: an edit changes one in either line."""
-    x, y = (np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) & 0xFFF, minlength=1 << 12) for t in (a, b))
-    return int(np.maximum(x - y, 0).sum()) > most or int(np.maximum(y - x, 0).sum()) > most
+    if distance_at_most(a.split(" "), b.split(" ")) <= most:
+        return True
+    return not too_unlike(a, b, most) and edit_distance(a, b, most) <= most
 
 
 def pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -273,21 +307,24 @@ def similar_line_edges(docs: DataFrame, lines: DataFrame, forms: DataFrame, leas
     keyed = lines.where("meets IS NOT NULL")
     entries = keyed.select(F.explode(F.concat(pigeonhole_keys(F.col("bits"), BLOCKS, BLOCKS - SURE), "meets")).alias("key"), F.col("h").alias("id"))
 
-    @F.pandas_udf("array<struct<h:long,form:string>>")
+    @F.pandas_udf("array<struct<h:long,bits:long,many:boolean,form:string>>")
     def fetch(text: pd.Series, places: pd.Series) -> pd.Series:
         out = []
         for t, wanted in zip(text, places, strict=True):
             lines = normal_lines(t)
-            found = [(p["h"], lines[p["line"]]) for p in wanted if p["line"] < len(lines)]
-            out.append([{"h": h, "form": x} for h, x in found if line_hash(x) == h & (1 << 64) - 1])
+            found = [(p, lines[p["line"]]) for p in wanted if p["line"] < len(lines)]
+            out.append([{"h": p["h"], "bits": p["bits"], "many": p["many"], "form": x} for p, x in found if line_hash(x) == p["h"] & (1 << 64) - 1])
         return pd.Series(out)
 
     def bodies(ids: DataFrame) -> DataFrame:
         found = forms.join(ids.withColumnRenamed("id", "h"), "h")
-        wanted = materialize(found.groupBy("first.row").agg(F.collect_list(F.struct("first.line", "h")).alias("places")), "line-places")
+        wanted = materialize(found.groupBy("first.row").agg(F.collect_list(F.struct("first.line", "h", "bits", "many")).alias("places")), "line-places")
         texts = docs.select(row_key().alias("row"), "text").join(wanted, "row")
-        lines = texts.select(F.explode(fetch("text", "places")).alias("x")).select("x.h", "x.form").groupBy("h").agg(F.first("form").alias("form"))
-        return lines.select(F.col("h").alias("id"), F.struct("form").alias("body"))
+        lines = texts.select(F.explode(fetch("text", "places")).alias("x")).select("x.*").dropDuplicates(["h"])
+        return lines.select(F.col("h").alias("id"), F.struct("form", "bits", "many").alias("body"))
+
+    def same(a: tuple, b: tuple) -> bool:
+        return not (a[2] and b[2] and ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count() > FAR) and similar(a[0], b[0], least)
 
     prints = forms.select(F.col("h").alias("id"), F.col("bits").alias("of_id"), F.col("many").alias("long_id"))
 
@@ -297,7 +334,7 @@ def similar_line_edges(docs: DataFrame, lines: DataFrame, forms: DataFrame, leas
         both = pairs.join(prints, "id").join(other, "pivot")
         return both.where((apart <= FAR) | ~F.col("long_id") | ~F.col("long_pivot")).select("id", "pivot")
 
-    return verified_links(entries, bodies, lambda a, b: similar(a[0], b[0], least), "lines", cell, near)
+    return verified_links(entries, bodies, same, "lines", cell, near)
 
 
 def distinct_forms(lines: DataFrame) -> DataFrame:

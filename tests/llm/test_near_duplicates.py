@@ -133,6 +133,8 @@ def test_edit_distance():
         assert fuzzy_lines.edit_distance(a, b) == whole
         assert all((fuzzy_lines.edit_distance(a, b, most) <= most) == (whole <= most) for most in range(9))
         assert not fuzzy_lines.too_unlike(a, b, whole)
+        x, y = a.replace("c", " "), b.replace("c", " ")
+        assert fuzzy_lines.distance_at_most(x.split(" "), y.split(" ")) >= plain(x, y)
 
 
 SYLLABLES = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
