@@ -19,8 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinworks.llm.hashes import STEP, line_words, mixed
 from skeinworks.llm.linking import CELL, connected_components, pigeonhole_keys, verified_links
-from skeinworks.llm.text import boxed, let
+from skeinworks.llm.text import boxed, let, pieces, row_key
 from skeinworks.runtime import materialize
 
 #: Lines of fewer words are left alone.
@@ -37,10 +38,9 @@ BANDS, MINIMA, LETTERS = 16, 4, 4
 SHORT, SHORT_BANDS, GRAM = 60, 24, 3
 #: Lines of at most so many words meet all that differ in one word.
 FEW = 12
-#: Characters that are handled at once, and lines whose keys a task has given out already.
-CHARS, SEEN = 1_000_000, 1_000_000
+#: Lines whose keys a task has given out already.
+SEEN = 1_000_000
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.random.default_rng(4).integers(0, 1 << 63, max(BANDS, SHORT_BANDS) * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _ZEROS = bytes.maketrans(b"123456789", b"000000000")
@@ -56,31 +56,6 @@ def line_hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def hashed_words(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A hash of each word of all lines in order, its bytes, and how many words each line has.
-
-    No line is empty; single spaces part its words. A word's hash is a polynomial of its bytes.
-    """
-    raw = np.frombuffer(("\n".join(lines) + "\n").encode("utf-8", "surrogatepass"), np.uint8)
-    ends = np.flatnonzero((raw == 32) | (raw == 10))
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    size = ends - starts
-    powers = np.full(int(size.max()) + 1, _STEP, np.uint64)
-    powers[0] = 1
-    powers = np.cumprod(powers, dtype=np.uint64)
-    values = raw.astype(np.uint64)
-    values[ends] = 0
-    values *= powers[np.arange(len(raw)) - np.repeat(starts, size + 1)]
-    counts = np.diff(np.flatnonzero(raw[ends] == 10), prepend=-1)
-    return _mixed(np.add.reduceat(values, starts) + size.astype(np.uint64)), size, counts
-
-
 def fingerprints_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The SimHash of each line's distinct words.
 
@@ -90,7 +65,7 @@ def fingerprints_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     line = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
     keys = np.sort((line << np.uint64(40)) | (hashes >> np.uint64(24)))
     keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
-    votes = _mixed((keys & np.uint64((1 << 40) - 1)) + np.uint64(1))
+    votes = mixed((keys & np.uint64((1 << 40) - 1)) + np.uint64(1))
     line = (keys >> np.uint64(40)).astype(np.int64)
     n = np.bincount(line, minlength=len(counts))
     # Runs of fewer words than a lane can count.
@@ -108,7 +83,7 @@ def fingerprints_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def line_fingerprints(lines: list[str]) -> np.ndarray:
     """The fingerprint of each line; none is empty."""
-    hashes, _, counts = hashed_words(lines)
+    hashes, _, counts = line_words(lines)
     return fingerprints_of(hashes, counts)
 
 
@@ -118,7 +93,7 @@ def banded(features: np.ndarray, counts: np.ndarray, bands: int, scheme: int) ->
     out = np.zeros((len(counts), bands), np.uint64)
     for k in range(bands * MINIMA):
         least = np.minimum.reduceat(features * _ODD[k], at)
-        mixed = (out[:, k // MINIMA] ^ least) * _STEP
+        mixed = (out[:, k // MINIMA] ^ least) * STEP
         out[:, k // MINIMA] = mixed ^ (mixed >> np.uint64(31))
     return (out >> np.uint64(32)).astype(np.int64) + ((scheme * 64 + np.arange(bands)) << 32)
 
@@ -140,8 +115,8 @@ def letter_grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     at = np.repeat(np.cumsum(length + 1) - length - 1 - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
     out = np.zeros(len(at), np.uint64)
     for k in range(GRAM):
-        out = out * _STEP + codes[at + k]
-    return _mixed(out), counts
+        out = out * STEP + codes[at + k]
+    return mixed(out), counts
 
 
 def but_one(line: str) -> list[int]:
@@ -158,7 +133,7 @@ def fingerprints_and_keys(lines: list[str]) -> tuple[np.ndarray, list[list[int]]
     """Of each line the fingerprint, and its keys beside those of the fingerprint."""
     if not lines:
         return np.zeros(0, np.uint64), []
-    hashes, size, counts = hashed_words(lines)
+    hashes, size, counts = line_words(lines)
     length = np.fromiter(map(len, lines), np.int64, len(lines))
     keys = [but_one(x) if n <= FEW + 1 else [] for x, n in zip(lines, counts.tolist(), strict=True)]
     long = np.flatnonzero(length > SIMILARITY * SHORT)
@@ -250,23 +225,6 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return not too_unlike(a, b, most) and edit_distance(a, b, most) <= most
 
 
-def pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Runs (start, end) of texts of about ``CHARS`` characters together."""
-    start, held = 0, 0
-    for k, t in enumerate(texts):
-        if k > start and held + len(t or "") > CHARS:
-            yield start, k
-            start, held = k, 0
-        held += len(t or "")
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def row_key() -> F.Column:
-    """Tells rows apart, those of one doc_id too: equal rows alone have one key."""
-    return F.xxhash64(F.lit(3), "doc_id", "text")
-
-
 def all_lines(docs: DataFrame, min_words: int) -> DataFrame:
     """``doc_id``, ``row`` (``row_key``), ``line`` (place from 0), ``h``, ``bits`` and ``meets`` (keys) of every
     line of ``min_words`` or more. A line that comes again in a task has its keys but once."""

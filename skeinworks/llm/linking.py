@@ -155,9 +155,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         # Large star: every larger neighbour of a node moves to the least node around it.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v"), "moved").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         # Small star: the smaller neighbours of a node, and itself, move to the least of them.
-        lower = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(lower, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         then = materialize(moved.select("e.u", "e.v").where("u > v").distinct(), "edges")
         before, seen, now = seen, mark(then), then

@@ -21,7 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinworks.llm.hashes import STEP, mixed, text_words
 from skeinworks.llm.linking import CELL, connected_components, verified_links
+from skeinworks.llm.text import boxed, pieces, row_key
 from skeinworks.runtime import materialize
 
 SHINGLE = 5
@@ -33,6 +35,9 @@ SEED = 10
 #: Minima that are equal in a band, and the share of similar pairs that must meet in some band.
 ROWS, RECALL = 3, 0.999
 
+#: Paragraphs whose bands a task has given out already.
+SEEN = 1_000_000
+
 _SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -41,25 +46,14 @@ def tune_bands(similarity: float = SIMILARITY, rows: int = ROWS, recall: float =
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: multiply and shift."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
-
-
 def runs(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of every run of ``n`` words, in order."""
     if len(hashes) < n:
         return np.zeros(0, np.uint64)
     out = np.zeros(len(hashes) - n + 1, np.uint64)
     for k in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(out)]
-    return _mixed(out)
+        out = out * STEP + hashes[k : k + len(out)]
+    return mixed(out)
 
 
 def anchors(seeds: np.ndarray, window: int = WORDS - SEED + 1) -> np.ndarray:
@@ -87,18 +81,16 @@ def paragraphs(lengths: list[int], words: int = WORDS) -> list[tuple[int, int]]:
     return out
 
 
-def units(text: str | None, shingle: int = SHINGLE, words: int = WORDS) -> list[tuple[int, int, int, np.ndarray | None]]:
-    """Start (in words), length, hash, and for paragraphs the shingle hashes, of a text's paragraphs and seeds."""
-    lines = [_SPACED.findall(x) for x in (text or "").lower().split("\n")]
-    hashes = word_hashes([w for x in lines for w in x])
+def units(text: str | None, shingle: int = SHINGLE, words: int = WORDS) -> tuple[list[tuple[int, int, int, np.ndarray]], np.ndarray, np.ndarray]:
+    """Start (in words), length, hash and shingle hashes of a text's paragraphs; places and hashes of its seeds."""
+    hashes, lengths = text_words(text)
     small, out = runs(hashes, shingle), []
-    for start, n in paragraphs([len(x) for x in lines], words):
+    for start, n in paragraphs(lengths, words):
         own = hashes[start : start + n]
         out.append((start, n, xxhash.xxh64_intdigest(own.tobytes()), small[start : start + n - shingle + 1]))
     seeds = runs(hashes, SEED)
     places = anchors(seeds)
-    out += [(a, SEED, h, None) for a, h in zip(places.tolist(), seeds[places].tolist(), strict=True)]
-    return out
+    return out, places, seeds[places]
 
 
 def bands(shingles: list[np.ndarray], n: int, rows: int = ROWS) -> np.ndarray:
@@ -109,31 +101,54 @@ def bands(shingles: list[np.ndarray], n: int, rows: int = ROWS) -> np.ndarray:
     flat, at = np.concatenate(shingles), np.cumsum(counts) - counts
     out = np.zeros((len(shingles), n), np.uint64)
     for k in range(n * rows):
-        least = np.minimum.reduceat(_mixed(flat ^ _mixed(np.array([k + 1], np.uint64))), at)
-        out[:, k // rows] = _mixed(out[:, k // rows] + least + np.uint64(k))
+        least = np.minimum.reduceat(mixed(flat ^ mixed(np.array([k + 1], np.uint64))), at)
+        out[:, k // rows] = mixed(out[:, k // rows] + least + np.uint64(k))
     return out
 
 
 def all_units(docs: DataFrame, n_bands: int) -> DataFrame:
-    """``doc_id``, ``start``, ``n``, ``h`` of every unit, and ``bands`` of paragraphs."""
+    """``doc_id``, ``row`` (``row_key``), ``start``, ``n``, ``h`` and ``bands`` of every paragraph, with the ``seeds`` inside it.
+
+    The seeds that are inside no paragraph are in a row without ``h``. A paragraph that comes again in a
+    task has its bands but once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for batch in batches:
-            for part in (batch.iloc[k : k + 500] for k in range(0, len(batch), 500)):
-                rows = [(d, *u) for d, t in zip(part["doc_id"], part["text"], strict=True) for u in units(t)]
-                keys = iter(bands([r[4] for r in rows if r[4] is not None], n_bands).view(np.int64).tolist())
+            for a, b in pieces(batch["text"].tolist()):
+                rows, new = [], {}
+                if len(seen) > SEEN:
+                    seen.clear()
+                for d, r, t in zip(batch["doc_id"][a:b], batch["row"][a:b], batch["text"][a:b], strict=True):
+                    own, places, seeds = units(t)
+                    free = np.ones(len(places), bool)
+                    for start, n, h, shingles in own:
+                        lo, hi = np.searchsorted(places, (start, start + n - SEED + 1))
+                        free[lo:hi] = False
+                        rows.append([d, r, start, n, h, places[lo:hi], seeds[lo:hi]])
+                        if h not in seen:
+                            seen.add(h)
+                            new[h] = shingles
+                    if free.any():
+                        rows.append([d, r, 0, 0, None, places[free], seeds[free]])
+                keys = dict(zip(new, bands(list(new.values()), n_bands).view(np.int64).tolist(), strict=True))
+                signed = lambda h: None if h is None else h - (h >> 63 << 64)
                 yield pd.DataFrame(
                     {
-                        "doc_id": pd.Series([r[0] for r in rows], dtype=part["doc_id"].dtype),
-                        "start": np.array([r[1] for r in rows], np.int32),
-                        "n": np.array([r[2] for r in rows], np.int32),
-                        "h": np.array([r[3] for r in rows], np.uint64).view(np.int64),
-                        "bands": pd.Series([None if r[4] is None else next(keys) for r in rows], dtype=object),
+                        "doc_id": np.array([x[0] for x in rows], np.int64),
+                        "row": np.array([x[1] for x in rows], np.int64),
+                        "start": np.array([x[2] for x in rows], np.int32),
+                        "n": np.array([x[3] for x in rows], np.int32),
+                        "h": pd.Series([signed(x[4]) for x in rows], dtype="Int64"),
+                        "bands": pd.Series([keys.pop(x[4], None) for x in rows], dtype=object),
+                        "places": pd.Series([x[5].astype(np.int32) for x in rows], dtype=object),
+                        "seeds": pd.Series([x[6].view(np.int64) for x in rows], dtype=object),
                     }
                 )
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    return chosen.mapInPandas(run, "doc_id long, start int, n int, h long, bands array<long>")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text").where("doc_id IS NOT NULL")
+    return chosen.mapInPandas(run, "doc_id long, row long, start int, n int, h long, bands array<long>, places array<int>, seeds array<long>")
 
 
 def alike(a: tuple, b: tuple, least: float = SIMILARITY) -> bool:
@@ -145,76 +160,87 @@ def alike(a: tuple, b: tuple, least: float = SIMILARITY) -> bool:
     return both >= least * (small + large - both) - 1e-9
 
 
-def paragraph_edges(docs: DataFrame, forms: DataFrame, least: float = SIMILARITY, cell: int = CELL) -> DataFrame:
+def paragraph_edges(docs: DataFrame, whole: DataFrame, forms: DataFrame, least: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """Edges (``a``, ``b``) between the hashes of similar paragraphs.
 
-    ``forms``: ``h``, ``bands`` and ``first`` (struct of doc_id, start and n) of distinct paragraphs.
+    ``whole``: of ``all_units``. ``forms``: ``h`` and ``first`` (struct of doc_id, row, start and n) of distinct paragraphs.
     """
-    keys = forms.select("h", F.posexplode("bands").alias("band", "least")).select(F.xxhash64("band", "least").alias("key"), F.col("h").alias("id"))
+    keys = whole.where("bands IS NOT NULL").select("h", F.posexplode("bands").alias("band", "least")).select(F.xxhash64("band", "least").alias("key"), F.col("h").alias("id"))
 
     @F.pandas_udf("array<struct<h:long,shingles:array<long>>>")
     def fetch(text: pd.Series, places: pd.Series) -> pd.Series:
         out = []
         for t, wanted in zip(text, places, strict=True):
-            hashes = word_hashes(_SPACED.findall((t or "").lower()))
-            rows = []
+            hashes, rows = text_words(t)[0], []
             for p in wanted:
                 own = hashes[p["start"] : p["start"] + p["n"]]
                 if xxhash.xxh64_intdigest(own.tobytes()) == p["h"] & (1 << 64) - 1:
-                    rows.append({"h": p["h"], "shingles": np.unique(runs(own, SHINGLE)).view(np.int64).tolist()})
+                    rows.append({"h": p["h"], "shingles": np.unique(runs(own, SHINGLE)).view(np.int64)})
             out.append(rows)
         return pd.Series(out)
 
     def bodies(ids: DataFrame) -> DataFrame:
-        wanted = forms.join(ids.withColumnRenamed("id", "h"), "h").groupBy("first.doc_id").agg(F.collect_list(F.struct("first.start", "first.n", "h")).alias("places"))
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
-        found = texts.select(F.explode(fetch("text", "places")).alias("x")).groupBy("x.h").agg(F.first("x.shingles").alias("shingles"))
+        wanted = forms.join(ids.withColumnRenamed("id", "h"), "h").groupBy("first.row").agg(F.collect_list(F.struct("first.start", "first.n", "h")).alias("places"))
+        texts = docs.where("doc_id IS NOT NULL").select(row_key().alias("row"), "text").join(materialize(wanted, "passage-places"), "row")
+        found = texts.select(F.explode(fetch("text", "places")).alias("x")).select("x.*").dropDuplicates(["h"])
         return found.select(F.col("h").alias("id"), F.struct("shingles").alias("body"))
 
     return verified_links(keys, bodies, lambda a, b: alike(a, b, least), "passages", cell)
 
 
 def repeated_windows(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``doc_id``, ``start``, ``n`` and ``h`` of all windows that hold a seed which occurs again.
+    """``doc_id``, ``row``, ``start``, ``n`` and ``h`` of all windows that hold a seed which occurs again.
 
     Two windows of the same words hold the same least seed, so all windows that occur again are among
-    them. ``seeds``: the units of ``docs`` without bands.
+    them. ``seeds``: ``row``, ``start`` and ``seed``.
     """
-    again = seeds.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
-    places = seeds.join(again, "h").groupBy("doc_id").agg(F.collect_set("start").alias("places"))
+    again = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("seed")
+    places = materialize(seeds.join(materialize(again, "seeds-again"), "seed").select("row", "start"), "seed-places")
+    places = materialize(places.groupBy("row").agg(F.collect_set("start").alias("places")), "seeds-by-row")
 
     @F.pandas_udf("array<struct<start:int,h:long>>")
     def around(text: pd.Series, places: pd.Series) -> pd.Series:
         out = []
         for t, wanted in zip(text, places, strict=True):
-            large = runs(word_hashes(_SPACED.findall((t or "").lower())), WORDS)
+            large = runs(text_words(t)[0], WORDS)
             near = (np.asarray(wanted, np.int64)[:, None] - np.arange(WORDS - SEED + 1)).ravel()
             near = np.unique(near[(near >= 0) & (near < len(large))])
             out.append([{"start": a, "h": h} for a, h in zip(near.tolist(), large[near].view(np.int64).tolist(), strict=True)])
         return pd.Series(out)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(places, "doc_id")
-    return texts.select("doc_id", F.explode(around("text", "places")).alias("x")).select("doc_id", "x.start", F.lit(WORDS).alias("n"), "x.h")
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text").join(places, "row")
+    return texts.select("doc_id", "row", F.explode(around("text", "places")).alias("x")).select("doc_id", "row", "x.start", F.lit(WORDS).alias("n"), "x.h")
 
 
 def repeated_passages(docs: DataFrame, *, least: float = SIMILARITY, recall: float = RECALL, cell: int = CELL) -> DataFrame:
-    """``doc_id``, ``spans`` and ``keepers`` of every document that repeats a passage.
+    """``doc_id``, ``row`` (``row_key``), ``spans`` and ``keepers`` of every row that repeats a passage.
 
     ``spans``: disjoint runs of words (start, end) to cut, in order; ``keepers``: the documents where
     the first occurrences stay, sorted. A passage repeated inside its own document stays once.
     """
     whole = materialize(all_units(docs, tune_bands(least, ROWS, recall)), "units")
-    place = F.struct("doc_id", "start", "n")
-    windows = materialize(repeated_windows(docs, whole.where("bands IS NULL").select("doc_id", "start", "h")), "windows")
-    found = whole.where("bands IS NOT NULL").select("doc_id", "start", "n", "h").unionByName(windows)
-    lines = whole.where("bands IS NOT NULL").groupBy("h").agg(F.first("bands").alias("bands"), F.min(place).alias("first"))
-    groups = materialize(connected_components(paragraph_edges(docs, lines, least, cell)).withColumnRenamed("node", "h"), "passage-components")
-    counted = found.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_units"))
-    known = counted.join(groups, "h", "left").where("component IS NOT NULL OR n_units > 1")
+    place = F.struct("doc_id", "row", "start", "n")
+    lines = whole.where("h IS NOT NULL").select("doc_id", "row", "start", "n", "h")
+    forms = materialize(lines.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_units")), "passage-firsts")
+    groups = materialize(connected_components(paragraph_edges(docs, whole, forms, least, cell)).withColumnRenamed("node", "h"), "passage-components")
+    # What is inside a paragraph that repeats another exactly goes with it: its seeds tell nothing more.
+    copies = lines.join(materialize(forms.where("n_units > 1").select("h", "first"), "paragraphs-again"), "h").where(~place.eqNullSafe(F.col("first")))
+    copies = materialize(copies.select("row", "start", "n"), "paragraph-copies")
+    others = whole.select("row", "start", "n", "places", "seeds").join(copies, ["row", "start", "n"], "left_anti")
+    seeds = materialize(others.select("row", F.explode(F.arrays_zip("places", "seeds")).alias("s")).select("row", F.col("s.places").alias("start"), F.col("s.seeds").alias("seed")), "seeds")
+    windows = repeated_windows(docs, seeds)
+    windows = materialize(windows, "windows")
+    found = lines.unionByName(windows)
+    again = windows.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_units"))
+    known = forms.unionByName(again).groupBy("h").agg(F.min("first").alias("first"), F.sum("n_units").alias("n_units"))
+    known = known.join(groups, "h", "left").where("component IS NOT NULL OR n_units > 1")
     known = materialize(known.select("h", F.coalesce("component", "h").alias("g"), "first"), "passage-forms")
-    again = known.join(known.groupBy("g").agg(F.min("first").alias("keeper")), "g").select("h", "keeper")
-    gone = found.join(again, "h").where((F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("start") >= F.col("keeper.start") + F.col("keeper.n")))
-    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("cuts"), F.array_sort(F.collect_set("keeper.doc_id")).alias("keepers"))
+    keepers = materialize(known.groupBy("g").agg(F.min("first").alias("keeper")), "passage-keepers")
+    again = materialize(known.join(keepers, "g").select("h", "keeper"), "passage-repeats")
+    same = F.col("row") == F.col("keeper.row")
+    gone = found.join(again, "h").where(~same | (F.col("start") >= F.col("keeper.start") + F.col("keeper.n")))
+    gone = materialize(gone.select("doc_id", "row", "start", (F.col("start") + F.col("n")).alias("end"), F.col("keeper.doc_id").alias("keeper")), "passages-gone")
+    gone = gone.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("cuts"), F.array_sort(F.collect_set("keeper")).alias("keepers"))
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def joined(cuts: pd.Series) -> pd.Series:
@@ -229,7 +255,7 @@ def repeated_passages(docs: DataFrame, *, least: float = SIMILARITY, recall: flo
             out.append(done)
         return pd.Series(out)
 
-    return gone.select("doc_id", joined("cuts").alias("spans"), "keepers")
+    return gone.select("doc_id", "row", joined("cuts").alias("spans"), "keepers")
 
 
 def dedup_passages(docs: DataFrame, **settings) -> DataFrame:
@@ -239,9 +265,10 @@ def dedup_passages(docs: DataFrame, **settings) -> DataFrame:
     whose 5-word shingles are alike (Jaccard similarity ``least`` or more, or connected by such), or
     any run of as many equal words or more, which is cut whole. First is by doc_id, then place.
 
-    Null or empty text: unchanged. Null doc_id: takes no part, unchanged. Repeated rows of one id:
-    each loses the same spans. Very long texts: whole. No rows: no rows. All columns of ``docs`` are
-    returned, whatever their names.
+    Null or empty text: unchanged. Null doc_id: takes no part, unchanged. Rows of one id and different
+    texts are documents of their own, in an order that their texts give; equal rows lose the same spans.
+    Ties of place: the shorter unit is first. Very long texts: whole. No rows: no rows. All columns of
+    ``docs`` are returned, whatever their names.
     """
 
     @F.pandas_udf("string")
@@ -260,16 +287,17 @@ def dedup_passages(docs: DataFrame, **settings) -> DataFrame:
             out.append("".join([*pieces, t[done:]]))
         return pd.Series(out, dtype=object)
 
-    gone = repeated_passages(docs, **settings).select(F.col("doc_id").alias("_gone_id"), F.col("spans").alias("_gone_spans"))
-    whole = docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left")
-    return whole.withColumn("text", F.when(F.col("_gone_spans").isNull(), F.col("text")).otherwise(cut("text", "_gone_spans"))).select(*[f"`{c}`" for c in docs.columns])
+    gone = repeated_passages(docs, **settings).select("row", "spans")
+    whole = boxed(docs, row=F.when(F.col("doc_id").isNotNull(), row_key())).join(gone, "row", "left")
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans"))
+    return whole.select(*[(text if c == "text" else F.col("boxed").getField(c)).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """One row per document: its class (the first document of a passage that it repeats, else
     itself), the documents that keep its passages, and the runs of words to cut."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = docs.select("doc_id").join(repeated_passages(docs), "doc_id", "left")
+    found = docs.select("doc_id", row_key().alias("row")).join(repeated_passages(docs).drop("doc_id"), "row", "left")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select(
         "doc_id",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 SPACES = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
+#: Characters of texts that a task handles at once.
+CHARS = 1_000_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,3 +41,20 @@ def boxed(docs: DataFrame, **more: Column) -> DataFrame:
     """
     every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return docs.select(every.alias("boxed"), "text", *[c.alias(name) for name, c in more.items()])
+
+
+def pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs (start, end) of texts of about ``CHARS`` characters together."""
+    start, held = 0, 0
+    for k, t in enumerate(texts):
+        if k > start and held + len(t or "") > CHARS:
+            yield start, k
+            start, held = k, 0
+        held += len(t or "")
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def row_key() -> Column:
+    """Tells rows apart, those of one doc_id too: equal rows alone have one key."""
+    return F.xxhash64(F.lit(3), "doc_id", "text")
