@@ -48,7 +48,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Edit similarity and packing are beyond SQL; the tests hold the stages against brute force.
+#: Edit similarity and packing are beyond SQL; tests/llm/test_pipeline.py holds each stage against a plain loop.
 ORACLE_SQL = None
 
 

@@ -30,7 +30,7 @@ SIMILARITY = 0.8
 #: Fingerprints within ``SURE`` bits always meet: of ``BLOCKS`` blocks all but ``SURE`` stay intact.
 BLOCKS, SURE = 4, 2
 #: Two lines of ``MANY`` words or more whose fingerprints are further apart are not compared.
-FAR, MANY = 24, 10
+FAR, MANY = 24, 6
 #: Lines above ``SHORT`` characters: bands, minima in each, and bytes of the words that count.
 BANDS, MINIMA, LETTERS = 16, 4, 4
 #: Lines of at most ``SHORT`` characters, and those as long as a line of more may be similar to: bands
@@ -129,24 +129,24 @@ def but_one(line: str) -> list[int]:
     return sorted({line_hash(x) >> 32 for x in kept})
 
 
-def fingerprints_and_keys(lines: list[str]) -> tuple[np.ndarray, list[list[int]]]:
+def fingerprints_and_keys(lines: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Of each line the fingerprint, and its keys beside those of the fingerprint."""
     if not lines:
         return np.zeros(0, np.uint64), []
     hashes, size, counts = line_words(lines)
     length = np.fromiter(map(len, lines), np.int64, len(lines))
-    keys = [but_one(x) if n <= FEW + 1 else [] for x, n in zip(lines, counts.tolist(), strict=True)]
+    keys: list[list[np.ndarray]] = [[np.array(but_one(x), np.int64)] if n <= FEW + 1 else [] for x, n in zip(lines, counts.tolist(), strict=True)]
     long = np.flatnonzero(length > SIMILARITY * SHORT)
     if len(long):
         chosen = np.repeat(length > SIMILARITY * SHORT, counts)
         features = longer_words(hashes[chosen], size[chosen], counts[long])
-        for k, found in zip(long.tolist(), banded(*features, BANDS, 1).tolist(), strict=True):
-            keys[k] += found
+        for k, found in zip(long.tolist(), banded(*features, BANDS, 1), strict=True):
+            keys[k].append(found)
     short = np.flatnonzero(length <= SHORT / SIMILARITY)
     if len(short):
-        for k, found in zip(short.tolist(), banded(*letter_grams([lines[k] for k in short]), SHORT_BANDS, 2).tolist(), strict=True):
-            keys[k] += found
-    return fingerprints_of(hashes, counts), keys
+        for k, found in zip(short.tolist(), banded(*letter_grams([lines[k] for k in short]), SHORT_BANDS, 2), strict=True):
+            keys[k].append(found)
+    return fingerprints_of(hashes, counts), [x[0] if len(x) == 1 else np.concatenate(x) for x in keys]
 
 
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
@@ -284,15 +284,8 @@ def similar_line_edges(docs: DataFrame, lines: DataFrame, forms: DataFrame, leas
     def same(a: tuple, b: tuple) -> bool:
         return not (a[2] and b[2] and ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count() > FAR) and similar(a[0], b[0], least)
 
-    prints = forms.select(F.col("h").alias("id"), F.col("bits").alias("of_id"), F.col("many").alias("long_id"))
-
-    def near(pairs: DataFrame) -> DataFrame:
-        other = prints.toDF("pivot", "of_pivot", "long_pivot")
-        apart = F.bit_count(F.col("of_id").bitwiseXOR(F.col("of_pivot")))
-        both = pairs.join(prints, "id").join(other, "pivot")
-        return both.where((apart <= FAR) | ~F.col("long_id") | ~F.col("long_pivot")).select("id", "pivot")
-
-    return verified_links(entries, bodies, same, "lines", cell, near)
+    prints = forms.select(F.col("h").alias("id"), "bits", "many")
+    return verified_links(entries, bodies, same, "lines", cell, prints, FAR)
 
 
 def distinct_forms(lines: DataFrame) -> DataFrame:

@@ -14,15 +14,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def hashed_runs(raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of each run of bytes, a polynomial of them: runs in order, a gap behind each."""
+def hashed_words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, a polynomial of its bytes, and their number; one byte follows each word, at ``ends``."""
+    if not len(ends):
+        return np.zeros(0, np.uint64), ends
+    starts = np.empty_like(ends)
+    starts[0], starts[1:] = 0, ends[:-1] + 1
+    size = ends - starts
     powers = np.full(int(size.max()) + 1, STEP, np.uint64)
     powers[0] = 1
     powers = np.cumprod(powers, dtype=np.uint64)
-    at = np.arange(len(raw)) - np.repeat(starts, np.diff(starts, append=len(raw)))
-    inside = at < np.repeat(size, np.diff(starts, append=len(raw)))
-    values = np.where(inside, raw, 0).astype(np.uint64) * powers[np.where(inside, at, 0)]
-    return mixed(np.add.reduceat(values, starts) + size.astype(np.uint64))
+    values = raw.astype(np.uint64)
+    values[ends] = 0
+    values *= powers[np.arange(len(raw)) - np.repeat(starts, size + 1)]
+    return mixed(np.add.reduceat(values, starts) + size.astype(np.uint64)), size
 
 
 def line_words(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,10 +37,8 @@ def line_words(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     raw = np.frombuffer(("\n".join(lines) + "\n").encode("utf-8", "surrogatepass"), np.uint8)
     ends = np.flatnonzero((raw == 32) | (raw == 10))
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    size = ends - starts
     counts = np.diff(np.flatnonzero(raw[ends] == 10), prepend=-1)
-    return hashed_runs(raw, starts, size), size, counts
+    return *hashed_words(raw, ends), counts
 
 
 def text_words(text: str | None) -> tuple[np.ndarray, list[int]]:
@@ -43,12 +46,7 @@ def text_words(text: str | None) -> tuple[np.ndarray, list[int]]:
 
     Words are runs of characters other than space, tab, newline, VT, FF and CR.
     """
-    raw = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
-    word = (raw != 32) & ((raw < 9) | (raw > 13))
-    change = np.diff(word, prepend=False, append=False)
-    starts, ends = np.flatnonzero(change)[::2], np.flatnonzero(change)[1::2]
-    breaks = np.flatnonzero(raw == 10)
-    counts = np.diff(np.searchsorted(starts, breaks), prepend=0, append=len(starts)) if len(breaks) else np.array([len(starts)])
-    if not len(starts):
-        return np.zeros(0, np.uint64), counts.tolist()
-    return hashed_runs(raw[starts[0] :], starts - starts[0], ends - starts), counts.tolist()
+    lines = [x.split() for x in (text or "").lower().encode("utf-8", "surrogatepass").split(b"\n")]
+    words = [w for x in lines for w in x]
+    raw = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+    return hashed_words(raw, np.flatnonzero(raw == 32))[0], [len(x) for x in lines]

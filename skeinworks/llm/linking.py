@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,14 +70,15 @@ def verified_links(
     same: Callable[[tuple, tuple], bool],
     label: str,
     cell: int = CELL,
-    near: Callable[[DataFrame], DataFrame] | None = None,
+    prints: DataFrame | None = None,
+    far: int = 64,
 ) -> DataFrame:
     """Edges (``a``, ``b``) that connect all ids that share a ``key`` and are the ``same``.
 
     ``entries``: ``key`` and ``id``, repeats allowed. ``bodies`` gives, for a table of ids, ``id`` and ``body``, a
-    struct; ``same`` compares two bodies, each as a tuple. ``near`` takes a table with ``id`` and
-    ``pivot`` and leaves out rows that cannot be the same: two ids alone under a key that it leaves out
-    are passed over, and no body is fetched for them.
+    struct; ``same`` compares two bodies, each as a tuple. With ``prints`` (``id``, ``bits``, ``many``), two ids that
+    both have ``many`` and whose bits differ in more than ``far`` places are not compared; ids that are so far from all
+    others of a key are left before their bodies are brought together.
 
     A key's least and greatest id come from a combined aggregate and show whether it has several;
     only such keys are joined back. In each key all ids are first compared with its least one, the
@@ -92,7 +94,11 @@ def verified_links(
     more = inside.where("id < last").select("key").distinct()
     crowded = materialize(inside.join(more, "key").select("key", "id", "pivot"), f"{label}-crowded")
     tried = inside.select("id", "pivot").distinct()
-    tried = materialize(near(tried) if near else tried, f"{label}-tried")
+    if prints is not None:
+        apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("pivot_bits")))
+        tried = tried.join(prints, "id").join(prints.toDF("pivot", "pivot_bits", "pivot_many"), "pivot")
+        tried = tried.where((apart <= far) | ~F.col("many") | ~F.col("pivot_many")).select("id", "pivot")
+    tried = materialize(tried, f"{label}-tried")
     both = [df.select(F.col(c).alias("id")) for df in (tried, crowded) for c in ("id", "pivot")]
     known = materialize(bodies(both[0].unionByName(both[1]).unionByName(both[2]).unionByName(both[3]).distinct()), f"{label}-bodies")
     other = known.select(F.col("id").alias("pivot"), F.col("body").alias("pivot_body"))
@@ -105,14 +111,11 @@ def verified_links(
     compared = tried.join(known, "id").join(other, "pivot")
     matched = materialize(compared.where(matches("body", "pivot_body")).select("id", "pivot"), f"{label}-matched")
 
-    odd = materialize(crowded.join(matched, ["id", "pivot"], "left_anti").select("key", "id"), f"{label}-odd")
-    chunks = (F.floor(F.count(F.lit(1)) / cell) + 1).cast("int")
-    open_keys = crowded.groupBy("key").agg(chunks.alias("chunks")).join(odd.groupBy("key").agg(chunks.alias("odd_chunks")), "key")
-    open_keys = materialize(open_keys, f"{label}-open")
-    dealt = lambda df, by: df.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64(F.lit(11), "id"), F.col(by)).cast("int"))
-    left = dealt(crowded.select("key", "id"), "chunks").select("key", "id", F.col("own").alias("a"), F.explode(F.sequence(F.lit(0), F.col("odd_chunks") - 1)).alias("b"), F.lit(False).alias("odd"))
-    right = dealt(odd, "odd_chunks").select("key", "id", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("a"), F.col("own").alias("b"), F.lit(True).alias("odd"))
-    cells = left.unionByName(right).join(known, "id").groupBy("key", "a", "b").agg(F.collect_list(F.struct("id", "odd", "body")).alias("m"))
+    odd = crowded.join(matched, ["id", "pivot"], "left_anti").select("key", "id", F.lit(True).alias("odd"))
+    members = materialize(crowded.select("key", "id", F.lit(False).alias("odd")).unionByName(odd), f"{label}-members")
+    if prints is not None:
+        members = materialize(_with_neighbours(members, prints, far, cell), f"{label}-neighbours")
+    cells = _crossing(members, cell).join(known, "id").groupBy("key", "a", "b").agg(F.collect_list(F.struct("id", "odd", "body")).alias("m"))
 
     @F.pandas_udf("array<struct<a:long,b:long>>")
     def crossed(ids: pd.Series, odds: pd.Series, held: pd.Series) -> pd.Series:
@@ -135,6 +138,39 @@ def verified_links(
     return found.unionByName(matched.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
 
 
+def _crossing(members: DataFrame, cell: int) -> DataFrame:
+    """``members`` (``key``, ``id``, ``odd``) dealt to cells (``a``, ``b``) of a key, so that each odd one meets all that
+    are not marked odd, about ``cell`` on either side; keys without an odd one are left."""
+    chunks = lambda odd: (F.floor(F.count(F.when(F.col("odd") == odd, 1)) / cell) + 1).cast("int")
+    sizes = members.groupBy("key").agg(chunks(False).alias("chunks"), chunks(True).alias("odd_chunks"), F.max("odd").alias("any"))
+    dealt = members.join(sizes.where("any").drop("any"), "key")
+    own = F.pmod(F.xxhash64(F.lit(11), "id"), F.when(F.col("odd"), F.col("odd_chunks")).otherwise(F.col("chunks"))).cast("int")
+    across = F.explode(F.sequence(F.lit(0), F.when(F.col("odd"), F.col("chunks")).otherwise(F.col("odd_chunks")) - 1))
+    dealt = dealt.select("key", "id", "odd", own.alias("own"), across.alias("other"))
+    a, b = (F.when(F.col("odd") == o, F.col("own")).otherwise(F.col("other")) for o in (False, True))
+    return dealt.select("key", "id", "odd", a.alias("a"), b.alias("b"))
+
+
+def _with_neighbours(members: DataFrame, prints: DataFrame, far: int, cell: int) -> DataFrame:
+    """Those of ``members`` that have one of the other kind, odd or not, to be compared with."""
+    cells = _crossing(members, cell).join(prints, "id").groupBy("key", "a", "b").agg(F.collect_list(F.struct("id", "odd", "bits", "many")).alias("m"))
+
+    @F.pandas_udf("array<struct<id:long,odd:boolean>>")
+    def beside(ids: pd.Series, odds: pd.Series, bits: pd.Series, many: pd.Series) -> pd.Series:
+        out = []
+        for i, o, x, m in zip(ids, odds, bits, many, strict=True):
+            i, o, x, m = np.asarray(i, np.int64), np.asarray(o, bool), np.asarray(x, np.int64).view(np.uint64), np.asarray(m, bool)
+            rows, columns = np.flatnonzero(o), np.flatnonzero(~o)
+            near = (np.bitwise_count(x[rows][:, None] ^ x[columns]) <= far) | ~m[rows][:, None] | ~m[columns]
+            near &= i[rows][:, None] != i[columns]
+            kept = [*rows[near.any(axis=1)].tolist(), *columns[near.any(axis=0)].tolist()]
+            out.append([{"id": int(i[k]), "odd": bool(o[k])} for k in kept])
+        return pd.Series(out)
+
+    found = cells.select("key", F.explode(beside("m.id", "m.odd", "m.bits", "m.many")).alias("x"))
+    return found.select("key", "x.id", "x.odd").distinct()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``node`` and ``component``, the least node that it reaches, of every node with an edge.
 

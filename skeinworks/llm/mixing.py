@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinworks.llm.text import SYMBOLS, count_chars, n_words
+from skeinworks.llm.text import boxed, SYMBOLS, count_chars, n_words
 from skeinworks.runtime import materialize
 
 CYCLE = (5, 2, 1)
@@ -129,10 +129,10 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
 
     Rows of one doc_id are taken equally often. Else as ``mix_sources``; all columns are returned.
     """
-    copies = mix_sources(docs, **settings).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_copies"))
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_mix_id"))).where("_copies > 0")
-    again = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return again.drop("_mix_id", "_copies", "_copy")
+    copies = mix_sources(docs, **settings).groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").alias("copies"))
+    taken = boxed(docs, own_id=F.col("doc_id")).join(copies, F.col("own_id").eqNullSafe(F.col("mix_id"))).where("copies > 0")
+    again = taken.select("boxed", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return again.select(*[F.col("boxed").getField(c).alias(c) for c in docs.columns])
 
 
 SQL = """

@@ -17,6 +17,7 @@ import heapq
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ TIERS = (128, 256, 512, 1024)
 #: Pieces that wait in a task before windows are packed, and tokens of a step group.
 WAITING = 4096
 STEP = 64 * WINDOW
+#: Steps whose sequences a task gathers, about, before it deals them out.
+STEPS = 8
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -136,12 +139,18 @@ class Packer:
         if inside:
             self.full.append(inside[::-1])
 
-    def sequences(self) -> pa.RecordBatch:
-        """The filled sequences as rows, dealt to even step groups: each to the lightest so far."""
+    def sequences(self, last: bool = True) -> pa.RecordBatch:
+        """The filled sequences as rows, dealt to even step groups: each to the lightest so far.
+
+        Without ``last``, only as many as make full groups; the rest waits for more.
+        """
         lengths = [sum(p[0] for p in s) for s in self.full]
-        groups = [(0, self.next_step + k) for k in range(max(1, round(sum(lengths) / self.step)))]
+        n = round(sum(lengths) / self.step) if last else sum(lengths) // self.step
+        ends = list(accumulate(lengths))
+        dealt = len(lengths) if last else bisect_right(ends, n * self.step)
+        groups = [(0, self.next_step + k) for k in range(max(1, n) if dealt else 0)]
         rows: list[tuple] = []
-        for k in sorted(range(len(self.full)), key=lambda k: -lengths[k]):
+        for k in sorted(range(dealt), key=lambda k: -lengths[k]):
             load, step = heapq.heappop(groups)
             heapq.heappush(groups, (load + lengths[k], step))
             offset = 0
@@ -150,7 +159,7 @@ class Packer:
                 offset += length
             self.next_sequence += 1
         self.next_step += len(groups)
-        self.full = []
+        self.full = self.full[dealt:]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         columns = zip(*rows, strict=True) if rows else [[] for _ in names]
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=names)
@@ -172,11 +181,12 @@ def pack_documents(
     its text's and then ``end``; each lies in one piece. Returns one row per piece: doc_id, start (its
     document's ids before it), length, ids_crc32 (of the piece's ids as little-endian 32-bit
     numbers), doc_tokens, sequence_id, offset (in the sequence, gapless from 0), tier (the sequence's
-    length, a power of two but for the last of a task) and step_group (sequences of about ``step``
-    tokens together). ``tiers`` and ``window`` are powers of two.
+    length, a power of two but for the last of a task) and step_group (sequences of ``step``
+    tokens together, to within one sequence; the last of a task may have fewer or half as many again). ``tiers`` and ``window`` are powers of two.
 
-    Null or empty text: ``end`` alone. Repeated rows and null doc_ids: documents of their own. No
-    rows: no rows. Other columns of ``docs`` are not read.
+    Null or empty text: ``end`` alone. Very long texts: cut into windows. Pieces of one length: the earlier
+    is packed first. Repeated rows and null doc_ids: documents of their own. No rows: no rows. Other
+    columns of ``docs`` are not read, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +200,8 @@ def pack_documents(
                     packer.add(doc_id, np.append(x, np.array([end], "<u4")))
                 if packer.count >= waiting:
                     packer.pack(last=False)
-                if packer.full:
-                    yield packer.sequences()
+                if len(packer.full) * window >= STEPS * step:
+                    yield packer.sequences(last=False)
         packer.pack(last=True)
         yield packer.sequences()
 

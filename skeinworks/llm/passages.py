@@ -100,8 +100,9 @@ def bands(shingles: list[np.ndarray], n: int, rows: int = ROWS) -> np.ndarray:
     counts = np.fromiter(map(len, shingles), np.int64, len(shingles))
     flat, at = np.concatenate(shingles), np.cumsum(counts) - counts
     out = np.zeros((len(shingles), n), np.uint64)
+    odd = np.random.default_rng(1).integers(0, 1 << 63, n * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     for k in range(n * rows):
-        least = np.minimum.reduceat(mixed(flat ^ mixed(np.array([k + 1], np.uint64))), at)
+        least = np.minimum.reduceat(flat * odd[k], at)
         out[:, k // rows] = mixed(out[:, k // rows] + least + np.uint64(k))
     return out
 

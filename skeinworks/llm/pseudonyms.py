@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
@@ -28,22 +29,22 @@ _VALUE = re.compile(
     rf"""
     (?P<email>(?<![\w.%+-])[\w.%+-]{{1,64}}@(?:[A-Za-z0-9-]{{1,63}}\.){{1,8}}[A-Za-z]{{2,24}}(?![A-Za-z]))
     |(?P<secret>(?<=["'])(?<!\w)[A-Za-z0-9_-]{{16,128}}(?=["']))
-    |(?P<iban>(?<!\w)[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?!\w))
-    |(?P<iso>(?<![\w.-])\d{{4}}([-/.])\d{{2}}\5\d{{2}}(?![\w-]|\.\d))
-    |(?P<day>(?<![\w.-])\d{{1,2}}([-/.])\d{{1,2}}\7\d{{4}}(?![\w-]|\.\d))
-    |(?P<written>(?<!\w)(?:\d{{1,2}}\.?[ ](?:{_MONTH})|(?:{_MONTH})\.?[ ]\d{{1,2}},?)[ ]\d{{4}}(?!\w))
-    |(?P<ip>(?<![\w.])(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?!\w|\.\d))
-    |(?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
-    |(?P<phone>(?<!\w)\+1[ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}}(?!\w)
-        |(?<!\w)\+\d{{1,3}}[ .-]?(?:\(\d{{1,5}}\)[ .-]?)?\d(?:[ .-]?\d){{5,13}}(?!\w)
-        |(?<![\w+])(?:\(\d{{3}}\)[ ]?|\d{{3}}[-.])\d{{3}}[-.]\d{{4}}(?!\w))
-    |(?P<card>(?<![\w.-])(?:\d{{13,19}}|\d{{4}}([ -])\d{{4}}\13\d{{4}}\13\d{{1,7}}|\d{{4}}[ -]\d{{6}}[ -]\d{{5}})(?![\w-]|\.\d))
+    |(?P<iban>(?<!\w)[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?!\w))
+    |(?P<iso>(?<![\w.-])[0-9]{{4}}([-/.])[0-9]{{2}}\5[0-9]{{2}}(?![\w-]|\.[0-9]))
+    |(?P<day>(?<![\w.-])[0-9]{{1,2}}([-/.])[0-9]{{1,2}}\7[0-9]{{4}}(?![\w-]|\.[0-9]))
+    |(?P<written>(?<!\w)(?:[0-9]{{1,2}}\.?[ ](?:{_MONTH})|(?:{_MONTH})\.?[ ][0-9]{{1,2}},?)[ ][0-9]{{4}}(?!\w))
+    |(?P<ip>(?<![\w.])(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?!\w|\.[0-9]))
+    |(?P<ssn>(?<![\w-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\w-]))
+    |(?P<phone>(?<!\w)\+1[ .-]?(?:\([0-9]{{3}}\)|[0-9]{{3}})[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}(?!\w)
+        |(?<!\w)\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,5}}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){{5,13}}(?!\w)
+        |(?<![\w+])(?:\([0-9]{{3}}\)[ ]?|[0-9]{{3}}[-.])[0-9]{{3}}[-.][0-9]{{4}}(?!\w))
+    |(?P<card>(?<![\w.-])(?:[0-9]{{13,19}}|[0-9]{{4}}([ -])[0-9]{{4}}\13[0-9]{{4}}\13[0-9]{{1,7}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}})(?![\w-]|\.[0-9]))
     """,
     re.VERBOSE,
 )
 #: Before a quoted secret: the name it is given to.
 _NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\w*[\"']?\s{0,4}[:=]\s{0,4}[\"']\Z")
-_HINT = re.compile(r"[\d@]|(?i:secret|token|key|passw)")
+_HINT = re.compile(r"[0-9@]|(?i:secret|token|key|passw)")
 
 
 class Feistel:
@@ -130,8 +131,8 @@ def card(value: str, move: Move) -> str | None:
 
 
 def phone(value: str, move: Move) -> str | None:
-    country = re.match(r"\+\d{1,3}", value)
-    head = country[0] if country and not value[country.end()].isdigit() else "+" if country else ""
+    country = re.match(r"\+[0-9]{1,3}", value)
+    head = country[0] if country and value[country.end()] not in DIGITS else "+" if country else ""
     digits = only_digits(value[len(head) :])
     if not 7 <= len(only_digits(value)) <= 15:
         return None
@@ -210,14 +211,14 @@ def day(value: str, move: Move) -> str | None:
 
 def written(value: str, move: Move) -> str | None:
     name = re.search(r"[A-Z][a-z]+", value)[0]
-    number, year = re.findall(r"\d+", value)
+    number, year = re.findall(r"[0-9]+", value)
     month = next(k for k, m in enumerate(MONTHS, 1) if m.startswith(name))
     new = moved_day(int(year), month, int(number), move)
     if not new:
         return None
     label = MONTHS[new.month - 1] if len(name) > 3 or name == "May" else MONTHS[new.month - 1][:3]
-    out = re.sub(r"\d{4}\Z", str(new.year), value.replace(name, "\0"))
-    return re.sub(r"\d{1,2}(?=\D)", str(new.day), out, count=1).replace("\0", label)
+    out = re.sub(r"[0-9]{4}\Z", str(new.year), value.replace(name, "\0"))
+    return re.sub(r"[0-9]{1,2}(?=[^0-9])", str(new.day), out, count=1).replace("\0", label)
 
 
 def secret(value: str, move: Move) -> str:
@@ -246,17 +247,19 @@ def pseudonymise(text: str | None, move: Move) -> tuple[str | None, list[tuple[s
     return "".join([*out, text[done:]]), found
 
 
-def pseudonyms(docs: DataFrame, key: bytes, *, undo: bool = False) -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes, *, undo: bool = False, values: str = "values") -> DataFrame:
     """``docs`` with personal values in ``text`` replaced, and ``values``: kind, start and end of each.
 
     Kinds: e-mail addresses (the local part moves), quoted secrets given to a name, IBANs and card
     numbers with right check digits, social security numbers, dates from 1900 to 2099, IPv4
     addresses and telephone numbers. What fails its validation stays. ``undo`` reverses it.
 
-    Null and empty texts stay as they are, without values. Repeated rows: each is treated alike. No
-    rows: no rows. All other columns of ``docs`` are returned, but for one called ``values``.
+    Digits are 0 to 9 alone; other scripts' digits are no part of a value. Null and empty texts stay as
+    they are, without values. Very long texts: whole, one at a time. Where two kinds fit one place, the first
+    in the order above counts. Repeated rows: each is treated alike. No rows: no rows. All other
+    columns of ``docs`` are returned; one called ``values`` is replaced unless another name is given.
     """
-    rest = [c for c in docs.columns if c not in ("text", "values")]
+    rest = [c for c in docs.columns if c not in ("text", values)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         network = Feistel(key)
@@ -264,12 +267,13 @@ def pseudonyms(docs: DataFrame, key: bytes, *, undo: bool = False) -> DataFrame:
         for batch in batches:
             done = [pseudonymise(t, move) for t in batch["text"]]
             batch["text"] = [t for t, _ in done]
-            batch["values"] = [[{"kind": k, "start": a, "end": b} for k, a, b in v] for _, v in done]
+            batch["found"] = [[{"kind": k, "start": a, "end": b} for k, a, b in v] for _, v in done]
             yield batch
 
-    chosen = docs.select(*rest, "text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields)
-    return chosen.mapInPandas(run, f"{fields}, `values` array<struct<kind:string,start:long,end:long>>")
+    # Under plain names: mapInPandas cannot read a name with a dot.
+    chosen = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)], "text")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields)
+    return chosen.mapInPandas(run, f"{fields}, found array<struct<kind:string,start:long,end:long>>").toDF(*rest, "text", values)
 
 
 #: For the registered query and the tests; a real corpus has a key of its own, kept apart from it.

@@ -1,7 +1,7 @@
 """Token ids of Arrow columns of text: every distinct word of a batch is encoded once.
 
 A byte-level BPE splits a text into runs before it merges, and never inside a run between white
-space and the character before it. So a text whose only white space is single spaces and newlines
+space and the character before it. So a text without special tokens whose only white space is single spaces and newlines
 can be cut before each of them, and the pieces' ids joined. Pieces come back again and again;
 their ids are kept in a table of bounded size for the life of the worker; when it is full, its older
 half, which has the more frequent pieces, stays. Other texts are encoded whole.
@@ -24,14 +24,16 @@ ODD = r"[ \n][ \n]|[ \n]\z|[\x00-\x09\x0b-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{20
 
 
 class Encoder:
-    """Ids by the ``tokenizers`` file at ``path``; special tokens in a text are ordinary text."""
+    """Ids by the ``tokenizers`` file at ``path``; a special token in a text has its own id."""
 
     def __init__(self, path: str, keep: int = KEEP):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        named = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Texts that hold one of these are encoded whole: no cut runs through it.
+        self.odd = "|".join([ODD, *(r"\Q" + t + r"\E" for t in named)])
         self.keep = keep
         self.place: dict[str, int] = {}
         self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
@@ -83,7 +85,7 @@ class Encoder:
         if not len(texts):
             return []
         texts = texts.cast(pa.large_string()).fill_null("")
-        odd = np.asarray(pc.match_substring_regex(texts, ODD))
+        odd = np.asarray(pc.match_substring_regex(texts, self.odd))
         out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
         for k in np.flatnonzero(odd).tolist():
             out[k] = np.array(self._ids(texts[k].as_py()), "<u4")

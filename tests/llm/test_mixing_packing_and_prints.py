@@ -61,6 +61,18 @@ def test_heavier_documents_are_chosen_more_often(spark):
     assert got[True] > 2 * got[False]
 
 
+def test_columns_with_the_names_that_operators_use(spark):
+    from skeinworks.llm import fuzzy_lines, passages
+
+    line = "these words are the same in both of the rows and there are more than twenty of them so that they are a passage too"
+    names = ["doc_id", "text", "source", "_gone", "_copies", "_copy", "_mix_id", "a.b", "row", "removed", "spans", "boxed", "left"]
+    rows = [(k, line + "\n" + own, "s", *range(10)) for k, own in ((1, "one line of the first row"), (2, "quite another thing for once"))]
+    df = spark.createDataFrame(rows, names)
+    for out in (fuzzy_lines.dedup_lines(df), passages.dedup_passages(df), mixing.mixed_documents(df)):
+        assert out.columns == names and all(r[3:] == tuple(range(10)) for r in out.collect())
+    assert [r["text"] for r in fuzzy_lines.dedup_lines(df).orderBy("doc_id").collect()] == [rows[0][1], "quite another thing for once"]
+
+
 def test_awkward_mixes(awkward, nothing):
     out = mixing.mix_sources(awkward).collect()
     assert len(out) == awkward.count() and all(r["taken"] <= 2 * r["size"] for r in out)
@@ -76,11 +88,11 @@ def test_encoding_matches_the_tokenizer():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
     rng = random.Random(3)
     alphabet = "ab'sé\n \t .,1日　\xa0 <|endoftext|>"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(3000)]
     texts += [" ".join("".join(rng.choice("abcde,") for _ in range(rng.randrange(1, 9))) for _ in range(50)) for _ in range(200)]
+    texts += ["a <|endoftext|> b", "some words<|endoftext|>\nand more", "<|endoftext|>", "a <|endoftext| > b"]
     texts += ["", " ", "\n", "a\n", "a 's\n's b", "x\n\ny", "end "]
     own = Encoder(PATH, keep=500)
     got = [x for k in range(0, len(texts), 300) for x in own.encode(pa.array(texts[k : k + 300]))]
@@ -140,6 +152,24 @@ def test_step_groups_are_even():
     assert max(loads.values()) - min(loads.values()) <= 1024
 
 
+def test_step_groups_are_even_however_often_a_task_emits():
+    import numpy as np
+
+    packer = packing.Packer(step=8 * 1024)
+    rng = random.Random(1)
+    loads = {}
+    for k in range(900):
+        packer.add(k, np.zeros(rng.randrange(1, 2500), "<u4"))
+        if k % 37 == 0:
+            packer.pack(last=False)
+            for r in packer.sequences(last=False).to_pylist():
+                loads[r["step_group"]] = loads.get(r["step_group"], 0) + r["length"]
+    assert len(loads) > 100 and all(7 * 1024 < x <= 9 * 1024 for x in loads.values())
+    packer.pack(last=True)
+    left = packer.sequences().to_pylist()
+    assert sum(loads.values()) + sum(r["length"] for r in left) > 900_000 and loads.keys().isdisjoint({r["step_group"] for r in left})
+
+
 def test_awkward_packing(awkward, nothing):
     rows = packing.pack_documents(awkward.where("doc_id IS NOT NULL"), PATH).collect()
     assert {r["doc_tokens"] for r in rows if r["doc_id"] in (1, 2)} == {1}
@@ -226,6 +256,18 @@ def test_what_is_not_valid_stays():
         assert pseudonyms.pseudonymise(text, n.forward) == (text, [])
 
 
+def test_digits_of_other_scripts_stay():
+    n = pseudonyms.Feistel(b"k")
+    for text in ["\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669\u0660\u0661\u0662\u0663\u0664\u0665\u0666", "\u0663\u0661.\u0661\u0662.\u0661\u0669\u0669\u0669", "+1 \u0662\u0660\u0662-555-0147", "\uff14\uff12.1.1.1", "\u0967\u0968 March 2020"]:
+        assert pseudonyms.pseudonymise(text, n.forward) == (text, [])
+
+
+def test_a_column_of_the_callers_is_kept_under_another_name(spark):
+    df = spark.createDataFrame([(1, "mail a@b.org", "own", 2)], "doc_id long, text string, values string, `a.b` int")
+    row = pseudonyms.pseudonyms(df, b"key", values="found").first()
+    assert row["values"] == "own" and row["a.b"] == 2 and len(row["found"]) == 1
+
+
 def test_pseudonyms_of_rows(spark, awkward, nothing):
     df = spark.createDataFrame([(k, f"{v} and {v}", "x") for k, v in enumerate(VALUES)], "doc_id long, text string, values string")
     moved = pseudonyms.pseudonyms(df, b"key")
