@@ -65,11 +65,13 @@ def is_valid_cut(start: Column, end: Column) -> Column:
 
 
 def cue_seconds(index: Column) -> Column:
-    """``mm:ss:ff`` with 75 frames a second; null unless it has three whole numbers."""
+    """``mm:ss:ff`` with 75 frames a second; decimals count and what follows a third colon does not.
+
+    Null unless the first three parts are numbers.
+    """
     parts = [F.get(F.split(index, ":"), k) for k in range(3)]
-    good = index.rlike("\\A[0-9]+:[0-9]+:[0-9]+\\z")
-    m, s, f = (p.try_cast("double") for p in parts)
-    return F.when(good, m * 60 + s + f / 75)
+    m, s, f = (F.when(p.rlike("\\A[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\z"), p.try_cast("double")) for p in parts)
+    return m * 60 + s + f / 75
 
 
 def timebase_seconds(value: Column, numerator: Column, denominator: Column) -> Column:

@@ -143,14 +143,18 @@ def needs_faststart(header: bytes | None, size: int | None = None) -> bool:
     for _ in range(MAX_BOXES):
         if at + 8 > len(data):
             return False
-        length, name, head = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8], 8
+        length, name = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        if length == 1:
+            if at + 16 > len(data):
+                return False
+            length = int.from_bytes(data[at + 8 : at + 16], "big")
+        elif length == 0:
+            length = size - at
+        if length < 8:
+            return False
         if name == b"moov" or name == b"mdat":
             return seen and name == b"mdat"
         seen |= name == b"ftyp"
-        if length == 1:
-            length, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
-        if length == 0 or length < head or at + length > size:
-            return False
         at += length
     return False
 

@@ -97,6 +97,9 @@ def test_numbers_in_text(spark):
     assert one(spark, numbers.track_number(F.lit("x"))) is None
     assert one(spark, numbers.cue_seconds(F.lit("01:02:75"))) == 63.0
     assert one(spark, numbers.cue_seconds(F.lit("01:02"))) is None
+    assert one(spark, numbers.cue_seconds(F.lit("00:10.5:00"))) == 10.5
+    assert one(spark, numbers.cue_seconds(F.lit("1:2:3:4"))) == 62.04
+    assert one(spark, numbers.cue_seconds(F.lit("1: 2:3"))) is None
 
 
 def chapters(found):

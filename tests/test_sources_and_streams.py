@@ -61,6 +61,9 @@ def test_faststart(spark):
     assert listing.needs_faststart(box(b"ftyp") + box(b"free", (20).to_bytes(8, "big") + b"abcd", size=1) + box(b"mdat"))
     for bad in (b"", b"\0\0", box(b"ftyp", size=4), box(b"ftyp", size=99), None, box(b"ftyp") * 300 + box(b"mdat")):
         assert not listing.needs_faststart(bad)
+    for cut in (box(b"mdat", size=4), box(b"mdat", b"\0\0", size=1), box(b"mdat", (7).to_bytes(8, "big"), size=1)):
+        assert not listing.needs_faststart(box(b"ftyp") + cut)
+    assert listing.needs_faststart(box(b"ftyp") + box(b"mdat", size=0))
     df = spark.createDataFrame([(bytearray(box(b"ftyp") + box(b"mdat")),)], "content binary")
     assert listing.with_faststart(df).first()["needs_faststart"] is True
 
