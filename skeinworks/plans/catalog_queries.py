@@ -136,13 +136,13 @@ def children_counts(spark, d) -> DataFrame:
 
 @registered("""
 WITH old AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0),
-new AS (SELECT o_orderkey, o_orderstatus || '2' AS o_orderstatus, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0)
+new AS (SELECT o_orderkey, o_orderstatus || '2' AS o_orderstatus, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0)
 SELECT coalesce(n.o_orderkey, o.o_orderkey) AS o_orderkey, coalesce(n.o_orderstatus, o.o_orderstatus) AS o_orderstatus, coalesce(o.o_totalprice, n.o_totalprice) AS o_totalprice
 FROM old o FULL JOIN new n ON o.o_orderkey = n.o_orderkey""")
 def keyed_upsert_preserve(spark, d) -> DataFrame:
-    """An upsert that keeps one column of the rows that were there."""
+    """An upsert that keeps one column of the rows that were there; every order is in the old rows, the new ones, or both."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    new = o.where("o_orderkey % 2 = 0").withColumns({"o_orderstatus": F.concat("o_orderstatus", F.lit("2")), "o_totalprice": F.col("o_totalprice") + 1})
+    new = o.where("o_orderkey % 2 = 0 OR o_orderkey % 3 = 0").withColumns({"o_orderstatus": F.concat("o_orderstatus", F.lit("2")), "o_totalprice": F.col("o_totalprice") + 1})
     return mutations.upsert(o.where("o_orderkey % 3 <> 0"), new, ["o_orderkey"], preserve=["o_totalprice"])
 
 
