@@ -6,7 +6,8 @@ they stand. To find them, seeds of fewer words are taken at places the text itse
 every window holds one (winnowing); where a seed occurs again, all windows around it are compared.
 Units with the same words are one form. Paragraphs whose shingle sets are alike meet in a MinHash
 band, are compared exactly, and connected ones are a group.
-Of each group the first occurrence stays, and the rest are cut.
+Of each group the first occurrence stays, and the rest are cut. Windows are sought in what is left of
+the paragraphs.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks.llm.hashes import STEP, mixed, text_words
@@ -190,7 +191,7 @@ def paragraph_edges(docs: DataFrame, whole: DataFrame, forms: DataFrame, least:
 
 
 def repeated_windows(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``doc_id``, ``row``, ``start``, ``n`` and ``h`` of all windows that hold a seed which occurs again.
+    """``doc_id``, ``row``, ``start`` and ``h`` of all windows that hold a seed which occurs again.
 
     Two windows of the same words hold the same least seed, so all windows that occur again are among
     them. ``seeds``: ``row``, ``start`` and ``seed``.
@@ -210,7 +211,15 @@ def repeated_windows(docs: DataFrame, seeds: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text").join(places, "row")
-    return texts.select("doc_id", "row", F.explode(around("text", "places")).alias("x")).select("doc_id", "row", "x.start", F.lit(WORDS).alias("n"), "x.h")
+    return texts.select("doc_id", "row", F.explode(around("text", "places")).alias("x")).select("doc_id", "row", "x.start", "x.h")
+
+
+def beyond(found: DataFrame, keeper: str, n: Column) -> DataFrame:
+    """``doc_id``, ``row``, ``start``, ``n`` and ``keeper`` (its doc_id) of the units ``found`` that do not overlap
+    their first occurrence, a struct ``keeper`` of ``n`` words."""
+    first = F.col(keeper)
+    apart = (F.col("row") != first["row"]) | (F.col("start") >= first["start"] + n)
+    return found.where(apart).select("doc_id", "row", "start", "n", first["doc_id"].alias("keeper"))
 
 
 def repeated_passages(docs: DataFrame, *, least: float = SIMILARITY, recall: float = RECALL, cell: int = CELL) -> DataFrame:
@@ -220,27 +229,22 @@ def repeated_passages(docs: DataFrame, *, least: float = SIMILARITY, recall: flo
     the first occurrences stay, sorted. A passage repeated inside its own document stays once.
     """
     whole = materialize(all_units(docs, tune_bands(least, ROWS, recall)), "units")
-    place = F.struct("doc_id", "row", "start", "n")
     lines = whole.where("h IS NOT NULL").select("doc_id", "row", "start", "n", "h")
-    forms = materialize(lines.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_units")), "passage-firsts")
+    forms = materialize(lines.groupBy("h").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("first"), F.count(F.lit(1)).alias("n_units")), "passage-firsts")
     groups = materialize(connected_components(paragraph_edges(docs, whole, forms, least, cell)).withColumnRenamed("node", "h"), "passage-components")
-    # What is inside a paragraph that repeats another exactly goes with it: its seeds tell nothing more.
-    copies = lines.join(materialize(forms.where("n_units > 1").select("h", "first"), "paragraphs-again"), "h").where(~place.eqNullSafe(F.col("first")))
-    copies = materialize(copies.select("row", "start", "n"), "paragraph-copies")
-    others = whole.select("row", "start", "n", "places", "seeds").join(copies, ["row", "start", "n"], "left_anti")
-    seeds = materialize(others.select("row", F.explode(F.arrays_zip("places", "seeds")).alias("s")).select("row", F.col("s.places").alias("start"), F.col("s.seeds").alias("seed")), "seeds")
-    windows = repeated_windows(docs, seeds)
-    windows = materialize(windows, "windows")
-    found = lines.unionByName(windows)
-    again = windows.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_units"))
-    known = forms.unionByName(again).groupBy("h").agg(F.min("first").alias("first"), F.sum("n_units").alias("n_units"))
-    known = known.join(groups, "h", "left").where("component IS NOT NULL OR n_units > 1")
+    known = forms.join(groups, "h", "left").where("component IS NOT NULL OR n_units > 1")
     known = materialize(known.select("h", F.coalesce("component", "h").alias("g"), "first"), "passage-forms")
     keepers = materialize(known.groupBy("g").agg(F.min("first").alias("keeper")), "passage-keepers")
     again = materialize(known.join(keepers, "g").select("h", "keeper"), "passage-repeats")
-    same = F.col("row") == F.col("keeper.row")
-    gone = found.join(again, "h").where(~same | (F.col("start") >= F.col("keeper.start") + F.col("keeper.n")))
-    gone = materialize(gone.select("doc_id", "row", "start", (F.col("start") + F.col("n")).alias("end"), F.col("keeper.doc_id").alias("keeper")), "passages-gone")
+    paragraphs_gone = materialize(beyond(lines.join(again, "h"), "keeper", F.col("keeper.n")), "paragraphs-gone")
+    # Paragraphs that are cut tell nothing more: windows are sought in what is left.
+    others = whole.select("row", "start", "n", "places", "seeds").join(paragraphs_gone.select("row", "start", "n"), ["row", "start", "n"], "left_anti")
+    seeds = others.select("row", F.explode(F.arrays_zip("places", "seeds")).alias("s")).select("row", F.col("s.places").alias("start"), F.col("s.seeds").alias("seed"))
+    windows = materialize(repeated_windows(docs, materialize(seeds, "seeds")), "windows")
+    again = windows.groupBy("h").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.count(F.lit(1)).alias("n_units")).where("n_units > 1")
+    again = materialize(again.select("h", "first"), "window-firsts")
+    windows_gone = materialize(beyond(windows.withColumn("n", F.lit(WORDS)).join(again, "h"), "first", F.lit(WORDS)), "windows-gone")
+    gone = paragraphs_gone.unionByName(windows_gone).withColumn("end", F.col("start") + F.col("n"))
     gone = gone.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("cuts"), F.array_sort(F.collect_set("keeper")).alias("keepers"))
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
