@@ -69,3 +69,18 @@ def latest(df: DataFrame, within: Sequence[str], mtime: str, out: str = "mtime")
 def all_distinct(df: DataFrame, within: Sequence[str], value: str, out: str = "usable") -> DataFrame:
     """Whether every row of a group has a value and no two the same."""
     return df.groupBy(*within).agg(((F.count(value) == F.count(F.lit(1))) & (F.count_distinct(value) == F.count(F.lit(1)))).alias(out))
+
+
+def samples(df: DataFrame, metric: str, value: str, label: str | None = None) -> DataFrame:
+    """``metric``, ``labels`` and ``value`` of each row of ``df``, as a scrape shows them; a bound ``le`` of null is +Inf."""
+    text = F.lit("") if label is None else F.concat(F.lit(f'{label}="'), F.coalesce(F.col(label).cast("string"), F.lit("+Inf")), F.lit('"'))
+    return df.select(F.lit(metric).alias("metric"), text.alias("labels"), F.col(value).cast("double").alias("value"))
+
+
+def metrics_table(books: DataFrame, errors: DataFrame, durations: DataFrame) -> DataFrame:
+    """All metrics as one table: books indexed, errors by ``kind``, and the histogram of ``seconds``."""
+    indexed = samples(books.agg(F.count(F.lit(1)).alias("n")), "books_indexed", "n")
+    failures = samples(count_by_kind(errors, "kind", ERROR_KINDS), "errors_total", "n", "kind")
+    buckets = samples(cumulative_histogram(durations, "seconds"), "duration_seconds_bucket", "n", "le")
+    total = durations.agg(F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("s"), F.count("seconds").alias("n"))
+    return indexed.unionByName(failures).unionByName(buckets).unionByName(samples(total, "duration_seconds_sum", "s")).unionByName(samples(total, "duration_seconds_count", "n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,17 +71,21 @@ def stale_files(listing: DataFrame, current: DataFrame, path: str = "path") -> D
 
 
 def reconcile(
-    books: DataFrame, episodes: DataFrame, sources: DataFrame, scanned_books: DataFrame, scanned_episodes: DataFrame, disabled: DataFrame | None = None
+    books: DataFrame, episodes: DataFrame, sources: DataFrame, scanned_books: DataFrame, scanned_episodes: DataFrame, disabled: DataFrame | None = None, failed: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Books, episodes and counts after a scan: duplicates go first, orphans last.
 
     ``scanned_books`` and ``scanned_episodes`` are the sources that were read anew, with their ids;
-    ``disabled`` are ids to take out. A second call with the same scan changes nothing. Counts:
-    indexed, skipped (sources not read anew, and disabled ones), pruned.
+    ``disabled`` are ids to take out, with their ``source_path`` where the catalogue may not know it; ``failed`` are
+    sources that could not be read. A second call with the same scan changes nothing. Counts: skipped
+    (sources found that are disabled or failed), indexed (all others found, up to date ones too), pruned.
     """
     kept = collapse_duplicates(books, sources)
     gone = books.join(kept, "id", "left_anti").select("id")
+    passed = [] if failed is None else [failed.select("source_path")]
     if disabled is not None:
+        known = books.select("id", "source_path").unionByName(scanned_books.select("id", "source_path"))
+        passed.append(disabled.select("source_path") if "source_path" in disabled.columns else known.join(disabled, "id", "left_semi").select("source_path"))
         gone = gone.unionByName(disabled.select("id"))
         kept, scanned_books = kept.join(disabled, "id", "left_anti"), scanned_books.join(disabled, "id", "left_anti")
     merged = upsert(kept, scanned_books, ["id"], preserve=["feed_id", "created_at"])
@@ -88,7 +94,10 @@ def reconcile(
     new_children = replace_children(episodes, scanned_episodes, "book_id")
     _, children = delete_cascade(after, new_children, gone.unionByName(lost), "id", "book_id")
     named = lambda df, name: df.select(F.lit(name).alias("what"))
-    events = named(scanned_books, "indexed").unionByName(named(lost, "pruned")).unionByName(named(sources, "found"))
+    events = named(lost, "pruned").unionByName(named(sources, "found"))
+    if passed:
+        skipped = sources.join(reduce(DataFrame.unionByName, passed), "source_path", "left_semi")
+        events = events.unionByName(named(skipped, "skipped"))
     n = lambda what: F.count_if(F.col("what") == what)
-    counts = events.agg(n("indexed").alias("indexed"), (n("found") - n("indexed")).alias("skipped"), n("pruned").alias("pruned"))
+    counts = events.agg((n("found") - n("skipped")).alias("indexed"), n("skipped").alias("skipped"), n("pruned").alias("pruned"))
     return after, children, counts

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skeinworks import schema
 from skeinworks.functions import media, numbers, parsers, text
-from skeinworks.operators import cache, feed, identity, metrics, mutations, staleness
+from skeinworks.operators import cache, feed, identity, metrics, mutations, staleness, views
 from skeinworks.runtime import table
 from skeinworks.sources import listing
 from skeinworks.streaming import changes
@@ -433,3 +433,95 @@ def point_lookup(spark, d) -> DataFrame:
 def allow_lists(spark, d) -> DataFrame:
     slug = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("a-"), F.col("page_id").cast("string"))).otherwise(F.concat(F.lit("A "), F.col("page_id").cast("string")))
     return table(spark, d, "pages").select("page_id", text.is_slug(slug).alias("is_slug"), text.initial(F.col("url")).alias("initial"))
+
+
+def _catalogue(spark, d):
+    """Customers as books: one in some has no cover."""
+    c = table(spark, d, "customer")
+    name = F.lower("c_name")
+    cover = F.when(F.col("c_acctbal") >= 0, F.concat(name, F.lit(".jpg")))
+    return c.select(F.col("c_custkey").alias("id"), text.slugify(name).alias("slug"), F.sha2("c_name", 256).alias("feed_id"), F.col("c_name").alias("title"), F.lit(None).cast("string").alias("author"), cover.alias("cover_path"))
+
+
+CARD_SQL = "regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g') AS slug, sha256(c_name) AS feed_id, c_name AS title, NULL::VARCHAR AS author, c_acctbal >= 0 AS has_cover"
+
+
+@registered(f"SELECT {CARD_SQL} FROM customer")
+def book_cards(spark, d) -> DataFrame:
+    return views.cards(_catalogue(spark, d))
+
+
+@registered(f"""SELECT {CARD_SQL}, 'https://host/feed/' || sha256(c_name) || '.xml' AS feed_url, 'https://host/subscribe/' || sha256(c_name) AS subscribe_url,
+  (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS episode_count FROM customer""")
+def book_details(spark, d) -> DataFrame:
+    """Addresses and counts; books without episodes have 0."""
+    return views.details(_catalogue(spark, d), table(spark, d, "orders").select(F.col("o_custkey").alias("book_id")), "https://host")
+
+
+@registered(f"""WITH {ITEMS_SQL} SELECT o_orderkey, idx::BIGINT AS idx, l_partkey FROM items WHERE idx = o_orderkey % 8 - 1""")
+def episode_by_number(spark, d) -> DataFrame:
+    """Each order asks for one of its items by a number from 0, which gives none, to 7."""
+    requests = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 8).alias("number"))
+    return views.episodes_by_number(requests, _items(spark, d), "o_orderkey").select("o_orderkey", "idx", "l_partkey")
+
+
+@registered("""SELECT c_custkey, coalesce(CASE WHEN s_acctbal > 0 THEN s_name END, c_name) AS title, coalesce(s_address, c_mktsegment) AS author FROM (SELECT c_custkey, c_name, c_mktsegment FROM customer)
+LEFT JOIN (SELECT s_suppkey, s_acctbal, s_name, CASE WHEN s_suppkey % 2 = 0 THEN 'author ' || s_suppkey END AS s_address FROM supplier) ON s_suppkey = c_custkey""")
+def overridden_books(spark, d) -> DataFrame:
+    """Fields of an override record win where it has them."""
+    books = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("title"), F.col("c_mktsegment").alias("author"))
+    key = F.col("s_suppkey")
+    author = F.when(key % 2 == 0, F.concat(F.lit("author "), key.cast("string")))
+    records = table(spark, d, "supplier").select(key.alias("c_custkey"), F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("title"), author.alias("author"))
+    return views.with_overrides(books, records, "c_custkey", ["title", "author"])
+
+
+def _chapters(spark, d):
+    return _items(spark, d).select("o_orderkey", "idx", F.lit(3.0).alias("start"), F.col("l_quantity").cast("double").alias("end"))
+
+
+@registered(f"""WITH {ITEMS_SQL} SELECT o_orderkey, bool_and(l_quantity > 3) AS ok, (min(idx) FILTER (l_quantity <= 3))::BIGINT AS first_error FROM items GROUP BY 1""")
+def cut_checks(spark, d) -> DataFrame:
+    """One chapter that cannot be cut fails the book; the first such is its error."""
+    return views.cut_outcomes(_chapters(spark, d), "o_orderkey").select("o_orderkey", "ok", F.col("first_error").cast("long").alias("first_error"))
+
+
+@registered(f"""WITH {ITEMS_SQL} SELECT o_orderkey, idx::BIGINT AS idx, o_orderkey || '/' || idx || '.m4a' AS file FROM items
+WHERE idx <> 4 AND o_orderkey IN (SELECT o_orderkey FROM items GROUP BY 1 HAVING bool_and(l_quantity > 3))""")
+def chapter_files(spark, d) -> DataFrame:
+    """Chapters and files by place; the fifth file of a book is missing."""
+    chapters = _chapters(spark, d)
+    files = chapters.where("idx <> 4").select("o_orderkey", "idx", F.concat_ws("", F.col("o_orderkey").cast("string"), F.lit("/"), F.col("idx").cast("string"), F.lit(".m4a")).alias("file"))
+    return views.chapters_with_files(chapters, files, "o_orderkey").select("o_orderkey", F.col("idx").cast("long").alias("idx"), "file")
+
+
+LINKED_SQL = """SELECT 'lib/' || (page_id % 7) || '/' || page_id AS path,
+  CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'library/' || page_id ELSE 'lib/real/' || (page_id // 3) END AS real_path FROM pages"""
+
+
+@registered(f"""SELECT real_path, arg_min(path, string_split(path, '/')) AS path FROM ({LINKED_SQL}) WHERE starts_with(real_path, 'lib/') GROUP BY 1""")
+def real_paths(spark, d) -> DataFrame:
+    """Links that lead out of the root or nowhere go, and each real path is there once."""
+    n = F.col("page_id")
+    real = F.when(n % 5 == 0, None).when(n % 5 == 1, F.concat(F.lit("library/"), n.cast("string"))).otherwise(F.concat(F.lit("lib/real/"), F.floor(n / 3).cast("string")))
+    path = F.concat(F.lit("lib/"), (n % 7).cast("string"), F.lit("/"), n.cast("string"))
+    linked = table(spark, d, "pages").select(path.alias("path"), real.alias("real_path"))
+    return listing.one_per_real_path(listing.contained(linked, "real_path", "lib"), "real_path")
+
+
+BOUNDS_SQL = " UNION ALL ".join(f"SELECT 'le=\"{b}\"', count(*) FILTER (l_quantity <= {b}) FROM lineitem" for b in metrics.BOUNDS)
+
+
+@registered(f"""SELECT 'books_indexed' AS metric, '' AS labels, count(*)::DOUBLE AS value FROM customer
+UNION ALL SELECT 'errors_total', 'kind="not_found"', count(*) FROM orders WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT 'errors_total', 'kind="forbidden"', count(*) FROM orders WHERE o_orderpriority = '2-HIGH'
+UNION ALL SELECT 'errors_total', 'kind="internal"', 0
+UNION ALL SELECT 'duration_seconds_bucket', * FROM ({BOUNDS_SQL} UNION ALL SELECT 'le="+Inf"', count(l_quantity) FROM lineitem)
+UNION ALL SELECT 'duration_seconds_sum', '', sum(l_quantity) FROM lineitem
+UNION ALL SELECT 'duration_seconds_count', '', count(l_quantity) FROM lineitem""")
+def metrics_scrape(spark, d) -> DataFrame:
+    """All metrics as one table; kinds without an error are 0."""
+    priority = F.col("o_orderpriority")
+    kind = F.when(priority == "1-URGENT", "not_found").when(priority == "2-HIGH", "forbidden").otherwise("other")
+    errors = table(spark, d, "orders").select(kind.alias("kind"))
+    return metrics.metrics_table(table(spark, d, "customer"), errors, table(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("seconds")))

@@ -41,6 +41,16 @@ def is_inside(path: Column, root: str) -> Column:
     return (path == base) | path.startswith(base + "/")
 
 
+def contained(listing: DataFrame, real_path: str, root: str) -> DataFrame:
+    """Files whose real path is known and inside ``root``, after links are followed."""
+    return listing.where(F.col(real_path).isNotNull() & is_inside(F.col(real_path), root))
+
+
+def one_per_real_path(listing: DataFrame, real_path: str, path: str = "path") -> DataFrame:
+    """Of all paths that lead to one real path the first in ``path_order``: a folder is walked once."""
+    return listing.groupBy(real_path).agg(F.min_by(path, path_order(F.col(path))).alias(path))
+
+
 def path_order(path: Column) -> Column:
     """What orders paths by component: arrays compare element by element."""
     return F.split(path, "/")

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinworks import schema
-from skeinworks.operators import cache, feed, identity, metrics, mutations, staleness
+from skeinworks.operators import cache, feed, identity, metrics, mutations, staleness, views
+from skeinworks.sources import listing
 
 BOOKS = "id string, slug string, feed_id string, title string, source_path string, created_at long"
 EPISODES = "guid string, book_id string, idx long"
@@ -44,6 +45,52 @@ def test_reconcile_twice_changes_nothing(spark):
     assert counts2.first()["pruned"] == 0
 
 
+def test_reconcile_counts_books_that_are_up_to_date_as_indexed(spark):
+    books = spark.createDataFrame([("a", "a", "f1", "A", "/a", 5)], BOOKS)
+    none = spark.createDataFrame([], EPISODES)
+    sources = spark.createDataFrame([("/a",), ("/b",), ("/c",), ("/d",)], "source_path string")
+    scanned = spark.createDataFrame([("b", "b", "f2", "B", "/b", 9)], BOOKS)
+    disabled = spark.createDataFrame([("c", "/c")], "id string, source_path string")
+    failed = spark.createDataFrame([("/d",), ("/elsewhere",)], "source_path string")
+    counts = lambda *out: tuple(mutations.reconcile(books, none, sources, scanned, none, *out)[2].first())
+    assert counts() == (4, 0, 0)
+    assert counts(disabled) == (3, 1, 0)
+    assert counts(disabled, failed) == (2, 2, 0)
+    assert counts(disabled, sources) == (0, 4, 0)
+
+
+def test_overrides_win_where_they_have_a_value(spark):
+    books = spark.createDataFrame([("a", "A", None), ("b", "B", "x")], "id string, title string, author string")
+    records = spark.createDataFrame([("a", "T", "y"), ("c", "C", "z")], "id string, title string, author string")
+    assert rows(views.with_overrides(books, records, "id", ["author"]), "id", "title", "author") == [("a", "A", "y"), ("b", "B", "x")]
+
+
+def test_one_bad_cut_fails_the_book(spark):
+    cuts = [("a", 0, 0.0, 2.0), ("a", 1, 2.0, 3.0), ("b", 0, 0.0, 1.0), ("b", 2, 5.0, 4.0), ("b", 1, 1.0, 1.0), ("c", 0, 0.0, None)]
+    chapters = spark.createDataFrame(cuts, "book string, idx long, start double, end double")
+    assert rows(views.cut_outcomes(chapters, "book"), "book", "ok", "first_error") == [("a", True, None), ("b", False, 1), ("c", False, 0)]
+    files = spark.createDataFrame([("a", 1, "f1"), ("b", 0, "g0"), ("a", 2, "f2")], "book string, idx long, file string")
+    assert rows(views.chapters_with_files(chapters, files, "book"), "book", "idx", "file") == [("a", 1, "f1")]
+
+
+def test_episodes_are_numbered_from_one(spark):
+    episodes = spark.createDataFrame([("a", 0, "e0"), ("a", 1, "e1")], "book string, idx long, guid string")
+    asked = spark.createDataFrame([("a", 0), ("a", 1), ("a", 3), ("a", -1)], "book string, number long")
+    assert rows(views.episodes_by_number(asked, episodes, "book"), "number", "guid") == [(1, "e0")]
+
+
+def test_links_are_followed_once_and_only_inside(spark):
+    found = spark.createDataFrame([("r/b", "r/x"), ("r/a", "r/x"), ("r/c", "rr/y"), ("r/d", None), ("r/a b", "r")], "path string, real string")
+    inside = listing.contained(found, "real", "r/")
+    assert rows(listing.one_per_real_path(inside, "real"), "real", "path") == [("r", "r/a b"), ("r/x", "r/a")]
+
+
+def test_metrics_of_nothing(spark):
+    none = lambda schema: spark.createDataFrame([], schema)
+    found = metrics.metrics_table(none("id string"), none("kind string"), none("seconds double"))
+    assert {r["value"] for r in found.collect()} == {0.0} and found.count() == 1 + len(metrics.ERROR_KINDS) + len(metrics.BOUNDS) + 1 + 2
+
+
 def test_an_empty_library_prunes_nothing(spark):
     books = spark.createDataFrame([("a", "/a")], "id string, source_path string")
     assert mutations.orphans(books, spark.createDataFrame([], "source_path string")).count() == 0
