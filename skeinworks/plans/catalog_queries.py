@@ -192,21 +192,35 @@ def unique_violations(spark, d) -> DataFrame:
     return found.select(F.get(parts, 0).cast("long").alias("l_orderkey"), F.get(parts, 1).cast("int").alias("l_linenumber"), "n")
 
 
+@registered("""WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 50 <> 0 THEN l_partkey END AS l_partkey FROM lineitem)
+SELECT 'unique l_orderkey, l_linenumber' AS rule, l_orderkey || '|' || l_linenumber AS value, count(*)::BIGINT AS n FROM l GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
+UNION ALL SELECT 'not null l_partkey', NULL, count(*) FROM l WHERE l_partkey IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'references l_orderkey', l_orderkey::VARCHAR, count(*) FROM l WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY l_orderkey""")
+def broken_constraints(spark, d) -> DataFrame:
+    """Doubled keys, missing values and lost parents, all of which are there: parents in progress do not count."""
+    part = F.when(F.col("l_partkey") % 50 != 0, F.col("l_partkey"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", part.alias("l_partkey"))
+    parents = table(spark, d, "orders").where("o_orderstatus <> 'P'")
+    found = schema.violations(rows, unique=[["l_orderkey", "l_linenumber"]], required=["l_partkey"], references=(["l_orderkey"], parents, ["o_orderkey"]))
+    return found.withColumnRenamed("constraint", "rule")
+
+
 @registered("""SELECT o_orderkey, CASE WHEN o_orderkey = 7 THEN 'fresh' ELSE o_orderpriority END AS feed_id FROM orders""")
 def rotate_capability(spark, d) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("feed_id"))
     return mutations.rotate(o, "o_orderkey", 7, "feed_id", "fresh")
 
 
-@registered("""SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')
-  UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O' AND l_linenumber <= 2""")
+FRESH_SQL = """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity + 100 AS l_quantity FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')"""
+
+
+@registered(f"""{FRESH_SQL} UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM ({FRESH_SQL}))""")
 def replaced_children(spark, d) -> DataFrame:
-    """The children of parents read anew are replaced as a whole."""
+    """The children of parents read anew are replaced as a whole: by fewer, and with other values."""
     l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     opened = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"))
-    fresh = l.join(opened, "l_orderkey", "left_semi")
-    kept = mutations.replace_children(l, fresh, "l_orderkey")
-    return kept.where("l_linenumber > 2").join(opened, "l_orderkey", "left_anti").unionByName(kept.where("l_linenumber <= 2"))
+    fresh = l.where("l_linenumber <= 2").join(opened, "l_orderkey", "left_semi").withColumn("l_quantity", F.col("l_quantity") + 100)
+    return mutations.replace_children(l, fresh, "l_orderkey")
 
 
 @registered("""SELECT user_id, event_id, ts_sec AS start_sec, coalesce(lead(ts_sec) OVER (PARTITION BY user_id ORDER BY ts_sec, event_id), greatest(1706659200.0::DOUBLE, ts_sec)) AS end_sec,
