@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from skeinworks.llm import (
+    exact_dedup,
+    fill_in_middle,
+    filter_audit,
     fuzzy_lines,
     merkle,
     mixing,
@@ -26,8 +29,14 @@ QUERIES = {
     "op8_merkle_fingerprints": merkle.query,
     "op9_packing": packing.query,
     "op10_rule_ensemble": rule_ensemble.query,
+    "op11_filter_audit": filter_audit.query,
+    "op12_fill_in_middle": fill_in_middle.query,
+    "op13_exact_dedup": exact_dedup.query,
 }
 ORACLE = {
     "op7_source_mixing": mixing.SQL,
     "op8_merkle_fingerprints": merkle.SQL,
+    "op11_filter_audit": filter_audit.SQL,
+    "op12_fill_in_middle": fill_in_middle.SQL,
+    "op13_exact_dedup": exact_dedup.SQL,
 }
