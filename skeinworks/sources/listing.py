@@ -21,10 +21,11 @@ LISTING = "path string, length long, mtime long"
 
 
 def read_listing(spark: SparkSession, root: str) -> DataFrame:
-    """Path (relative to ``root``), length and time of every file below; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    relative = F.regexp_replace("path", "\\A(?:[a-z0-9]+:)?/*" + root.strip("/").replace(".", "\\.") + "/", "")
-    return files.select(relative.alias("path"), "length", F.greatest(F.unix_seconds("modificationTime"), F.lit(0)).alias("mtime"))
+    """Path (relative to ``root``), length and time of every file that a walk reaches, books' folders included,
+    whatever its name; contents are not read."""
+    from skeinworks.sources.walk import walk
+
+    return walk(spark, root, stop_at_books=False).select("path", "length", "mtime")
 
 
 def is_ignored(name: Column) -> Column:
@@ -69,35 +70,50 @@ def eligible(listing: DataFrame, data_dir: str | None = None) -> DataFrame:
     return kept if data_dir is None else kept.where(~is_inside(F.col("path"), data_dir))
 
 
+def folder_rules(files: DataFrame) -> DataFrame:
+    """``folder`` and ``rule`` of the folders that have books: each M4B or M4A file (each), the only
+    MP3 (mp3), several MP3s together (folder), or the only file of another kind (only).
+
+    ``files``: folder, ext and inside. All files count for the rule; a folder none of whose books is
+    ``inside`` the root has none.
+    """
+    ext, inside = F.col("ext"), F.col("inside")
+    kinds = {"m4x": ext.isin(*SINGLE), "mp3": ext == "mp3", "all": F.lit(True)}
+    counts = files.groupBy("folder").agg(
+        *[F.count_if(c).alias(k) for k, c in kinds.items()], *[F.count_if(c & inside).alias(f"{k}_in") for k, c in kinds.items()]
+    )
+    rule = (
+        F.when(F.col("m4x") > 0, F.when(F.col("m4x_in") > 0, "each"))
+        .when(F.col("mp3") == 1, F.when(F.col("mp3_in") > 0, "mp3"))
+        .when(F.col("mp3") > 1, "folder")
+        .when((F.col("all") == 1) & (F.col("all_in") == 1), "only")
+    )
+    return counts.select("folder", rule.alias("rule")).where("rule IS NOT NULL")
+
+
 def classify(files: DataFrame) -> DataFrame:
     """Books (``kind`` file or folder, ``path``, ``folder``) of eligible files.
 
     Below the root a folder with M4B or M4A files is a book for each; else one MP3 is a book, and
     several are one folder book; else a single file of another kind is a book. Files in the root are
-    each a book. A folder that has books hides all folders below it.
+    each a book. A folder that has books hides all folders below it. Where there is a column
+    ``inside``, files without it count for the rule of their folder and are no books themselves.
     """
+    if "inside" not in files.columns:
+        files = files.withColumn("inside", F.lit(True))
     ext = F.col("ext")
     below = files.where("depth > 0")
-    counts = below.groupBy("folder").agg(
-        F.count_if(ext.isin(*SINGLE)).alias("m4x"), F.count_if(ext == "mp3").alias("mp3"), F.count(F.lit(1)).alias("all")
-    )
-    rule = (
-        F.when(F.col("m4x") > 0, "each")
-        .when(F.col("mp3") == 1, "mp3")
-        .when(F.col("mp3") > 1, "folder")
-        .when(F.col("all") == 1, "only")
-    )
-    ruled = counts.withColumn("rule", rule).where("rule IS NOT NULL").select("folder", "rule")
+    ruled = folder_rules(below)
     parts = F.split("folder", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     ancestors = ruled.where(F.size(parts) > 1).select("folder", F.explode(above).alias("above"))
     hidden = ancestors.join(ruled.select(F.col("folder").alias("above")), "above", "left_semi").select("folder").distinct()
     top = ruled.join(hidden, "folder", "left_anti")
-    inside = below.join(top, "folder")
+    inside = below.where("inside").join(top, "folder")
     fits = ((F.col("rule") == "each") & ext.isin(*SINGLE)) | ((F.col("rule") == "mp3") & (ext == "mp3")) | (F.col("rule") == "only")
     single = inside.where(fits).select(F.lit("file").alias("kind"), "path", "folder")
     folders = top.where("rule = 'folder'").select(F.lit("folder").alias("kind"), F.col("folder").alias("path"), "folder")
-    return files.where("depth = 0").select(F.lit("file").alias("kind"), "path", "folder").unionByName(single).unionByName(folders)
+    return files.where("depth = 0 AND inside").select(F.lit("file").alias("kind"), "path", "folder").unionByName(single).unionByName(folders)
 
 
 def with_names(books: DataFrame) -> DataFrame:
