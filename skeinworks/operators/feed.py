@@ -103,3 +103,13 @@ def released(feeds: DataFrame, problems: DataFrame, feed: str = "feed") -> DataF
 def has_exact_length(actual: Column, recorded: Column) -> Column:
     """Whether a file is as long as was recorded: the guard before it is served."""
     return actual.eqNullSafe(recorded)
+
+
+def is_in_place(source_path: Column, file_path: Column) -> Column:
+    """Whether an episode is a whole source file, served where it lies; without source it is an extracted file."""
+    return (F.coalesce(source_path, F.lit("")) != "") & file_path.eqNullSafe(source_path)
+
+
+def may_serve_in_place(source_path: Column, file_path: Column, actual: Column, recorded: Column) -> Column:
+    """In place, and as long as recorded; a source that is not there (``actual`` null) may not."""
+    return is_in_place(source_path, file_path) & actual.isNotNull() & has_exact_length(actual, recorded)

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinworks.runtime import materialize
+
 
 def last_per_key(df: DataFrame, keys: Sequence[str], arrival: Sequence[Column | str]) -> DataFrame:
     """Of rows with one key the last by ``arrival``."""
@@ -80,7 +82,7 @@ def reconcile(
     sources that could not be read. A second call with the same scan changes nothing. Counts: skipped
     (sources found that are disabled or failed), indexed (all others found, up to date ones too), pruned.
     """
-    kept = collapse_duplicates(books, sources)
+    kept = materialize(collapse_duplicates(books, sources), "reconcile-kept")
     gone = books.join(kept, "id", "left_anti").select("id")
     passed = [] if failed is None else [failed.select("source_path")]
     if disabled is not None:
@@ -88,8 +90,8 @@ def reconcile(
         passed.append(disabled.select("source_path") if "source_path" in disabled.columns else known.join(disabled, "id", "left_semi").select("source_path"))
         gone = gone.unionByName(disabled.select("id"))
         kept, scanned_books = kept.join(disabled, "id", "left_anti"), scanned_books.join(disabled, "id", "left_anti")
-    merged = upsert(kept, scanned_books, ["id"], preserve=["feed_id", "created_at"])
-    lost = orphans(merged, sources).select("id")
+    merged = materialize(upsert(kept, scanned_books, ["id"], preserve=["feed_id", "created_at"]), "reconcile-merged")
+    lost = materialize(orphans(merged, sources).select("id"), "reconcile-lost")
     after = merged.join(lost, "id", "left_anti")
     new_children = replace_children(episodes, scanned_episodes, "book_id")
     _, children = delete_cascade(after, new_children, gone.unionByName(lost), "id", "book_id")

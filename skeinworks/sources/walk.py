@@ -126,10 +126,11 @@ def walk(spark: SparkSession, root: str, data_dir: str | None = None, *, max_dep
                 files = found.where("NOT is_dir").withColumns({"ext": extension(F.col("name")), "inside": is_inside(real, base)})
                 books = folder_rules(files.where(F.col("ext").isin(*AUDIO) & (F.col("folder") != base))).select("folder")
                 below = below.join(books, "folder", "left_anti")
-            folders.append(materialize(below, "walk-folders"))
+            folders.append(below)
         if depth == max_depth:
             break
-        every = reduce(DataFrame.unionByName, folders)
+        # Those of earlier rounds are needed only where a folder is sent on again.
+        every = folders[-1] if fresh == reached else reduce(DataFrame.unionByName, folders)
         paths = frontier.join(every, frontier["real"] == every["folder"]).select(F.col("real_path").alias("real"), _below(F.col("path"), F.col("name")).alias("path"))
         first = paths.groupBy("real").agg(F.min_by("path", path_order(F.col("path"))).alias("path"))
         old = names.withColumnRenamed("path", "old")
@@ -138,8 +139,9 @@ def walk(spark: SparkSession, root: str, data_dir: str | None = None, *, max_dep
         reached, fresh = frontier.agg(F.count(F.lit(1)), F.count_if(~F.col("known"))).first()
         if not reached:
             break
-        kept = names.join(frontier.select("real"), "real", "left_anti")
-        names = materialize(kept.unionByName(frontier.select("real", "path")), "walk-names")
+        if fresh < reached:
+            names = materialize(names.join(frontier.select("real"), "real", "left_anti"), "walk-names")
+        names = names.unionByName(frontier.select("real", "path"))
     every = reduce(DataFrame.unionByName, rounds).where("NOT is_dir")
     at = names.withColumnsRenamed({"real": "folder", "path": "_at"})
     return every.join(at, "folder").select(_below(F.col("_at"), F.col("name")).alias("path"), "length", "mtime", "real_path", F.col("folder").alias("real_folder"))

@@ -59,8 +59,6 @@ def test_every_name_arrives(spark, tmp_path):
         touch(root / n)
     assert sorted(r["path"] for r in walk.walk(spark, str(root)).collect()) == sorted(names[:6])
     assert found(spark, root) == sorted(("file", n) for n in names[:6])
-    everything = listing.read_listing(spark, str(root)).collect()
-    assert sorted(r["path"] for r in everything) == sorted(names[:6])
 
 
 def test_links_are_followed_inside_the_root_alone(spark, tmp_path):
@@ -116,9 +114,7 @@ def test_depth_data_folder_and_missing_roots(spark, tmp_path):
     touch(root / "data/books/x/001.m4a")
     touch(root / "database/b.m4b")
     assert found(spark, root, str(root / "data")) == [("file", "database/b.m4b"), ("file", f"{deep}/reached.mp3")]
-    assert found(spark, root, max_depth=0) == [] and found(spark, tmp_path / "none") == []
-    touch(tmp_path / "empty/x.txt")
-    assert found(spark, tmp_path / "empty") == []
+    assert walk.walk(spark, str(root), max_depth=0).count() == 0 and found(spark, tmp_path / "none") == []
 
 
 @pytest.mark.parametrize("seed", range(3))
