@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinworks.functions.numbers import clock, parse_rfc2822, rfc2822, trimmed, whole
-from skeinworks.functions.text import guid
+from skeinworks.functions.text import ascii_lower, guid
+from skeinworks.operators.metrics import all_distinct
+from skeinworks.operators.ranges import running
 
 #: Seconds between the dates of neighbouring items.
 STEP = 60
@@ -32,12 +36,16 @@ def item_dates(df: DataFrame, parent: Sequence[str], anchor: str, idx: str = "id
 
 
 def track_order(df: DataFrame, parent: Sequence[str], track: str, name: str, out: str = "idx") -> DataFrame:
-    """``out`` from 0: by track where all rows of the parent have one and no two the same, else by name."""
-    whole_parent = Window.partitionBy(*parent)
-    numbered = df.withColumn("_usable", (F.count(track).over(whole_parent) == F.count(F.lit(1)).over(whole_parent)) & (F.size(F.collect_set(track).over(whole_parent)) == F.count(F.lit(1)).over(whole_parent)))
-    lowered = F.translate(F.col(name), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    order = Window.partitionBy(*parent).orderBy(F.when(F.col("_usable"), F.col(track)), F.when(~F.col("_usable"), lowered), name)
-    return numbered.withColumn(out, F.row_number().over(order).cast("long") - 1).drop("_usable")
+    """``out`` from 0: by track where all rows of the parent have one and no two the same, else by name.
+
+    Whether tracks can be used is counted once for each parent; places are counted in ranges, so a
+    parent may have any number of rows.
+    """
+    usable = all_distinct(df, parent, track, "_usable").withColumnsRenamed({c: f"_of_{c}" for c in parent})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in parent])
+    told = df.join(usable, same).drop(*[f"_of_{c}" for c in parent])
+    order = [F.when(F.col("_usable"), F.col(track)), F.when(~F.col("_usable"), ascii_lower(F.col(name))), name]
+    return running(told, parent, order, {out: F.lit(1)}).withColumn(out, F.col(out) - 1).drop("_usable")
 
 
 def feed_items(books: DataFrame, episodes: DataFrame) -> DataFrame:

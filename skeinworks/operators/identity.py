@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import secrets
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinworks.functions.text import slug_root
+from skeinworks.operators.ranges import running
 from skeinworks.runtime import materialize
-from skeinworks.schema import backfill_order
 
 
 def reuse_ids(sources: DataFrame, books: DataFrame, path: str = "source_path") -> DataFrame:
@@ -23,82 +21,97 @@ def reuse_ids(sources: DataFrame, books: DataFrame, path: str = "source_path") -
     return sources.join(known, path, "left")
 
 
+#: A slug as the base before it and a number from 2, as generated slugs have it.
+NUMBERED = "(?s)\\A(.+)-([1-9][0-9]{0,17})\\z"
+
+
+def _numbered(slug: Column) -> Column:
+    """``base`` and ``num`` of a slug that may have been made from a shorter one, else null."""
+    num = F.regexp_extract(slug, NUMBERED, 2)
+    return F.when((num != "") & (num != "1"), F.struct(F.regexp_extract(slug, NUMBERED, 1).alias("base"), num.cast("long").alias("num")))
+
+
 def assign_slugs(candidates: DataFrame, owned: DataFrame | None = None, *, base: str = "base", path: str = "source_path", order: str = "position") -> DataFrame:
     """``candidates`` with ``slug``: the base, or the base with the first free of -2, -3, and so on.
 
-    In ``order``, a slug is free if no earlier candidate has it and no row of ``owned`` (``slug`` and
-    the path) has it for another source.
+    In ``order``, then by path, a slug is free if no earlier candidate has it and no row of ``owned`` (``slug``
+    and the path) has it for another source. Paths are unique.
 
-    Equal bases are numbered in ranges. Where these slugs are neither those of another base nor owned
-    they are what the order gives. Only the rows of bases that clash are gone through in order, root
-    by root (slugs of different roots, without numbers at the end, never meet).
+    A base's numbers that are not to be had are its gaps: those owned, and those that are the name of
+    another base (x-2 of x) whose first candidate comes before the one that would reach it. The k-th
+    candidate gets the k-th number that is no gap, by running sums over gaps. A candidate that owns a
+    number has that one if all free ones below are taken when its turn comes. Which of two bases gets a shared
+    slug, and who keeps its own, hangs on the places of earlier candidates only; so it is settled in
+    rounds, each of which places all rows at once, until a round changes nothing. Bases without owned or
+    shared slugs need no round. Rows of one base may be in any number of tasks.
     """
-    keys = backfill_order(candidates.select(path, base, order), "_place", [base, order, path])
-    first = keys.groupBy(F.col(base).alias("_base")).agg(F.min("_place").alias("_first"))
-    nth = F.col("_place") - F.col("_first") + 1
-    plain = F.when(nth == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), nth.cast("string")))
-    numbered = materialize(keys.join(first, F.col(base).eqNullSafe(F.col("_base"))).select(path, base, order, plain.alias("slug")), "slugs")
-    clashing = numbered.groupBy("slug").agg(F.min(base).alias("a"), F.max(base).alias("b")).where("a <> b")
-    found = numbered.join(clashing.select("slug"), "slug").select(base)
-    if owned is not None:
-        theirs = owned.select("slug", F.col(path).alias("_owner"))
-        found = found.unionByName(numbered.join(theirs, "slug").where(F.col(path) != F.col("_owner")).select(base))
-    bases = materialize(found.distinct(), "slug-bases")
+    keys = candidates.select(F.col(path).alias("path"), F.col(base).alias("base"), F.col(order).alias("at"))
+    ranked = materialize(running(keys, ["base"], ["at", "path"], {"rank": F.lit(1)}), "slugs-ranked")
+    firsts = ranked.groupBy("base").agg(F.min(F.struct("at", "path")).alias("first"), F.max("rank").alias("n"))
+    slots = materialize(_slots(firsts, owned, path), "slugs-slots")
+    hard = slots.select("base").distinct()
+    slug = lambda n: F.when(n == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), n.cast("string")))
+    named = ranked.join(hard, "base", "left_anti").select("path", slug(F.col("rank")).alias("slug"))
+    if not slots.isEmpty():
+        placed = _numbers(ranked.join(hard, "base", "left_semi"), slots)
+        named = named.unionByName(placed.select("path", slug(F.col("num")).alias("slug")))
+    return candidates.join(named.withColumnRenamed("path", path), path)
+
+
+def _slots(firsts: DataFrame, owned: DataFrame | None, path: str) -> DataFrame:
+    """The numbers of bases that are owned (``sole``: by this source alone), and those shared with the base
+    ``child``, of which a row is ``side`` parent or child. Numbers that no candidate can reach are left out."""
+    if owned is None:
+        theirs = firsts.sparkSession.createDataFrame([], "slug string, sole string")
+    else:
+        least, most = F.min(path), F.max(path)
+        theirs = owned.groupBy("slug").agg(F.when(least.eqNullSafe(most), least).alias("sole"))
+    none = F.lit(None).cast("string")
+    split = firsts.select(F.col("base").alias("child"), "first", _numbered(F.col("base")).alias("of")).where("of IS NOT NULL")
+    shared = split.join(theirs.select(F.col("slug").alias("child")), "child", "left_anti")
+    shared = shared.select("of.*", none.alias("sole"), "child", F.lit("parent").alias("side"), "first")
+    named = theirs.select(F.col("slug").alias("base"), F.lit(1).cast("long").alias("num"), "sole")
+    numbered = theirs.select(_numbered(F.col("slug")).alias("of"), "sole").where("of IS NOT NULL").select("of.*", "sole")
+    nobody = F.lit(None).cast(firsts.schema["first"].dataType)
+    taken = named.unionByName(numbered).select("base", "num", "sole", none.alias("child"), none.alias("side"), nobody.alias("first"))
+    # A base's n candidates and its slots together reach no number beyond their sum.
+    every = taken.unionByName(shared).join(firsts.select("base", "n"), "base")
+    counts = every.groupBy("base").agg(F.count(F.lit(1)).alias("m"))
+    near = every.join(counts, "base").where("num <= n + m").drop("n", "m")
+    child = near.where("side = 'parent'").select(F.col("child").alias("base"), F.lit(1).cast("long").alias("num"), "sole", "child", F.lit("child").alias("side"), "first")
+    return near.unionByName(child).withColumn("owned", F.col("child").isNull())
+
+
+def _numbers(ranked: DataFrame, slots: DataFrame) -> DataFrame:
+    """``base``, ``path`` and ``num`` of candidates of bases that have slots."""
+    own = slots.where("sole IS NOT NULL").groupBy("base", F.col("sole").alias("path")).agg(F.min("num").alias("mine"))
+    rows = ranked.join(own, ["base", "path"], "left").withColumn("keeps", F.col("mine").isNotNull())
+    wins = slots.where("side = 'parent'").select("child", F.lit(True).alias("child_wins"))
     while True:
-        easy = numbered.join(bases, base, "left_anti")
-        hard = materialize(_slugs_in_order(numbered.join(bases, base).drop("slug"), owned, base, path, order), "slugs-in-order")
-        # Slugs found in order may be those of a base that had no clash so far.
-        more = easy.join(hard.select("slug"), "slug", "left_semi").select(base).distinct()
-        if more.isEmpty():
+        # Gaps, and of each slot how many free numbers lie below it.
+        gap = F.col("owned") | (F.col("child_wins") == (F.col("side") == "parent"))
+        counted = running(slots.join(wins, "child", "left").withColumn("gap", gap.cast("int")), ["base"], ["num"], {"gaps": F.col("gap")})
+        marked = counted.withColumn("free_below", F.col("num") - 1 - (F.col("gaps") - F.col("gap")))
+        mine = marked.where("owned").select("base", F.col("num").alias("mine"), F.col("free_below").alias("below_mine"))
+        seen = running(rows.drop("below_mine").join(mine, ["base", "mine"], "left"), ["base"], ["rank"], {"kept": F.col("keeps").cast("int")})
+        earlier = F.col("rank") - 1 - (F.col("kept") - F.col("keeps").cast("int"))
+        seen = materialize(seen.withColumns({"nth": F.col("rank") - F.col("kept"), "again": F.coalesce(F.col("below_mine") <= earlier, F.lit(False))}), "slugs-seen")
+        # Who reaches a shared slug: the first candidate of its name, or the parent's for whom it is the next free number.
+        reach = seen.where("NOT keeps").select("base", F.col("nth").alias("turn"), F.struct("at", "path").alias("reached"))
+        shared = marked.where("side = 'parent'").select("base", "child", "first", "child_wins", (F.col("free_below") + 1).alias("turn")).join(reach, ["base", "turn"], "left")
+        shared = materialize(shared.withColumn("now", F.coalesce(F.col("first") < F.col("reached"), F.lit(True))), "slugs-shared")
+        changed = seen.where("again <> keeps").select("base").unionByName(shared.where("now <> child_wins").select("base"))
+        if changed.isEmpty():
             break
-        bases = materialize(bases.unionByName(more), "slug-bases")
-    named = easy.select(path, "slug").unionByName(hard.select(path, "slug"))
-    return candidates.join(named, path)
-
-
-def _slugs_in_order(candidates: DataFrame, owned: DataFrame | None, base: str, path: str, order: str) -> DataFrame:
-    """``candidates`` with the slug that each has when they are gone through in order."""
-    keys = candidates.select(path, base, order).withColumn("_root", slug_root(F.col(base)))
-    taken = None
-    if owned is not None:
-        # Only roots that have candidates; a group of owned slugs alone would be gathered for nothing.
-        taken = owned.select("slug", F.col(path).alias("_owner")).withColumn("_root", slug_root(F.col("slug")))
-        taken = taken.join(keys.select("_root").distinct(), "_root", "left_semi")
-
-    def assign(group: pd.DataFrame, owners: dict[str, set[str]]) -> pd.DataFrame:
-        seen: set[str] = set()
-        next_try: dict[str, int] = {}
-        slugs = []
-        for name, source in zip(group[base], group[path], strict=True):
-            n = 1
-            # A slug refused because it is seen stays so: later candidates of the base start after it.
-            n = next_try.get(name, 1)
-            while True:
-                slug = name if n == 1 else f"{name}-{n}"
-                if slug not in seen and owners.get(slug, {source}) <= {source}:
-                    break
-                if slug in seen and next_try.get(name, 1) == n:
-                    next_try[name] = n + 1
-                n += 1
-            seen.add(slug)
-            slugs.append(slug)
-        return group.assign(slug=slugs)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.drop("_root").schema.fields)
-    schema = f"{fields}, slug string"
-    if taken is None:
-        def alone(group: pd.DataFrame) -> pd.DataFrame:
-            return assign(group.sort_values([order, path]).drop(columns="_root"), {})
-
-        return keys.groupBy("_root").applyInPandas(alone, schema)
-    else:
-        def beside(group: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            owners: dict[str, set[str]] = {}
-            for slug, source in zip(held["slug"], held["_owner"], strict=True):
-                owners.setdefault(slug, set()).add(source)
-            return assign(group.sort_values([order, path]).drop(columns="_root"), owners)
-
-        return keys.groupBy("_root").cogroup(taken.groupBy("_root")).applyInPandas(beside, schema)
+        rows = seen.drop("kept", "nth", "keeps").withColumnRenamed("again", "keeps")
+        wins = shared.select("child", F.col("now").alias("child_wins"))
+    kind = lambda n: F.lit(n).alias("kind")
+    places = seen.where("NOT keeps").select("base", "path", F.col("nth").alias("place"), kind(0), F.lit(0).cast("long").alias("num"))
+    gaps = marked.where("gap = 1").select("base", F.lit(None).cast("string").alias("path"), F.col("free_below").alias("place"), kind(1), "num")
+    # The gaps before a candidate are those with fewer free numbers below them than its own place.
+    shifted = running(places.unionByName(gaps), ["base"], ["place", "kind", "num"], {"over": F.col("kind")}).where("kind = 0")
+    found = shifted.select("base", "path", (F.col("place") + F.col("over")).alias("num"))
+    return found.unionByName(seen.where("keeps").select("base", "path", F.col("mine").alias("num")))
 
 
 def capability_ids(n: int) -> list[str]:

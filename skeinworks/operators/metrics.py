@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinworks.runtime import materialize
+
 #: Upper bounds of the duration histogram, and kinds of errors.
 BOUNDS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0)
 ERROR_KINDS = ("not_found", "forbidden", "internal")
+#: Buckets of a round of selection, and rows that are sorted rather than counted again.
+BUCKETS, FEW = 1024, 4096
 
 
 def children_per_parent(parents: DataFrame, children: DataFrame, key: str, foreign: str, out: str = "n") -> DataFrame:
@@ -39,22 +45,58 @@ def cumulative_histogram(df: DataFrame, value: str, bounds: Sequence[float] = BO
     return row.select(F.explode(F.array(*pairs)).alias("x")).select("x.le", "x.n")
 
 
-def place_percentiles(df: DataFrame, value: str, ps: Sequence[float], within: Sequence[str] = ()) -> DataFrame:
-    """The element at place floor((n - 1) * p) + 1 of the sorted values, for each p.
+def place_percentiles(df: DataFrame, value: str, ps: Sequence[float], within: Sequence[str] = (), *, buckets: int = BUCKETS, few: int = FEW) -> DataFrame:
+    """The element at place floor((n - 1) * p) + 1 of the sorted values, for each p, with ``max`` and ``n``.
 
-    Values are counted first, and places found in the running count of the distinct ones; within a
-    group these meet in one task, so a group's distinct values must be few enough for that. Nulls
-    do not count.
+    Values stay where they are. Each round counts those that may still be meant in ``buckets`` of equal width,
+    finds the bucket that holds the place and goes on between its least and greatest value, until there
+    is one value or at most ``few`` rows, which are then sorted; so are values that no bucket tells apart, such as
+    texts. Nulls do not count, and a null of ``within`` is a group.
     """
-    from pyspark.sql import Window
-
-    counted = df.where(F.col(value).isNotNull()).groupBy(*within, value).agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*within)
-    upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumns({"_upto": upto, "_all": F.sum("_n").over(group)})
-    place = lambda p: F.floor((F.col("_all") - 1) * F.lit(float(p))) + 1
-    columns = [F.min(F.when(F.col("_upto") >= place(p), F.col(value))).alias(f"p{round(p * 100)}") for p in ps]
-    return ranked.groupBy(*within).agg(*columns, F.max(value).alias("max"), F.max("_all").alias("n"))
+    keys = ["g", *[f"g{n}" for n in range(len(within))]]
+    named = [F.lit(0).alias("g"), *[F.col(c).alias(k) for c, k in zip(within, keys[1:], strict=True)]]
+    values = df.where(F.col(value).isNotNull()).select(*named, F.col(value).alias("v"))
+    groups = materialize(values.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n")), "places-groups")
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("p"), F.lit(float(p)).alias("at")) for k, p in enumerate(ps)])).alias("x")
+    place = (F.floor((F.col("n") - 1) * F.col("x.at")) + 1).cast("long").alias("place")
+    targets = groups.select("*", asked).select(*keys, F.col("x.p").alias("p"), "low", "high", F.col("n").alias("rows"), place, F.lit(False).alias("stuck"))
+    wide = (F.col("rows") > few) & (F.col("low") < F.col("high")) & ~F.col("stuck")
+    ends = [*keys, "low", "high"]
+
+    def inside(ranges: DataFrame) -> DataFrame:
+        """The values between the ends of each range, beside it."""
+        there = ranges.select(*[F.col(k).alias(f"of_{k}") for k in keys], "low", "high")
+        same = (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+        return values.join(there, same).drop(*[f"of_{k}" for k in keys])
+
+    def placed(counts: DataFrame, by: str) -> DataFrame:
+        """Of each target the row of ``counts`` in its range that holds its place, and the rows ``before`` that."""
+        before = F.coalesce(F.sum("m").over(Window.partitionBy(*ends).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parts = counts.withColumn("before", before).withColumnsRenamed({c: f"in_{c}" for c in ends})
+        hit = (F.col("place") > F.col("before")) & (F.col("place") <= F.col("before") + F.col("m"))
+        for c in ends:
+            hit = hit & F.col(c).eqNullSafe(F.col(f"in_{c}"))
+        return targets.join(parts, hit)
+
+    while targets.agg(F.count_if(wide)).first()[0]:
+        number = lambda c: F.col(c).try_cast("double")
+        at = F.floor(F.try_divide(number("v") - number("low"), number("high") - number("low")) * buckets)
+        bucket = F.coalesce(F.least(F.greatest(at, F.lit(0)), F.lit(buckets - 1)), F.lit(0)).alias("bucket")
+        counts = inside(targets.where(wide).select(*ends).distinct()).groupBy(*ends, bucket).agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("least"), F.max("v").alias("most"))
+        on = placed(counts, "bucket")
+        closer = on.select(*keys, "p", F.col("least").alias("low"), F.col("most").alias("high"), F.col("m").alias("rows"), (F.col("place") - F.col("before")).alias("place"), (F.col("m") == F.col("rows")).alias("stuck"))
+        targets = materialize(targets.where(~wide).unionByName(closer), "places-targets")
+    one = targets.where("low = high").select(*keys, "p", F.col("low").alias("found"))
+    rest = targets.where("low < high")
+    counts = inside(rest.select(*ends).distinct()).groupBy(*ends, "v").agg(F.count(F.lit(1)).alias("m"))
+    found = one.unionByName(placed(counts, "v").select(*keys, "p", F.col("v").alias("found")))
+    columns = [F.max(F.when(F.col("p") == k, F.col("found"))).alias(f"p{round(p * 100)}") for k, p in enumerate(ps)]
+    answers = found.groupBy(*keys).agg(*columns).withColumnsRenamed({k: f"of_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys])
+    back = [F.col(k).alias(c) for c, k in zip(within, keys[1:], strict=True)]
+    return groups.join(answers, same).select(*back, *[f"p{round(p * 100)}" for p in ps], F.col("high").alias("max"), "n")
 
 
 def extrapolate(seconds: Column, measured: Column, target: float = 36_000.0) -> Column:
