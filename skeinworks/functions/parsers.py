@@ -1,10 +1,12 @@
-"""Parsers of chapter sidecars and probe documents, as folds over lines in column expressions.
+"""Parsers of chapter sidecars and probe documents, as column expressions over the sections of their lines.
 
 Bad input gives nulls, an empty array or an error's name, never an exception.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,35 +30,50 @@ def _chapter(idx: Column, start: Column, end: Column, title: Column) -> Column:
     return F.struct(idx.cast("long").alias("idx"), start.cast("double").alias("start_sec"), end.cast("double").alias("end_sec"), title.cast("string").alias("title"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value``, which is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sections(lines: Column, is_head: Callable[[Column], Column]) -> Column:
+    """An array of sections, each the lines from a head up to the next; what stands before the first is left out.
+
+    Each line is copied once, however many there are.
+    """
+
+    def cut(heads: Column) -> Column:
+        return F.transform(heads, lambda at, k: F.slice(lines, at + 1, F.coalesce(F.get(heads, k + 1), F.size(lines)) - at))
+
+    numbered = F.transform(lines, lambda x, i: F.when(is_head(x), i).otherwise(-1))
+    return _let(F.array_remove(numbered, -1), cut)
+
+
+def _last(values: Column) -> Column:
+    """The last that is not null."""
+    return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
+
+
 def parse_cue(text: Column, duration: Column) -> Column:
     """Chapters of a cue sheet: tracks with an ``INDEX 01``, by start, each up to the next one's.
 
     The last goes up to ``duration``, or nowhere if it starts later. Keywords are caseless and
-    followed by a blank; of several indexes in a track the last counts, as of several titles; a
-    title before the first track does not.
+    followed by a blank; of several indexes in a track the last that parses counts, as does the last of several
+    titles; a title before the first track does not.
     """
-    entry = "struct<start:double,title:string>"
-
-    def step(tracks: Column, raw: Column) -> Column:
-        line, last = trimmed(raw), F.try_element_at(tracks, F.lit(-1))
-        upper = ascii_upper(line)
-        earlier = F.slice(tracks, 1, F.greatest(F.size(tracks) - 1, F.lit(0)))
-        changed = lambda start, title: F.concat(earlier, F.array(F.struct(start.alias("start"), title.alias("title"))))
-        time = cue_seconds(F.get(F.split(line, "\\s+"), 2))
-        opened = F.concat(tracks, F.array(F.struct(F.lit(None).cast("double").alias("start"), F.lit(None).cast("string").alias("title"))))
-        inside = F.size(tracks) > 0
-        return (
-            F.when(upper.startswith("TRACK "), opened)
-            .when(inside & upper.startswith("TITLE "), changed(last["start"], unquoted_argument(line)))
-            .when(inside & upper.startswith("INDEX 01 "), changed(F.coalesce(time, last["start"]), last["title"]))
-            .otherwise(tracks)
-        )
-
-    tracks = F.aggregate(_lines(text), F.array().cast(f"array<{entry}>"), step)
+    starts_with = lambda word: lambda x: ascii_upper(x).startswith(word)
+
+    def track(section: Column) -> Column:
+        times = F.transform(F.filter(section, starts_with("INDEX 01 ")), lambda x: cue_seconds(F.get(F.split(x, "\\s+"), 2)))
+        title = F.try_element_at(F.filter(section, starts_with("TITLE ")), F.lit(-1))
+        return F.struct(_last(times).alias("start"), unquoted_argument(title).alias("title"))
+
+    def chapters(starts: Column) -> Column:
+        end = lambda t, k: F.coalesce(F.get(starts, k + 1)["start"], F.greatest(duration, t["start"]))
+        return F.transform(starts, lambda t, k: _chapter(k, t["start"], end(t, k), F.nullif(t["title"], F.lit(""))))
+
+    tracks = _let(F.transform(_lines(text), trimmed), lambda lines: F.transform(_sections(lines, starts_with("TRACK ")), track))
     placed = F.transform(tracks, lambda t, k: F.struct(t["start"].alias("start"), k.alias("k"), t["title"].alias("title")))
-    starts = F.array_sort(F.filter(placed, lambda t: t["start"].isNotNull()))
-    ends = F.transform(starts, lambda t, k: F.coalesce(F.get(starts, k + 1)["start"], F.greatest(duration, t["start"])))
-    return F.transform(starts, lambda t, k: _chapter(k, t["start"], F.get(ends, k), F.nullif(t["title"], F.lit("")))).cast(CHAPTERS)
+    return _let(F.array_sort(F.filter(placed, lambda t: t["start"].isNotNull())), chapters).cast(CHAPTERS)
 
 
 def parse_ffmeta(text: Column) -> Column:
@@ -65,38 +82,43 @@ def parse_ffmeta(text: Column) -> Column:
     A block's time base, 1/1000 unless given, holds for all of it whatever the order of its keys. A
     block without start or end is dropped, but its title stays for the next block without one.
     """
-    state = f"struct<done:{CHAPTERS},open:boolean,start:double,end:double,num:double,den:double,title:string>"
-    null = lambda kind: F.lit(None).cast(kind)
-
-    def make(s: Column, **new: Column) -> Column:
-        names = ("done", "open", "start", "end", "num", "den", "title")
-        return F.struct(*[new.get(n, s[n]).alias(n) for n in names]).cast(state)
-
-    def closed(s: Column) -> Column:
-        whole_block = s["open"] & s["start"].isNotNull() & s["end"].isNotNull()
-        found = _chapter(F.size(s["done"]), timebase_seconds(s["start"], s["num"], s["den"]), timebase_seconds(s["end"], s["num"], s["den"]), F.nullif(s["title"], F.lit("")))
-        return F.when(whole_block, make(s, done=F.concat(s["done"], F.array(found.cast(CHAPTER))), title=null("string"))).otherwise(s)
-
-    def step(s: Column, raw: Column) -> Column:
-        line = trimmed(raw)
-        key, value = F.lower(trimmed(F.regexp_extract(line, "\\A([^=]*)=", 1))), trimmed(F.regexp_extract(line, "\\A[^=]*=(.*)\\z", 1))
-        num = decimal(F.regexp_extract(value, "\\A([^/]*)/", 1))
-        den = decimal(F.regexp_extract(value, "\\A[^/]*/(.*)\\z", 1))
-        known = num.isNotNull() & (den != 0)
-        shut = closed(s)
-        return (
-            F.when(ascii_upper(line) == "[CHAPTER]", make(shut, open=F.lit(True), start=null("double"), end=null("double"), num=null("double"), den=null("double")))
-            .when(line.startswith("["), make(shut, open=F.lit(False), start=null("double"), end=null("double")))
-            .when(~s["open"] | ~line.contains("="), s)
-            .when(key == "timebase", make(s, num=F.when(known, num).otherwise(s["num"]), den=F.when(known, den).otherwise(s["den"])))
-            .when(key == "start", make(s, start=whole(value).cast("double")))
-            .when(key == "end", make(s, end=whole(value).cast("double")))
-            .when(key == "title", make(s, title=value))
-            .otherwise(s)
-        )
-
-    start = F.struct(F.array().cast(CHAPTERS).alias("done"), F.lit(False).alias("open"), *[null("double").alias(n) for n in ("start", "end", "num", "den")], null("string").alias("title")).cast(state)
-    return F.aggregate(_lines(text), start, step, closed)["done"]
+
+    def values(section: Column, key: str) -> Column:
+        named = F.filter(section, lambda x: F.lower(trimmed(F.regexp_extract(x, "\\A([^=]*)=", 1))) == key)
+        return F.transform(named, lambda x: trimmed(F.regexp_extract(x, "\\A[^=]*=(.*)\\z", 1)))
+
+    def number(section: Column, key: str) -> Column:
+        return whole(F.try_element_at(values(section, key), F.lit(-1))).cast("double")
+
+    def base(value: Column) -> Column:
+        num, den = decimal(F.regexp_extract(value, "\\A([^/]*)/", 1)), decimal(F.regexp_extract(value, "\\A[^/]*/(.*)\\z", 1))
+        return F.when(num.isNotNull() & (den != 0), F.struct(num.alias("num"), den.alias("den")))
+
+    def block(section: Column) -> Column:
+        unit = _last(F.transform(values(section, "timebase"), base))
+        title = F.try_element_at(values(section, "title"), F.lit(-1))
+        at = lambda key: timebase_seconds(number(section, key), unit["num"], unit["den"])
+        return F.struct(at("start").alias("start"), at("end").alias("end"), title.alias("title"))
+
+    def chapters(blocks: Column) -> Column:
+        done = F.transform(blocks, lambda b, i: F.when(b["start"].isNotNull() & b["end"].isNotNull(), i).otherwise(-1))
+
+        def made(ends: Column) -> Column:
+            def chapter(i: Column, k: Column) -> Column:
+                # The last title since the chapter before.
+                first = F.coalesce(F.get(ends, k - 1), F.lit(-1)) + 1
+                title = _last(F.transform(F.slice(blocks, first + 1, i - first + 1), lambda b: b["title"]))
+                return _chapter(k, F.get(blocks, i)["start"], F.get(blocks, i)["end"], F.nullif(title, F.lit("")))
+
+            return F.transform(ends, chapter)
+
+        return _let(F.array_remove(done, -1), made)
+
+    def of(lines: Column) -> Column:
+        own = F.filter(_sections(lines, lambda x: x.startswith("[")), lambda s: ascii_upper(F.get(s, 0)) == "[CHAPTER]")
+        return F.transform(own, block)
+
+    return _let(_let(F.transform(_lines(text), trimmed), of), chapters).cast(CHAPTERS)
 
 
 def resolve_chapters(cue: Column, ffmeta: Column, embedded: Column, force_embedded: Column) -> Column:

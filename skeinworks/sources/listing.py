@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,22 +160,23 @@ def with_override_file(books: DataFrame, listing: DataFrame, name: str, suffix:
     return b.withColumn("override", override).drop("_a", "_b", "_a_there", "_b_there")
 
 
-def needs_faststart(header: bytes | None, size: int | None = None) -> bool:
+def faststart_of(read: Callable[[int, int], bytes], size: int) -> bool:
     """Whether an MP4's media data comes before its index: ``ftyp`` seen, then ``mdat`` before ``moov``.
 
-    Boxes have a 32-bit size and a name; size 1 means a 64-bit size follows, 0 that the box goes on
-    to the end. Anything malformed: False.
+    ``read`` gives the bytes from a place on; only boxes' heads are read, at most 16 bytes of each. Boxes
+    have a 32-bit size and a name; size 1 means a 64-bit size follows, 0 that the box goes on to
+    the end. Anything malformed: False.
     """
-    data, at, seen = header or b"", 0, False
-    size = len(data) if size is None else size
+    at, seen = 0, False
     for _ in range(MAX_BOXES):
-        if at + 8 > len(data):
+        head = read(at, 16)
+        if len(head) < 8:
             return False
-        length, name = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        length, name = int.from_bytes(head[:4], "big"), head[4:8]
         if length == 1:
-            if at + 16 > len(data):
+            if len(head) < 16:
                 return False
-            length = int.from_bytes(data[at + 8 : at + 16], "big")
+            length = int.from_bytes(head[8:16], "big")
         elif length == 0:
             length = size - at
         if length < 8:
@@ -185,6 +188,25 @@ def needs_faststart(header: bytes | None, size: int | None = None) -> bool:
     return False
 
 
+def needs_faststart(header: bytes | None, size: int | None = None) -> bool:
+    """``faststart_of`` the bytes that a file begins with."""
+    data = header or b""
+    return faststart_of(lambda at, n: data[at : at + n], len(data) if size is None else size)
+
+
+def needs_faststart_at(path: str | None) -> bool:
+    """``faststart_of`` a file, read from box to box; one that can't be read: False."""
+    from skeinworks.sources import files
+
+    try:
+        store, base = files.store_of(path or "")
+        with store.open_input_file(base) as f:
+            size = f.size()
+            return faststart_of(lambda at, n: f.read_at(min(n, size - at), at) if at < size else b"", size)
+    except (OSError, ValueError):
+        return False
+
+
 def with_faststart(files: DataFrame, content: str = "content") -> DataFrame:
     """``needs_faststart`` of each row's bytes."""
 
@@ -195,6 +217,16 @@ def with_faststart(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("needs_faststart", scanned(content))
 
 
+def with_faststart_of(files: DataFrame, path: str = "real_path") -> DataFrame:
+    """``needs_faststart`` of the file at each row's path: a few small reads, whatever its length."""
+
+    @F.pandas_udf("boolean")
+    def scanned(s: pd.Series) -> pd.Series:
+        return s.map(needs_faststart_at).astype(bool)
+
+    return files.withColumn("needs_faststart", scanned(path))
+
+
 def read_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``path`` and ``text`` of sidecar files."""
     return spark.read.format("binaryFile").load(paths).select("path", F.col("content").cast("string").alias("text"))

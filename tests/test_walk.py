@@ -155,3 +155,33 @@ def test_stores_without_links(spark, tmp_path):
     entries = list(walk.store_entries(f"file://{tmp_path}/lib"))
     assert [(e[0], e[1], e[2]) for e in entries] == [("_a", True, f"file://{tmp_path}/lib/_a")]
     assert list(walk.store_entries(f"file://{tmp_path}/none")) == []
+
+
+def boxes(path, *parts, size=None):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with open(path, "wb") as f:
+        for name, length in parts:
+            f.write((1).to_bytes(4, "big") + name + length.to_bytes(8, "big"))
+            f.seek(length - 16, 1)
+        f.truncate(size if size is not None else f.tell())
+
+
+def test_the_header_of_a_large_file_takes_a_few_reads(spark, tmp_path):
+    root, five = tmp_path / "lib", 5 << 30
+    boxes(root / "A/late.m4b", (b"ftyp", 32), (b"free", five), (b"mdat", 64), (b"moov", 64))
+    boxes(root / "B/early.m4b", (b"ftyp", 32), (b"moov", 64), (b"mdat", five))
+    boxes(root / "C/cut.m4b", (b"ftyp", 32), (b"free", five), size=100)
+    boxes(root / "D/none.m4b", size=0)
+    files = walk.walk(spark, str(root))
+    got = {r["path"]: (r["needs_faststart"], r["length"] > five) for r in listing.with_faststart_of(files).collect()}
+    assert got == {"A/late.m4b": (True, True), "B/early.m4b": (False, True), "C/cut.m4b": (False, False), "D/none.m4b": (False, False)}
+    reads = []
+    with open(root / "A/late.m4b", "rb") as f:
+
+        def read(at, n):
+            reads.append(n)
+            f.seek(at)
+            return f.read(n)
+
+        assert listing.faststart_of(read, five) and sum(reads) <= 3 * 16
+    assert not listing.needs_faststart_at(None) and not listing.needs_faststart_at(str(tmp_path / "missing"))
