@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: The state store that timers need.
-PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 EXPIRED = "path string, length long, mtime long, expired_at timestamp"
 
 
@@ -64,7 +62,8 @@ def expiries(changes: DataFrame, ttl: int | None, owners: DataFrame | None = Non
 
     ``changes``: path, kind, length, mtime, keep, ts and, with ``owners`` (a table of what can be made
     again), ``owner``; other files never expire. The clock is the watermark of ``ts``, ``late`` behind it, or with
-    ``ProcessingTime`` the wall clock. Without limit nothing expires. The session needs ``PROVIDER``.
+    ``ProcessingTime`` the wall clock. Without limit nothing expires. The session
+    needs the state store of ``runtime.session``.
     """
     if owners is not None:
         changes = changes.join(owners.select(owner).distinct(), owner, "left_semi")

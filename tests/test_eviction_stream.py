@@ -1,7 +1,6 @@
 import datetime
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from skeinworks.operators import cache
@@ -11,13 +10,6 @@ CHANGES = "path string, kind string, length long, mtime long, keep boolean, ts t
 at = lambda s: datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=s)
 
 
-@pytest.fixture(autouse=True)
-def timers(spark):
-    spark.conf.set(*eviction.PROVIDER)
-    yield
-    spark.conf.unset(eviction.PROVIDER[0])
-
-
 def feed(spark, folder, batches, ttl, owners=None, name="evicted"):
     """What fires after each batch; a query is stopped and started again between them."""
     seen = []

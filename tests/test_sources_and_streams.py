@@ -103,6 +103,31 @@ def test_bursts_on_a_table_and_on_a_stream(spark, tmp_path):
     assert sorted(seen) == [1, 1, 3]  # the last burst is still open
 
 
+def test_bursts_of_a_stream_match_those_of_a_table(spark, tmp_path):
+    """Without a key: events come in several batches, and bursts run across them."""
+    import random
+
+    rng, now, batches = random.Random(3), 0.0, []
+    for _ in range(3):
+        rows = []
+        for _ in range(60):
+            now += rng.choice([0.0, 0.3, 0.3, 1.0, 2.0, 2.001, 5.0])
+            rows.append(now)
+        batches.append(rng.sample(rows, len(rows)))
+    batches.append([now + 100])
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(milliseconds=round(1000 * s))
+    seen = []
+    for rows in batches:
+        spark.createDataFrame([(at(s),) for s in rows], "ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("ts timestamp").parquet(str(tmp_path / "in"))
+        query = changes.on_each_burst(changes.bursts(stream, late="10 seconds"), lambda b, n: seen.extend(map(tuple, b.collect())), str(tmp_path / "check"), once=True)
+        query.awaitTermination(120)
+        assert query.exception() is None
+    table = spark.read.parquet(str(tmp_path / "in"))
+    want = sorted(map(tuple, changes.bursts(table).collect()))
+    assert len(want) > 10 and sorted(seen) == want[:-1]  # the last is still open
+
+
 def test_feed_documents(spark):
     df = spark.createDataFrame([("f", "A & B", [("t<", "g", "d", "u", "1", "audio/mp4", "00:00:01", "1")])], "feed string, title string, items array<struct<title:string,guid:string,pub_date:string,url:string,length:string,type:string,duration:string,episode:string>>")
     xml = tables.feed_documents(df).first()["xml"]
