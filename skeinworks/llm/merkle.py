@@ -103,7 +103,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
 
     Null text: empty. Repeated ids: each row is edited with the next other id; of an id's rows, the
-    one with the least head is what others are edited with. Null doc_id: no place in the order, so
+    one whose text begins least is what others are edited with. Very long texts: whole. Null doc_id: no place in the order, so
     edited with an empty text and near_next null. One id alone: next to itself. No rows: no rows.
     Other columns of ``docs`` are not read.
     """
@@ -112,13 +112,14 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     # Both joins take this table by doc_id alone, so that its texts are shuffled once for the two.
     placed, apart = rows.where("doc_id IS NOT NULL"), rows.where("doc_id IS NULL")
     chain = next_ids(placed.select("doc_id").distinct())
-    sizes = placed.select("doc_id", third.alias("third")).distinct()
+    # An id asks once, for the longest head that any of its rows takes.
+    sizes = placed.groupBy("doc_id").agg(F.max(third).alias("third"))
     wanted = sizes.join(chain, "doc_id").select(F.col("doc_id").alias("for_id"), "third", F.col("next_id").alias("doc_id"))
-    heads = placed.join(wanted, "doc_id").select("for_id", "third", F.struct(F.left("text", "third").alias("head"), fingerprint(F.col("text")).alias("print")).alias("next"))
-    heads = heads.groupBy("for_id", "third").agg(F.min("next").alias("next"))
-    paired = placed.join(heads, F.col("doc_id") == F.col("for_id")).where(third - F.col("third") == 0)
+    heads = placed.join(wanted, "doc_id").select("for_id", F.struct(F.left("text", "third").alias("head"), fingerprint(F.col("text")).alias("print")).alias("next"))
+    heads = heads.groupBy("for_id").agg(F.min("next").alias("next"))
+    paired = placed.join(heads, F.col("doc_id") == F.col("for_id"))
     alone = apart.select("doc_id", "text", F.lit("").alias("head"), F.lit(None).cast("string").alias("next_print"))
-    both = paired.select("doc_id", "text", F.col("next.head").alias("head"), F.col("next.print").alias("next_print")).unionByName(alone)
+    both = paired.select("doc_id", "text", F.left(F.col("next.head"), third).alias("head"), F.col("next.print").alias("next_print")).unionByName(alone)
     edited = both.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),

@@ -27,8 +27,8 @@ MONTHS = ("January", "February", "March", "April", "May", "June", "July", "Augus
 _MONTH = "|".join(m if len(m) < 4 else f"{m}|{m[:3]}" for m in MONTHS)
 _VALUE = re.compile(
     rf"""
-    (?P<email>(?<![\w.%+-])[\w.%+-]{{1,64}}@(?:[A-Za-z0-9-]{{1,63}}\.){{1,8}}[A-Za-z]{{2,24}}(?![A-Za-z]))
-    |(?P<secret>(?<=["'])(?<!\w)[A-Za-z0-9_-]{{16,128}}(?=["']))
+    (?P<email>(?<![\w.%+-])[\w.%+-]+@(?:[A-Za-z0-9-]{{1,63}}\.){{1,8}}[A-Za-z]{{2,24}}(?![A-Za-z]))
+    |(?P<secret>(?<=["'])(?<!\w)[A-Za-z0-9_-]{{16,}}(?=["']))
     |(?P<iban>(?<!\w)[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?!\w))
     |(?P<iso>(?<![\w.-])[0-9]{{4}}([-/.])[0-9]{{2}}\5[0-9]{{2}}(?![\w-]|\.[0-9]))
     |(?P<day>(?<![\w.-])[0-9]{{1,2}}([-/.])[0-9]{{1,2}}\7[0-9]{{4}}(?![\w-]|\.[0-9]))
@@ -42,8 +42,9 @@ _VALUE = re.compile(
     """,
     re.VERBOSE,
 )
-#: Before a quoted secret: the name it is given to.
-_NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\w*[\"']?\s{0,4}[:=]\s{0,4}[\"']\Z")
+#: Before a quoted secret: the name it is given to, of any length, and what stands between.
+_GIVEN = re.compile(r"[\"']?\s{0,4}[:=]\s{0,4}[\"']\Z")
+_NAME = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\w*\Z")
 _HINT = re.compile(r"[0-9@]|(?i:secret|token|key|passw)")
 
 
@@ -172,15 +173,25 @@ def iban(value: str, move: Move) -> str | None:
     return "".join(c if c == " " else next(new) for c in value)
 
 
+def day_class(date: datetime.date) -> tuple[bool, ...]:
+    """What a date keeps, so that each way to write it stays as wide and reads back in the same order."""
+    return date.day > 12, date.day > 9, date.month > 9, date.month == 5
+
+
 def moved_day(year: int, month: int, day: int, move: Move) -> datetime.date | None:
+    """Another date of the same class, the same one however the date is written: the walk goes on until it has one."""
     try:
         date = datetime.date(year, month, day)
     except ValueError:
         return None
     if not FIRST_DAY <= date <= LAST_DAY:
         return None
-    days = (LAST_DAY - FIRST_DAY).days + 1
-    return FIRST_DAY + datetime.timedelta(move((date - FIRST_DAY).days, days, "date"))
+    days, new = (LAST_DAY - FIRST_DAY).days + 1, (date - FIRST_DAY).days
+    while True:
+        new = move(new, days, "date")
+        found = FIRST_DAY + datetime.timedelta(new)
+        if day_class(found) == day_class(date):
+            return found
 
 
 def iso(value: str, move: Move) -> str | None:
@@ -198,15 +209,8 @@ def day(value: str, move: Move) -> str | None:
     new = moved_day(int(year), int(a if first else b), int(b if first else a), move)
     if not new:
         return None
-    padded = len(a) == len(b) == 2
-    if not padded and "0" in (a[0], b[0]):
-        return None
-    # The new date must read back in this order and width, so that it can be undone: walk on until it does.
-    while (new.day > 12) != (max(int(a), int(b)) > 12) or not padded and min(new.day, new.month) > 9:
-        new = moved_day(new.year, new.month, new.day, move)
-    width = "02" if padded else ""
     x, y = (new.month, new.day) if first else (new.day, new.month)
-    return f"{x:{width}}{mark}{y:{width}}{mark}{new.year}"
+    return f"{x:0{len(a)}}{mark}{y:0{len(b)}}{mark}{new.year}"
 
 
 def written(value: str, move: Move) -> str | None:
@@ -216,9 +220,9 @@ def written(value: str, move: Move) -> str | None:
     new = moved_day(int(year), month, int(number), move)
     if not new:
         return None
-    label = MONTHS[new.month - 1] if len(name) > 3 or name == "May" else MONTHS[new.month - 1][:3]
+    label = MONTHS[new.month - 1] if len(name) > 3 else MONTHS[new.month - 1][:3]
     out = re.sub(r"[0-9]{4}\Z", str(new.year), value.replace(name, "\0"))
-    return re.sub(r"[0-9]{1,2}(?=[^0-9])", str(new.day), out, count=1).replace("\0", label)
+    return re.sub(r"[0-9]{1,2}(?=[^0-9])", f"{new.day:0{len(number)}}", out, count=1).replace("\0", label)
 
 
 def secret(value: str, move: Move) -> str:
@@ -230,6 +234,17 @@ KINDS: dict[str, Callable[[str, Move], str | None]] = {
 }
 
 
+def is_named(text: str, at: int) -> bool:
+    """Whether what is quoted at ``at`` is given to a name that says it is secret."""
+    given = _GIVEN.search(text, max(0, at - 12), at)
+    if not given:
+        return False
+    start = end = given.start()
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_-"):
+        start -= 1
+    return _NAME.search(text, start, end) is not None
+
+
 def pseudonymise(text: str | None, move: Move) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The text with its personal values moved, and kind, start and end of each in the text given."""
     if not text or not _HINT.search(text):
@@ -237,7 +252,7 @@ def pseudonymise(text: str | None, move: Move) -> tuple[str | None, list[tuple[s
     out, found, done = [], [], 0
     for m in _VALUE.finditer(text):
         kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k] is not None)
-        if kind == "secret" and not _NAMED.search(text, max(0, m.start() - 60), m.start()):
+        if kind == "secret" and not is_named(text, m.start()):
             continue
         new = KINDS[kind](m[0], move)
         if new is not None:

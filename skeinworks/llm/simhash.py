@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks.llm.linking import CELL, bucket_cells, connected_components, pigeonhole_keys, tuned_blocks
+from skeinworks.llm.text import boxed
 from skeinworks.runtime import materialize
 
 SHINGLE = 3
@@ -156,8 +157,9 @@ def one_of_each_group(docs: DataFrame, **settings) -> DataFrame:
 
     Rows with a null doc_id stay. Else as ``near_duplicates``.
     """
-    gone = near_duplicates(docs, **settings).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone.distinct(), docs["doc_id"] == F.col("_gone_id"), "left_anti")
+    gone = near_duplicates(docs, **settings).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    left = boxed(docs, own_id=F.col("doc_id")).join(gone, F.col("own_id") == F.col("gone_id"), "left_anti")
+    return left.select(*[F.col("boxed").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
+import datetime
 import hashlib
 import random
+import re
 import zlib
 
 import pytest
@@ -250,6 +252,44 @@ def test_all_days_of_a_form_are_permuted():
         assert len(set(moved)) == len(days) and [pseudonyms.pseudonymise(x, n.back)[0] for x in moved] == days
 
 
+def test_written_dates_keep_their_width_and_come_back():
+    n = pseudonyms.Feistel(b"k")
+    for form in ("{d:02} {long} 2020", "{d} {long} 2020", "{short} {d}, 2020", "{short} {d:02}, 2020", "{d}/{m:02}/2020", "{m:02}.{d}.2020", "{m}-{d:02}-1999"):
+        days = [form.format(m=m, d=d, long=pseudonyms.MONTHS[m - 1], short=pseudonyms.MONTHS[m - 1][:3]) for m in range(1, 13) for d in range(1, 29)]
+        moved = [pseudonyms.pseudonymise(f"born {x}.", n.forward)[0] for x in days]
+        assert [pseudonyms.pseudonymise(x, n.back)[0] for x in moved] == [f"born {x}." for x in days], form
+        digits = lambda x: [len(g) for g in re.findall("[0-9]+", x)]
+        assert all(digits(a) == digits(b) for a, b in zip(days, moved, strict=True))
+
+
+def test_a_date_is_linked_over_its_forms():
+    n = pseudonyms.Feistel(b"k")
+    for year, month, day in ((2020, 5, 5), (1987, 11, 30), (2001, 2, 11)):
+        name = pseudonyms.MONTHS[month - 1]
+        forms = {f"{year}-{month:02}-{day:02}": "%Y-%m-%d", f"{month}/{day}/{year}": "%m/%d/%Y", f"{day:02}.{month:02}.{year}": "%d.%m.%Y", f"{day} {name} {year}": "%d %B %Y", f"{name} {day:02}, {year}": "%B %d, %Y"}
+        dates = {datetime.datetime.strptime(pseudonyms.pseudonymise(f, n.forward)[0], how) for f, how in forms.items()}
+        assert len(dates) == 1 and dates != {datetime.datetime(year, month, day)}
+
+
+def test_long_secrets_names_and_addresses_move():
+    n = pseudonyms.Feistel(b"k")
+    for value, text in (("a1" * 400, 'token = "{}"'), ("Zq9_" * 8, 'secret_' + "x" * 300 + ": '{}'"), ("b" * 200, "{}@example.org")):
+        moved, found = pseudonyms.pseudonymise(text.format(value), n.forward)
+        assert len(found) == 1 and value not in moved and len(moved) == len(text.format(value))
+        assert pseudonyms.pseudonymise(moved, n.back)[0] == text.format(value)
+    for plain in ('"' + "a1" * 20 + '"', 'tokens are "' + "a1" * 20 + '"', 'x = "' + "a1" * 20 + '"'):
+        assert pseudonyms.pseudonymise(plain, n.forward) == (plain, [])
+
+
+def test_many_rows_of_two_ids_are_edited_in_linear_work(spark):
+    rows = [(k % 2, f"text {k // 4} " * (k % 7 + 1)) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = merkle.fingerprint_edits(df)
+    first = {d: min(t for e, t in rows if e == d) for d in (0, 1)}
+    want = sorted((d, hashlib.sha256((t[: len(t) - len(t) // 3] + first[1 - d][: len(t) // 3]).encode()).hexdigest()) for d, t in rows)
+    assert sorted((r["doc_id"], r["edited_sha256"]) for r in out.collect()) == want
+
+
 def test_what_is_not_valid_stays():
     n = pseudonyms.Feistel(b"k")
     for text in ["4225039295678254", "999.1.1.1", "version 2.0.1", "2024-13-01", "31/31/2020", "000-12-3456", "GB00 WEST 1234 5698 7654 32", "a 12 b", '"6a4589e4112292221d28c7e47303eee368e0b7fd"', "", None]:

@@ -321,3 +321,13 @@ def test_awkward_passages(awkward, nothing):
     assert left.columns == awkward.columns and left.count() == awkward.count()
     assert {r["text"] for r in left.where("doc_id IN (1, 2, 4)").collect()} == {None, "", "one"}
     assert passages.dedup_passages(nothing).count() == 0
+
+
+def test_one_of_a_group_stays_whatever_columns_are_called(spark):
+    from skeinworks.llm import simhash
+
+    rows = [(1, "same text here", 1, 2), (2, "same text here", 3, 4), (3, "quite another text of words", 5, 6), (None, "same text here", 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone_id int, gone_id int")
+    for names in (["doc_id", "text", "_gone_id", "gone_id"], ["doc_id", "text", "a.b", "boxed"]):
+        out = simhash.one_of_each_group(df.toDF(*names))
+        assert out.columns == names and sorted(r[2] for r in out.collect()) == [1, 5, 7]
