@@ -83,22 +83,22 @@ def parse_ffmeta(text: Column) -> Column:
     block without start or end is dropped, but its title stays for the next block without one.
     """
 
-    def values(section: Column, key: str) -> Column:
-        named = F.filter(section, lambda x: F.lower(trimmed(F.regexp_extract(x, "\\A([^=]*)=", 1))) == key)
-        return F.transform(named, lambda x: trimmed(F.regexp_extract(x, "\\A[^=]*=(.*)\\z", 1)))
-
-    def number(section: Column, key: str) -> Column:
-        return whole(F.try_element_at(values(section, key), F.lit(-1))).cast("double")
+    def pair(line: Column) -> Column:
+        at = F.instr(line, "=")
+        return F.struct(F.lower(trimmed(F.substring(line, F.lit(1), at - 1))).alias("key"), trimmed(F.substring(line, at + 1, F.length(line))).alias("value"))
 
     def base(value: Column) -> Column:
         num, den = decimal(F.regexp_extract(value, "\\A([^/]*)/", 1)), decimal(F.regexp_extract(value, "\\A[^/]*/(.*)\\z", 1))
         return F.when(num.isNotNull() & (den != 0), F.struct(num.alias("num"), den.alias("den")))
 
-    def block(section: Column) -> Column:
-        unit = _last(F.transform(values(section, "timebase"), base))
-        title = F.try_element_at(values(section, "title"), F.lit(-1))
-        at = lambda key: timebase_seconds(number(section, key), unit["num"], unit["den"])
-        return F.struct(at("start").alias("start"), at("end").alias("end"), title.alias("title"))
+    def block(pairs: Column) -> Column:
+        values = lambda key: F.transform(F.filter(pairs, lambda x: x["key"] == key), lambda x: x["value"])
+        last = lambda key: F.try_element_at(values(key), F.lit(-1))
+        number = lambda key: whole(last(key)).cast("double")
+        unit = _last(F.transform(values("timebase"), base))
+        times = F.struct(number("start").alias("start"), number("end").alias("end"), unit.alias("unit"), last("title").alias("title"))
+        at = lambda t, key: timebase_seconds(t[key], t["unit"]["num"], t["unit"]["den"])
+        return _let(times, lambda t: F.struct(at(t, "start").alias("start"), at(t, "end").alias("end"), t["title"].alias("title")))
 
     def chapters(blocks: Column) -> Column:
         done = F.transform(blocks, lambda b, i: F.when(b["start"].isNotNull() & b["end"].isNotNull(), i).otherwise(-1))
@@ -116,7 +116,7 @@ def parse_ffmeta(text: Column) -> Column:
 
     def of(lines: Column) -> Column:
         own = F.filter(_sections(lines, lambda x: x.startswith("[")), lambda s: ascii_upper(F.get(s, 0)) == "[CHAPTER]")
-        return F.transform(own, block)
+        return F.transform(own, lambda s: _let(F.transform(F.filter(s, lambda x: x.contains("=")), pair), block))
 
     return _let(_let(F.transform(_lines(text), trimmed), of), chapters).cast(CHAPTERS)
 
