@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinworks.operators.ranges import crowded, running, totals
 from skeinworks.runtime import materialize
 
 
@@ -24,17 +25,19 @@ def expired(files: DataFrame, now: Column, ttl: int | None, keep: Column, mtime:
 def over_cap(files: DataFrame, cap: int | None, keep: Column, *, length: str = "length", order: Sequence[str] = ("mtime", "path"), within: Sequence[str] = ()) -> DataFrame:
     """Files to drop, oldest first, until what is left is at most ``cap``; kept ones are passed over.
 
-    ``within`` gives each group of files a cap of its own. Without it the sums are taken in ranges of
-    the first column of ``order``, whose totals alone meet in one task.
+    ``within`` gives each group of files a cap of its own; a group may have any number of files. Without it the
+    sums are taken in ranges of ``order``, whose totals alone meet in one task.
     """
     if cap is None:
         return files.limit(0)
     drops = F.when(keep, 0).otherwise(F.col(length))
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     if within:
-        group = Window.partitionBy(*within)
-        before = F.coalesce(F.sum(drops).over(earlier(group.orderBy(*order))), F.lit(0))
-        return files.withColumns({"_total": F.sum(length).over(group), "_before": before, "_keep": keep}).where("NOT _keep").where(F.col("_total") - F.col("_before") > cap).drop("_total", "_before", "_keep")
+        hot = crowded(files, within)
+        told = totals(files.withColumns({"_drops": drops, "_keep": keep}), within, {"_total": F.col(length)}, hot)
+        told = running(told, within, order, {"_through": F.col("_drops")}, hot)
+        before = F.col("_through") - F.coalesce("_drops", F.lit(0))
+        return told.where(~F.col("_keep") & (F.col("_total") - before > cap)).select(*files.columns)
     ranged = materialize(files.withColumns({"_drops": drops, "_keep": keep}).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "cache-ranges")
     sums = ranged.groupBy("_range").agg(F.sum("_drops").alias("_in"), F.sum(length).alias("_all"))
     base = sums.select("_range", F.coalesce(F.sum("_in").over(earlier(Window.orderBy("_range"))), F.lit(0)).alias("_base"), F.sum("_all").over(Window.partitionBy()).alias("_total"))

@@ -6,53 +6,56 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks.functions.numbers import clock, parse_rfc2822, rfc2822, trimmed, whole
 from skeinworks.functions.text import ascii_lower, guid
 from skeinworks.operators.metrics import all_distinct
-from skeinworks.operators.ranges import running
+from skeinworks.operators.ranges import crowded, following, last_before, running, totals
 
 #: Seconds between the dates of neighbouring items.
 STEP = 60
 
 
-def renumber(df: DataFrame, parent: Sequence[str], order: Sequence[str | Column], idx: str = "idx") -> DataFrame:
-    """``idx`` from 0 in ``order`` within each parent."""
-    return df.withColumn(idx, F.row_number().over(Window.partitionBy(*parent).orderBy(*order)).cast("long") - 1)
+def renumber(df: DataFrame, parent: Sequence[str], order: Sequence[str | Column], idx: str = "idx", hot: DataFrame | None = None) -> DataFrame:
+    """``idx`` from 0 in ``order`` within each parent, which may have any number of rows.
+
+    ``hot`` here and below: the parents of very many rows, where the caller has counted them (``ranges.crowded``).
+    """
+    return running(df, parent, order, {idx: F.lit(1)}, hot).withColumn(idx, F.col(idx) - 1)
 
 
-def close_intervals(df: DataFrame, parent: Sequence[str], start: str, total: str, order: Sequence[str] = (), end: str = "end_sec") -> DataFrame:
+def close_intervals(df: DataFrame, parent: Sequence[str], start: str, total: str, order: Sequence[str] = (), end: str = "end_sec", hot: DataFrame | None = None) -> DataFrame:
     """``end``: the next start within the parent; of the last, ``total`` or its own start if later."""
-    following = F.lead(start).over(Window.partitionBy(*parent).orderBy(start, *order))
-    return df.withColumn(end, F.coalesce(following, F.greatest(total, start)))
+    followed = following(df, parent, [start, *order], F.col(start), "_next_start", hot)
+    return followed.withColumn(end, F.coalesce("_next_start", F.greatest(total, start))).drop("_next_start")
 
 
-def item_dates(df: DataFrame, parent: Sequence[str], anchor: str, idx: str = "idx", out: str = "pubdate_epoch") -> DataFrame:
+def item_dates(df: DataFrame, parent: Sequence[str], anchor: str, idx: str = "idx", out: str = "pubdate_epoch", hot: DataFrame | None = None) -> DataFrame:
     """The last item at ``anchor``, each earlier one ``STEP`` seconds before the next."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*parent))
-    return df.withColumn(out, F.col(anchor) - (n - 1 - F.col(idx)) * STEP)
+    n = totals(df, parent, {"_items": F.lit(1)}, hot)
+    return n.withColumn(out, F.col(anchor) - (F.col("_items") - 1 - F.col(idx)) * STEP).drop("_items")
 
 
 def track_order(df: DataFrame, parent: Sequence[str], track: str, name: str, out: str = "idx") -> DataFrame:
     """``out`` from 0: by track where all rows of the parent have one and no two the same, else by name.
 
-    Whether tracks can be used is counted once for each parent; places are counted in ranges, so a
-    parent may have any number of rows.
+    Whether tracks can be used is counted once for each parent, which may have any number of rows.
     """
     usable = all_distinct(df, parent, track, "_usable").withColumnsRenamed({c: f"_of_{c}" for c in parent})
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in parent])
     told = df.join(usable, same).drop(*[f"_of_{c}" for c in parent])
     order = [F.when(F.col("_usable"), F.col(track)), F.when(~F.col("_usable"), ascii_lower(F.col(name))), name]
-    return running(told, parent, order, {out: F.lit(1)}).withColumn(out, F.col(out) - 1).drop("_usable")
+    return running(told, parent, order, {out: F.lit(1)}, crowded(df, parent)).withColumn(out, F.col(out) - 1).drop("_usable")
 
 
 def feed_items(books: DataFrame, episodes: DataFrame) -> DataFrame:
     """One row per episode with its guid, date and duration in text; books without episodes have a
     row of nulls. Guid and date are made anew from the book's ``source_mtime``."""
+    hot = crowded(episodes, ["book_id"])
     rows = books.join(episodes.withColumnRenamed("book_id", "id").drop("guid", "pubdate_epoch", "source_path").withColumnRenamed("title", "episode_title"), "id", "left")
-    dated = item_dates(rows, ["id"], "source_mtime")
+    dated = item_dates(rows, ["id"], "source_mtime", hot=hot)
     made = F.col("idx").isNotNull()
     return dated.withColumns(
         {
@@ -84,7 +87,7 @@ def item_problems(url: Column, length: Column, has_enclosure: Column, episode: C
     return F.filter(F.array(*checks), lambda x: x.isNotNull())
 
 
-def feed_problems(feeds: DataFrame, items: DataFrame, feed: str = "feed") -> DataFrame:
+def feed_problems(feeds: DataFrame, items: DataFrame, feed: str = "feed", hot: DataFrame | None = None) -> DataFrame:
     """Every problem (``feed``, ``pos``, ``episode``, ``problem``) of every feed.
 
     ``items``: feed, pos, enclosure_url, enclosure_length, episode, duration, pub_date, all but the
@@ -97,10 +100,11 @@ def feed_problems(feeds: DataFrame, items: DataFrame, feed: str = "feed") -> Dat
     has = F.col("enclosure_url").isNotNull() | F.col("enclosure_length").isNotNull()
     number = whole(trimmed(F.col("episode")))
     own = item_problems(F.col("enclosure_url"), F.col("enclosure_length"), has, F.col("episode"), F.col("duration"), F.col("pub_date"))
-    single = items.select(feed, F.col("pos").cast("int").alias("pos"), number.alias("episode"), F.explode(own).alias("problem"))
-    dated = items.select(feed, F.col("pos").cast("int").alias("pos"), number.alias("episode"), parse_rfc2822(F.col("pub_date")).alias("at")).where("episode IS NOT NULL AND at IS NOT NULL")
-    late = dated.withColumn("before", F.lag("at").over(Window.partitionBy(feed).orderBy("episode", "pos"))).where("at <= before")
-    return nothing.unionByName(single).unionByName(late.select(feed, "pos", "episode", F.lit("not_later").alias("problem")))
+    at = F.when(number.isNotNull(), parse_rfc2822(F.col("pub_date")))
+    rows = items.select(feed, F.col("pos").cast("int").alias("pos"), number.alias("episode"), own.alias("own"), at.alias("at"))
+    rows = last_before(rows, [feed], ["episode", "pos"], F.col("at"), "before", hot)
+    late = F.when(F.col("at") <= F.col("before"), F.array(F.lit("not_later"))).otherwise(F.array().cast("array<string>"))
+    return nothing.unionByName(rows.select(feed, "pos", "episode", F.explode(F.concat("own", late)).alias("problem")))
 
 
 def released(feeds: DataFrame, problems: DataFrame, feed: str = "feed") -> DataFrame:

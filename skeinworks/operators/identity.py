@@ -7,7 +7,7 @@ import secrets
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinworks.operators.ranges import running
+from skeinworks.operators.ranges import crowded, running
 from skeinworks.runtime import materialize
 
 
@@ -84,16 +84,17 @@ def _slots(firsts: DataFrame, owned: DataFrame | None, path: str) -> DataFrame:
 
 def _numbers(ranked: DataFrame, slots: DataFrame) -> DataFrame:
     """``base``, ``path`` and ``num`` of candidates of bases that have slots."""
+    hot, gapped = crowded(ranked, ["base"]), crowded(slots, ["base"])
     own = slots.where("sole IS NOT NULL").groupBy("base", F.col("sole").alias("path")).agg(F.min("num").alias("mine"))
     rows = ranked.join(own, ["base", "path"], "left").withColumn("keeps", F.col("mine").isNotNull())
     wins = slots.where("side = 'parent'").select("child", F.lit(True).alias("child_wins"))
     while True:
         # Gaps, and of each slot how many free numbers lie below it.
         gap = F.col("owned") | (F.col("child_wins") == (F.col("side") == "parent"))
-        counted = running(slots.join(wins, "child", "left").withColumn("gap", gap.cast("int")), ["base"], ["num"], {"gaps": F.col("gap")})
+        counted = running(slots.join(wins, "child", "left").withColumn("gap", gap.cast("int")), ["base"], ["num"], {"gaps": F.col("gap")}, gapped)
         marked = counted.withColumn("free_below", F.col("num") - 1 - (F.col("gaps") - F.col("gap")))
         mine = marked.where("owned").select("base", F.col("num").alias("mine"), F.col("free_below").alias("below_mine"))
-        seen = running(rows.drop("below_mine").join(mine, ["base", "mine"], "left"), ["base"], ["rank"], {"kept": F.col("keeps").cast("int")})
+        seen = running(rows.drop("below_mine").join(mine, ["base", "mine"], "left"), ["base"], ["rank"], {"kept": F.col("keeps").cast("int")}, hot)
         earlier = F.col("rank") - 1 - (F.col("kept") - F.col("keeps").cast("int"))
         seen = materialize(seen.withColumns({"nth": F.col("rank") - F.col("kept"), "again": F.coalesce(F.col("below_mine") <= earlier, F.lit(False))}), "slugs-seen")
         # Who reaches a shared slug: the first candidate of its name, or the parent's for whom it is the next free number.

@@ -6,12 +6,12 @@ sources, parts for cached files and titles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks import schema
 from skeinworks.functions import media, numbers, parsers, text
-from skeinworks.operators import cache, feed, identity, metrics, mutations, staleness, views
+from skeinworks.operators import cache, feed, identity, metrics, mutations, ranges, staleness, views
 from skeinworks.runtime import table
 from skeinworks.sources import listing
 from skeinworks.streaming import changes
@@ -45,9 +45,12 @@ def _lines(spark, d):
     return table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
 
 
-def _items(spark, d):
-    rows = _books(spark, d).join(_lines(spark, d), "o_orderkey")
-    return feed.item_dates(feed.renumber(rows, ["o_orderkey"], LINE_ORDER), ["o_orderkey"], "anchor")
+def _items(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The items, and the orders of very many lines."""
+    lines = _lines(spark, d)
+    hot = ranges.crowded(lines, ["o_orderkey"])
+    rows = _books(spark, d).join(lines, "o_orderkey")
+    return feed.item_dates(feed.renumber(rows, ["o_orderkey"], LINE_ORDER, hot=hot), ["o_orderkey"], "anchor", hot=hot), hot
 
 
 ITEMS_SQL = f"""
@@ -64,15 +67,15 @@ SELECT o_orderkey, idx::BIGINT AS idx, pubdate_epoch::BIGINT AS pubdate_epoch,
   (pubdate_epoch > coalesce(lag(pubdate_epoch) OVER (PARTITION BY o_orderkey ORDER BY idx), -1)) AS later FROM items""")
 def ordered_feed(spark, d) -> DataFrame:
     """Items in order, with dates a minute apart, durations, ids, and the check of their order."""
-    rows = _items(spark, d)
-    before = F.lag("pubdate_epoch").over(Window.partitionBy("o_orderkey").orderBy("idx"))
+    items, hot = _items(spark, d)
+    rows = ranges.last_before(items, ["o_orderkey"], ["idx"], F.col("pubdate_epoch"), "before", hot)
     return rows.select(
         "o_orderkey",
         "idx",
         "pubdate_epoch",
         numbers.clock(F.col("l_quantity") * 60.5).alias("duration"),
         text.guid(*[F.col(c).cast("string") for c in ("o_orderkey", "idx", "anchor")]).alias("guid"),
-        (F.col("pubdate_epoch") > F.coalesce(before, F.lit(-1))).alias("later"),
+        (F.col("pubdate_epoch") > F.coalesce("before", F.lit(-1))).alias("later"),
     )
 
 
@@ -87,7 +90,9 @@ e AS (SELECT o_orderkey AS feed, NULL::INT AS pos, NULL::BIGINT AS episode, 'no_
 SELECT * FROM e""" % LINE_SQL)
 def feed_violations(spark, d) -> DataFrame:
     """Every problem of every feed: one check an item, and the order of the dates."""
-    i = feed.renumber(table(spark, d, "lineitem"), ["l_orderkey"], LINE_ORDER, "pos")
+    lines = table(spark, d, "lineitem")
+    hot = ranges.crowded(lines, ["l_orderkey"])
+    i = feed.renumber(lines, ["l_orderkey"], LINE_ORDER, "pos", hot)
     q = F.col("l_quantity")
     items = i.select(
         F.col("l_orderkey").alias("feed"),
@@ -98,7 +103,7 @@ def feed_violations(spark, d) -> DataFrame:
         F.when(F.col("l_discount") == 0, " ").otherwise("00:01:00").alias("duration"),
         numbers.rfc2822(numbers.seconds(F.col("l_shipdate"))).alias("pub_date"),
     )
-    return feed.feed_problems(table(spark, d, "orders").select(F.col("o_orderkey").alias("feed")), items)
+    return feed.feed_problems(table(spark, d, "orders").select(F.col("o_orderkey").alias("feed")), items, hot=hot)
 
 
 @registered("""SELECT o_orderkey AS feed FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity < 3)
@@ -124,7 +129,7 @@ SELECT o_orderkey, list(idx || ':' || l_partkey ORDER BY idx) AS items FROM (
 UNION ALL SELECT o_orderkey, [] FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def nested_feeds(spark, d) -> DataFrame:
     """Parents with their items as an ordered array, empty where there are none."""
-    rows = _books(spark, d).select("o_orderkey").join(_items(spark, d).select("o_orderkey", "idx", "l_partkey"), "o_orderkey", "left")
+    rows = _books(spark, d).select("o_orderkey").join(_items(spark, d)[0].select("o_orderkey", "idx", "l_partkey"), "o_orderkey", "left")
     out = feed.nested(rows, ["o_orderkey"], "idx", ["l_partkey"])
     return out.select("o_orderkey", F.transform("items", lambda x: F.concat_ws(":", x["idx"].cast("string"), x["l_partkey"].cast("string"))).alias("items"))
 
@@ -492,7 +497,7 @@ def book_details(spark, d) -> DataFrame:
 def episode_by_number(spark, d) -> DataFrame:
     """Each order asks for one of its items by a number from 0, which gives none, to 7."""
     requests = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 8).alias("number"))
-    return views.episodes_by_number(requests, _items(spark, d), "o_orderkey").select("o_orderkey", "idx", "l_partkey")
+    return views.episodes_by_number(requests, _items(spark, d)[0], "o_orderkey").select("o_orderkey", "idx", "l_partkey")
 
 
 @registered("""SELECT c_custkey, coalesce(CASE WHEN s_acctbal > 0 THEN s_name END, c_name) AS title, coalesce(s_address, c_mktsegment) AS author FROM (SELECT c_custkey, c_name, c_mktsegment FROM customer)
@@ -507,7 +512,7 @@ def overridden_books(spark, d) -> DataFrame:
 
 
 def _chapters(spark, d):
-    return _items(spark, d).select("o_orderkey", "idx", F.lit(3.0).alias("start"), F.col("l_quantity").cast("double").alias("end"))
+    return _items(spark, d)[0].select("o_orderkey", "idx", F.lit(3.0).alias("start"), F.col("l_quantity").cast("double").alias("end"))
 
 
 @registered(f"""WITH {ITEMS_SQL} SELECT o_orderkey, bool_and(l_quantity > 3) AS ok, (min(idx) FILTER (l_quantity <= 3))::BIGINT AS first_error FROM items GROUP BY 1""")

@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from skeinworks.operators import feed, identity, metrics, ranges
+from skeinworks.operators import cache, feed, identity, metrics, ranges
 
 #: A third of all rows has one key.
 KEYS = ["hot"] * 300 + [f"k{n % 40}" for n in range(560)] + [None] * 40
@@ -18,15 +18,29 @@ def rows():
 
 @pytest.fixture(autouse=True, scope="module")
 def many_ranges(spark):
-    """Small ranges are read together otherwise."""
+    """Keys of more than 60 rows are dealt in ranges here; small ranges are read together otherwise."""
+    before, ranges.LARGE = ranges.LARGE, 60
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield
+    ranges.LARGE = before
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_running_sums_and_neighbours(spark, rows):
+@pytest.fixture(params=[0, 60, 1_000_000], ids=["all keys", "hot keys", "no keys"])
+def in_ranges(request, monkeypatch):
+    """Which keys are dealt in ranges; the rows must be the same."""
+    monkeypatch.setattr(ranges, "LARGE", request.param)
+
+
+def test_only_large_keys_are_crowded(spark, rows):
+    df = spark.createDataFrame(rows, "k string, n int, v int")
+    assert [r["k0"] for r in ranges.crowded(df, ["k"]).collect()] == ["hot"]
+    assert ranges.crowded(df, ["k", "n"]).count() == 0
+
+
+def test_running_sums_and_neighbours(spark, rows, in_ranges):
     df = spark.createDataFrame(rows, "k string, n int, row int")
     got = ranges.running(df, ["k"], ["n"], {"total": F.col("row"), "place": F.lit(1)})
     assert got.columns == ["k", "n", "row", "total", "place"]
@@ -46,6 +60,76 @@ def test_running_sums_and_neighbours(spark, rows):
     assert sorted((r["n"], r["place"]) for r in alone.collect()) == [(n, n + 1) for n in range(len(rows))]
 
 
+def test_totals_and_what_came_before(spark, rows, in_ranges):
+    data = [(k, n, v if v % 3 else None, k) for k, n, v in rows]
+    df = spark.createDataFrame(data, "k string, n int, k0 int, s0 string")
+    sums, last, before = defaultdict(int), {}, {}
+    for k, n, v, _ in data:
+        sums[k] += v or 0
+        before[n] = last.get(k)
+        last[k] = v if v is not None else last.get(k)
+    got = ranges.totals(df, ["k"], {"total": F.col("k0")})
+    assert {r["n"]: (r["k"], r["k0"], r["s0"], r["total"]) for r in got.collect()} == {n: (k, v, s, sums[k]) for k, n, v, s in data}
+    assert {r["n"]: r["seen"] for r in ranges.last_before(df, ["k"], ["n"], F.col("k0"), "seen").collect()} == before
+    assert {r["total"] for r in ranges.totals(df, [], {"total": F.lit(1)}).collect()} == {len(data)}
+    assert ranges.totals(df.limit(0), ["k"], {"total": F.lit(1)}).count() == 0
+    assert ranges.last_before(df.limit(0), ["k"], ["n"], F.col("k0"), "seen").count() == 0
+
+
+def test_chapters_and_dates_of_a_hot_book(spark, rows, in_ranges):
+    """Starts that come again, and one after the end."""
+    df = spark.createDataFrame([(k, n, float(v + 3), 5.0) for k, n, v in rows], "book string, n int, start double, total double")
+    of_book = defaultdict(list)
+    for k, n, v in rows:
+        of_book[k].append((float(v + 3), n))
+    ends, places = {}, {}
+    for found in of_book.values():
+        found.sort()
+        for k, (start, n) in enumerate(found):
+            ends[n] = found[k + 1][0] if k + 1 < len(found) else max(5.0, start)
+            places[n] = (k, 1000 - 60 * (len(found) - 1 - k))
+    assert {r["n"]: r["end_sec"] for r in feed.close_intervals(df, ["book"], "start", "total", ["n"]).collect()} == ends
+    dated = feed.item_dates(feed.renumber(df, ["book"], ["start", "n"]).withColumn("anchor", F.lit(1000)), ["book"], "anchor")
+    assert {r["n"]: (r["idx"], r["pubdate_epoch"]) for r in dated.collect()} == places
+
+
+def test_order_of_the_dates_of_a_hot_feed(spark, in_ranges):
+    """A date is held against the last one that can be read, of an item with a number."""
+    rng = random.Random(5)
+    day = lambda n: f"{n:02} Jan 2024 00:00:00 +0000"
+    data = []
+    for n in range(400):
+        date = rng.choice([day(1 + n % 28), day(rng.randrange(1, 29)), "soon"])
+        data.append(("hot" if n % 3 else f"f{n % 5}", n, rng.choice([str(n), str(rng.randrange(400)), "x"]), "u", "1", "1", date))
+    late, last = set(), {}
+    for f, pos, episode, *_, date in sorted((d for d in data if d[2] != "x" and d[6] != "soon"), key=lambda d: (int(d[2]), d[1])):
+        at = int(date[:2])
+        if f in last and at <= last[f]:
+            late.add((f, pos, int(episode)))
+        last[f] = at
+    items = spark.createDataFrame(rng.sample(data, len(data)), "feed string, pos int, episode string, enclosure_url string, enclosure_length string, duration string, pub_date string")
+    found = feed.feed_problems(items.select("feed"), items).collect()
+    assert {(r["feed"], r["pos"], r["episode"]) for r in found if r["problem"] == "not_later"} == late and late
+    assert sum(r["problem"] != "not_later" for r in found) == sum((d[2] == "x") + (d[6] == "soon") for d in data)
+
+
+def test_a_cap_within_a_hot_group(spark, rows, in_ranges):
+    files = [(k, f"p{n:03}", v + 4, n // 7) for k, n, v in rows]
+    of_group, gone = defaultdict(list), set()
+    for f in files:
+        of_group[f[0]].append(f)
+    kept = lambda path: path.endswith("3")
+    for found in of_group.values():
+        total = sum(f[2] for f in found)
+        for _, path, length, _ in sorted(found, key=lambda f: (f[3], f[1])):
+            if not kept(path) and total > 40:
+                gone.add(path)
+                total -= length
+    df = spark.createDataFrame(files, "dir string, path string, length long, mtime long")
+    out = cache.over_cap(df, 40, F.col("path").endswith("3"), within=["dir"])
+    assert out.columns == df.columns and {r["path"] for r in out.collect()} == gone
+
+
 def test_a_hot_key_lies_in_many_ranges(spark, rows):
     dealt, *_ = ranges._ranged(spark.createDataFrame(rows, "k string, n int, v int"), ["k"], ["n"], {})
     of_hot = {r["range"]: r["count"] for r in dealt.where("k0 = 'hot'").groupBy("range").count().collect()}
