@@ -92,7 +92,8 @@ def mix_sources(
 
     Null text: size 0. Null source: a source of its own, last. Null doc_id: the hash of an empty
     id. Repeated rows are taken as documents of their own; rows of equal key are ordered by id,
-    then size, and equal ones can be exchanged without a change of the result. No rows: no rows.
+    then size, and equal ones can be exchanged without a change of the result. Very long texts: whole, and one on the budget's edge may
+    part taken and target by half its size. No rows: no rows.
     Other columns of ``docs`` are not read.
     """
     w = quality_weight(F.col("text")) if weight is None else weight

@@ -156,7 +156,8 @@ def apply_quality_rules(docs: DataFrame, labels: DataFrame, **settings) -> tuple
 
     Null text: as an empty one, which fails the base rules. Null doc_id: judged like any other,
     never labelled. Repeated rows: each is judged. A document with several labels counts once for
-    each. No rows: no rows. Other columns of ``docs`` are not read.
+    each. Ties: of rules that are equally good the first by statistic and threshold is learned. Very long texts:
+    whole. No rows: no rows. Other columns of ``docs`` are not read, whatever their names.
     """
     stats = materialize(with_statistics(docs.select("doc_id", "text")), "rule-statistics")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -171,7 +172,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that the base rules and the learned list keep, with all their columns.
 
     The statistics of labelled documents are taken first, to learn; then one pass over all rows
-    filters them. Nulls, repeated rows and empty tables: as in ``apply_quality_rules``.
+    filters them. Nulls, ties, very long texts, repeated rows and empty tables: as in ``apply_quality_rules``.
     """
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", (F.lit(1) - F.col("quality")).cast("int").alias("bad"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

@@ -108,8 +108,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, learns: Column | None = No
     condition on doc_id, says which documents' labels may be learned from; all by default.
 
     Null or empty text: scored by its statistics, all zero. Null doc_id: scored, never learned from.
-    Repeated rows: scored each; a document with several labels counts once for each. No rows: no
-    rows. Other columns of ``docs`` are not read.
+    Repeated rows: scored each, alike; a document with several labels counts once for each. Ties: texts of equal
+    statistics have equal scores. Very long texts: whole. No rows: no rows. Other columns of ``docs`` are
+    not read, whatever their names.
     """
     stats = materialize(with_statistics(docs.select("doc_id", "text")), "quality-statistics")
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("label"))

@@ -139,7 +139,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RA
     Fingerprints that differ in ``radius`` bits or fewer link; component_id is the least doc_id that
     can be reached, the row's own included.
 
-    Null or empty text: fingerprint zero, linked like any other. Repeated rows: one row each. Rows
+    Null or empty text: fingerprint zero, linked like any other. Very long texts: whole. Ties: a bit that is set in
+    just half of the hashes is 0. Repeated rows: one row each. Rows
     with a null doc_id have the component of their fingerprint, null if no row with an id has that
     fingerprint. No rows: no rows. Other columns of ``docs`` are not read.
     """
@@ -155,7 +156,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RA
 def one_of_each_group(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` less the documents whose component has a lesser doc_id; all columns are returned.
 
-    Rows with a null doc_id stay. Else as ``near_duplicates``.
+    Rows with a null doc_id stay, and of repeated rows all or none. Else as ``near_duplicates``.
     """
     gone = near_duplicates(docs, **settings).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     left = boxed(docs, own_id=F.col("doc_id")).join(gone, F.col("own_id") == F.col("gone_id"), "left_anti")

@@ -237,7 +237,8 @@ def score_documents(docs: DataFrame, model: SpanModel, least: float = 0.5) -> Da
 
     ``spans``: the code points (start, end) of runs of tokens whose marginal is ``least`` or more.
     Null or empty text: the score of no evidence, no spans. Null doc_id and repeated rows: scored
-    like any other. No rows: no rows. Other columns of ``docs`` are not read.
+    like any other, equal texts alike. Ties: a marginal of just ``least`` is in a span. Very long texts: whole. No
+    rows: no rows. Other columns of ``docs`` are not read, whatever their names.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,7 @@ import random
 import re
 
 import corpus_pipeline
+import pytest
 from skeinworks.llm import fuzzy_lines, mixing, packing, simhash
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -65,3 +66,38 @@ def test_the_pipeline_matches_plain_loops_stage_by_stage(spark, tmp_path):
     assert sum(r["length"] for r in steps["packing"]) == tokens
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sum(r["length"] for r in whole.collect()) == tokens
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row int, boxed string, _gone_id int, copies int"
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_awkward_rows_go_through_every_stage(spark, tmp_path, labelled):
+    """Nulls in every column, empty and very long texts, repeated rows, and names that the operators use."""
+    rng = random.Random(7)
+    long = "\n".join(prose(rng, 40) for _ in range(200))
+    good = [prose(rng, 80) for _ in range(6)]
+    texts = [(0, None), (1, ""), (2, " \n\t"), (3, good[0]), (3, good[0]), (4, good[1]), (None, good[2]), (None, None), (5, long), (6, good[3]), (6, good[4])]
+    rows = [(d, t, None if k % 2 else "en", None if k % 3 == 0 else "a", None, 1, "x", None, 9) for k, (d, t) in enumerate(texts)]
+    rows.append((None,) * 9)
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(3, 1, 0), (3, None, 0), (None, 0, None), (4, 1, 1), (99, 0, 0)] if labelled else []
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names, left = now.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        left[name] = sorted(((r["doc_id"], r["text"]) for r in now.collect()), key=str) if name != "packing" else now.collect()
+        assert name == "packing" or now.columns == names
+    want = sorted(((d, t) for d, t in texts if t and len(WORD.findall(t)) >= 50), key=str)
+    assert left["quality rules"] == left["line dedup"] == left["SimHash near-dedup"] == want
+    assert {t for _, t in left["source mixing"]} <= {t for _, t in want}
+    ends = [r for r in left["packing"] if r["start"] + r["length"] == r["doc_tokens"]]
+    assert len(ends) == len(left["source mixing"]) > 0
+
+
+def test_a_pipeline_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
