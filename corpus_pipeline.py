@@ -53,6 +53,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of what the first four stages keep of ``documents``; each stage reads what the one before wrote.
+
+    Null and empty texts fail the quality rules and go, as do all of fewer than 50 words. Null ids: kept if the
+    text is good; their lines count as first occurrences, they are in no group, and all are mixed alike. Null
+    sources are a source of their own. Very long texts: whole. Repeated rows: each is judged; they lose the
+    same lines, and of a group the rows of the least id stay. Ties: as the operators break them. Columns
+    besides those of ``documents`` are carried along, whatever their names. No labels: the base rules alone.
+    No documents: no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
