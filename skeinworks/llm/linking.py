@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +35,17 @@ def pigeonhole_keys(bits: Column, blocks: int, intact: int, width: int = 64) ->
     return F.array(*keys)
 
 
+def sampled_keys(bits: Column, tables: int, sampled: int, seed: int = 6) -> Column:
+    """``tables`` keys of a fingerprint, each the values of ``sampled`` bits, chosen at random once and for all.
+
+    Two fingerprints that differ in d of 64 bits have a key in common with a chance of
+    ``1 - (1 - C(64 - d, sampled) / C(64, sampled)) ** tables``, at any number of fingerprints.
+    """
+    draw = random.Random(seed)
+    masks = [sum(1 << k for k in draw.sample(range(64), sampled)) for _ in range(tables)]
+    return F.array(*[F.xxhash64(F.lit(k), bits.bitwiseAND(F.lit(m - (m >> 63 << 64)))) for k, m in enumerate(masks)])
+
+
 def tuned_blocks(n: int, differing: int, least: int, width: int = 64) -> int:
     """Blocks into which to cut ``n`` distinct fingerprints, ``least`` or more.
 
@@ -78,7 +91,7 @@ def verified_links(
     ``entries``: ``key`` and ``id``, repeats allowed. ``bodies`` gives, for a table of ids, ``id`` and ``body``, a
     struct; ``same`` compares two bodies, each as a tuple. With ``prints`` (``id``, ``bits``, ``many``), two ids that
     both have ``many`` and whose bits differ in more than ``far`` places are not compared; ids that are so far from all
-    others of a key are left before their bodies are brought together.
+    others of a key are left before their bodies are fetched.
 
     A key's least and greatest id come from a combined aggregate and show whether it has several;
     only such keys are joined back. In each key all ids are first compared with its least one, the
@@ -99,8 +112,8 @@ def verified_links(
         tried = tried.join(prints, "id").join(prints.toDF("pivot", "pivot_bits", "pivot_many"), "pivot")
         tried = tried.where((apart <= far) | ~F.col("many") | ~F.col("pivot_many")).select("id", "pivot")
     tried = materialize(tried, f"{label}-tried")
-    both = [df.select(F.col(c).alias("id")) for df in (tried, crowded) for c in ("id", "pivot")]
-    known = materialize(bodies(both[0].unionByName(both[1]).unionByName(both[2]).unionByName(both[3]).distinct()), f"{label}-bodies")
+    both = [df.select(F.col(c).alias("id")) for df in ((tried, crowded) if prints is None else (tried,)) for c in ("id", "pivot")]
+    known = materialize(bodies(reduce(DataFrame.unionByName, both).distinct()), f"{label}-bodies")
     other = known.select(F.col("id").alias("pivot"), F.col("body").alias("pivot_body"))
 
     @F.pandas_udf("boolean")
@@ -115,6 +128,8 @@ def verified_links(
     members = materialize(crowded.select("key", "id", F.lit(False).alias("odd")).unionByName(odd), f"{label}-members")
     if prints is not None:
         members = materialize(_with_neighbours(members, prints, far, cell), f"{label}-neighbours")
+        more = materialize(members.select("id").distinct().join(known, "id", "left_anti"), f"{label}-further")
+        known = known.unionByName(materialize(bodies(more), f"{label}-further-bodies"))
     cells = _crossing(members, cell).join(known, "id").groupBy("key", "a", "b").agg(F.collect_list(F.struct("id", "odd", "body")).alias("m"))
 
     @F.pandas_udf("array<struct<a:long,b:long>>")

@@ -110,7 +110,43 @@ def test_simhash_matches_brute_force(spark, awkward):
     assert {r["doc_id"] for r in left.collect()} == {None, *expected.values()} and left.columns == df.columns
 
 
+def plain_shingles(text):
+    found = WORD.findall((text or "").lower())
+    return {tuple(found[k : k + 5]) for k in range(max(1, len(found) - 4))} if found else set()
+
+
+def test_wide_groups_match_all_pairs(spark, awkward):
+    """Copies with 1 to 12 of 400 words changed, a hot group of copies, and documents with half of their words in common."""
+    rng = random.Random(21)
+    rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
+    some = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    for k in range(100, 150):
+        base = some(400)
+        rows.append((k * 100, " ".join(base)))
+        for c in range(1, 40 if k == 100 else 5):
+            copy = list(base)
+            for at in rng.sample(range(400), rng.randrange(1, 13)):
+                copy[at] = some(1)[0]
+            rows.append((k * 100 + c, " ".join(copy).upper() if c % 2 else "  ".join(copy)))
+        rows.append((k * 100 + 90, " ".join(base[:200] + some(200))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.similar_documents(df, cell=4, wide_cell=3).collect()
+    assert len(got) == len(rows)
+    known = [(d, plain_shingles(t), plain_fingerprint(t)) for d, t in rows if d is not None]
+    alike = lambda x, y: 10 * len(x & y) >= 8 * len(x | y)
+    pairs = [(a, b) for k, (a, x, p) in enumerate(known) for b, y, q in known[k + 1 :] if alike(x, y) or (p ^ q).bit_count() <= 2]
+    expected = least_reached(pairs, {d for d, *_ in known})
+    group = {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None}
+    assert all(expected[group[d]] == expected[d] for d in group)
+    later = [d for d in group if expected[d] != d]
+    assert len(later) > 100 and sum(group[d] == expected[d] for d in later) >= 0.97 * len(later)
+    assert all(group[k * 100 + 90] == k * 100 + 90 for k in range(100, 150))
+    left = simhash.one_of_each_group(df, wide=True)
+    assert {r["doc_id"] for r in left.collect()} == {None, *group.values()} and left.columns == df.columns
+
+
 def test_simhash_of_nothing(nothing):
+    assert simhash.similar_documents(nothing).count() == 0
     assert simhash.near_duplicates(nothing).count() == 0
     assert simhash.one_of_each_group(nothing).columns == nothing.columns
 
