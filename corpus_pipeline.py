@@ -24,8 +24,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays."""
-    return simhash.one_of_each_group(docs)
+    """Of each group of near duplicates the document with the least id stays: fingerprints within 2 bits, or 0.8 of the 5-word shingles."""
+    return simhash.one_of_each_group(docs, wide=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
