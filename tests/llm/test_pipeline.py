@@ -22,6 +22,10 @@ def test_the_pipeline_matches_plain_loops_stage_by_stage(spark, tmp_path):
         docs.append((k, "\n".join(lines) if k % 7 else "short text", "en", f"src{k % 3}", 0))
         labels.append((k, int(k % 7 != 0), 0))
     docs.append((500, docs[1][1].upper(), "en", "src1", 0))
+    # A copy with two words changed and other line ends, which line dedup leaves.
+    again = docs[2][1].split()
+    again[20], again[-30] = "changed", "words"
+    docs.append((501, "\n".join(" ".join(again[k : k + 9]) for k in range(0, len(again), 9)), "en", "src2", 0))
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     steps, now = {}, spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -49,7 +53,11 @@ def test_the_pipeline_matches_plain_loops_stage_by_stage(spark, tmp_path):
     assert all(r["n_chars"] == len(r["text"]) for r in steps["line dedup"]) and 500 not in kept
 
     prints = {d: simhash.fingerprint(t) for d, t in kept.items()}
-    alone = [d for d in sorted(kept) if not any((prints[d] ^ prints[e]).bit_count() <= simhash.RADIUS for e in kept if e < d)]
+    found = {d: WORD.findall(t.lower()) for d, t in kept.items()}
+    sets = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d, w in found.items()}
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
+    alone = [d for d in sorted(kept) if not any(near(d, e) for e in kept if e < d)]
+    assert 501 in kept and 501 not in alone
     assert [r["doc_id"] for r in sorted(steps["SimHash near-dedup"], key=lambda r: r["doc_id"])] == alone
 
     left = spark.read.parquet(f"{tmp_path}/SimHash near-dedup")
