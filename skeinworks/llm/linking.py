@@ -96,7 +96,7 @@ def verified_links(
     A key's least and greatest id come from a combined aggregate and show whether it has several;
     only such keys are joined back. In each key all ids are first compared with its least one, the
     pivot. Those that match it are connected by it and need not be compared among themselves; only
-    pairs with an id that does not match are. So a large group of copies costs one comparison a
+    pairs with an id that does not match are, and of those in a cell that match, an odd one needs but one link. So a large group of copies costs one comparison a
     member, and no pair is lost. What remains to be compared is dealt out in cells of about ``cell`` ids on
     either side. What a join by a key, or by a pivot, makes is written before it is grouped, so that
     the planner can split a large key between tasks.
@@ -124,20 +124,24 @@ def verified_links(
     compared = tried.join(known, "id").join(other, "pivot")
     matched = materialize(compared.where(matches("body", "pivot_body")).select("id", "pivot"), f"{label}-matched")
 
-    odd = crowded.join(matched, ["id", "pivot"], "left_anti").select("key", "id", F.lit(True).alias("odd"))
-    members = materialize(crowded.select("key", "id", F.lit(False).alias("odd")).unionByName(odd), f"{label}-members")
+    tested = crowded.join(matched.withColumn("hit", F.lit(True)), ["id", "pivot"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    kinds = F.when(F.col("hit"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    members = materialize(tested.select("key", "id", "hit", F.explode(kinds).alias("odd")), f"{label}-members")
     if prints is not None:
         members = materialize(_with_neighbours(members, prints, far, cell), f"{label}-neighbours")
         more = materialize(members.select("id").distinct().join(known, "id", "left_anti"), f"{label}-further")
         known = known.unionByName(materialize(bodies(more), f"{label}-further-bodies"))
-    cells = _crossing(members, cell).join(known, "id").groupBy("key", "a", "b").agg(F.collect_list(F.struct("id", "odd", "body")).alias("m"))
+    cells = _crossing(members, cell).join(known, "id").groupBy("key", "a", "b").agg(F.collect_list(F.struct("id", "odd", "hit", "body")).alias("m"))
 
     @F.pandas_udf("array<struct<a:long,b:long>>")
-    def crossed(ids: pd.Series, odds: pd.Series, held: pd.Series) -> pd.Series:
+    def crossed(ids: pd.Series, odds: pd.Series, hits: pd.Series, held: pd.Series) -> pd.Series:
         out = []
-        for own, flags, values in zip(ids, odds, held, strict=True):
+        for own, flags, hit, values in zip(ids, odds, hits, held, strict=True):
             items = [(int(i), bool(o), tuple(v.values())) for i, o, v in zip(own, flags, values, strict=True)]
             groups = {i: {i} for i, _, _ in items}
+            # What the pivot matched is connected by it already.
+            by_pivot = {i for (i, _, _), h in zip(items, hit, strict=True) if h}
+            groups.update(dict.fromkeys(by_pivot, by_pivot))
             edges = []
             for i, _, x in (t for t in items if t[1]):
                 for j, _, y in (t for t in items if not t[1]):
@@ -149,41 +153,41 @@ def verified_links(
             out.append(edges)
         return pd.Series(out)
 
-    found = cells.select(F.explode(crossed("m.id", "m.odd", "m.body")).alias("e")).select("e.a", "e.b")
+    found = cells.select(F.explode(crossed("m.id", "m.odd", "m.hit", "m.body")).alias("e")).select("e.a", "e.b")
     return found.unionByName(matched.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
 
 
 def _crossing(members: DataFrame, cell: int) -> DataFrame:
-    """``members`` (``key``, ``id``, ``odd``) dealt to cells (``a``, ``b``) of a key, so that each odd one meets all that
+    """``members`` (``key``, ``id``, ``odd``, ``hit``) dealt to cells (``a``, ``b``) of a key, so that each odd one meets all that
     are not marked odd, about ``cell`` on either side; keys without an odd one are left."""
     chunks = lambda odd: (F.floor(F.count(F.when(F.col("odd") == odd, 1)) / cell) + 1).cast("int")
     sizes = members.groupBy("key").agg(chunks(False).alias("chunks"), chunks(True).alias("odd_chunks"), F.max("odd").alias("any"))
     dealt = members.join(sizes.where("any").drop("any"), "key")
     own = F.pmod(F.xxhash64(F.lit(11), "id"), F.when(F.col("odd"), F.col("odd_chunks")).otherwise(F.col("chunks"))).cast("int")
     across = F.explode(F.sequence(F.lit(0), F.when(F.col("odd"), F.col("chunks")).otherwise(F.col("odd_chunks")) - 1))
-    dealt = dealt.select("key", "id", "odd", own.alias("own"), across.alias("other"))
+    dealt = dealt.select("key", "id", "odd", "hit", own.alias("own"), across.alias("other"))
     a, b = (F.when(F.col("odd") == o, F.col("own")).otherwise(F.col("other")) for o in (False, True))
-    return dealt.select("key", "id", "odd", a.alias("a"), b.alias("b"))
+    return dealt.select("key", "id", "odd", "hit", a.alias("a"), b.alias("b"))
 
 
 def _with_neighbours(members: DataFrame, prints: DataFrame, far: int, cell: int) -> DataFrame:
     """Those of ``members`` that have one of the other kind, odd or not, to be compared with."""
-    cells = _crossing(members, cell).join(prints, "id").groupBy("key", "a", "b").agg(F.collect_list(F.struct("id", "odd", "bits", "many")).alias("m"))
+    cells = _crossing(members, cell).join(prints, "id").groupBy("key", "a", "b").agg(F.collect_list(F.struct("id", "odd", "hit", "bits", "many")).alias("m"))
 
-    @F.pandas_udf("array<struct<id:long,odd:boolean>>")
-    def beside(ids: pd.Series, odds: pd.Series, bits: pd.Series, many: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<struct<id:long,odd:boolean,hit:boolean>>")
+    def beside(ids: pd.Series, odds: pd.Series, hits: pd.Series, bits: pd.Series, many: pd.Series) -> pd.Series:
         out = []
-        for i, o, x, m in zip(ids, odds, bits, many, strict=True):
+        for i, o, h, x, m in zip(ids, odds, hits, bits, many, strict=True):
             i, o, x, m = np.asarray(i, np.int64), np.asarray(o, bool), np.asarray(x, np.int64).view(np.uint64), np.asarray(m, bool)
             rows, columns = np.flatnonzero(o), np.flatnonzero(~o)
             near = (np.bitwise_count(x[rows][:, None] ^ x[columns]) <= far) | ~m[rows][:, None] | ~m[columns]
             near &= i[rows][:, None] != i[columns]
             kept = [*rows[near.any(axis=1)].tolist(), *columns[near.any(axis=0)].tolist()]
-            out.append([{"id": int(i[k]), "odd": bool(o[k])} for k in kept])
+            out.append([{"id": int(i[k]), "odd": bool(o[k]), "hit": bool(h[k])} for k in kept])
         return pd.Series(out)
 
-    found = cells.select("key", F.explode(beside("m.id", "m.odd", "m.bits", "m.many")).alias("x"))
-    return found.select("key", "x.id", "x.odd").distinct()
+    found = cells.select("key", F.explode(beside("m.id", "m.odd", "m.hit", "m.bits", "m.many")).alias("x"))
+    return found.select("key", "x.id", "x.odd", "x.hit").distinct()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
