@@ -5,12 +5,14 @@ Numbers in text are gated by anchored patterns: a cast alone accepts blanks and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WHOLE = "\\A[+-]?[0-9]+\\z"
 DECIMAL = "\\A[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\z"
-_EDGES = "\\A[\\s\\x{85}\\x{a0}\\x{2028}\\x{2029}]+|[\\s\\x{85}\\x{a0}\\x{2028}\\x{2029}]+\\z"
+EDGES = " \t\n\x0b\f\r\x85\xa0\u2028\u2029"
 
 #: Texts that mean no limit, and units.
 NO_SIZE = ("", "0", "off", "none", "unbounded", "unlimited")
@@ -27,7 +29,12 @@ DURATION_UNITS = {
 
 def trimmed(c: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(c, _EDGES, "")
+    return F.btrim(c, F.lit(EDGES))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value``, which is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def whole(c: Column) -> Column:
@@ -69,9 +76,12 @@ def cue_seconds(index: Column) -> Column:
 
     Null unless the first three parts are numbers.
     """
-    parts = [F.get(F.split(index, ":"), k) for k in range(3)]
-    m, s, f = (F.when(p.rlike("\\A[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?\\z"), p.try_cast("double")) for p in parts)
-    return m * 60 + s + f / 75
+
+    def of(parts: Column) -> Column:
+        m, s, f = (decimal(F.get(parts, k)) for k in range(3))
+        return m * 60 + s + f / 75
+
+    return let(F.split(index, ":"), of)
 
 
 def timebase_seconds(value: Column, numerator: Column, denominator: Column) -> Column:
@@ -87,35 +97,50 @@ def track_number(c: Column) -> Column:
     return F.when(value < (1 << 32), value.cast("long"))
 
 
-def _number_and_unit(c: Column, number: str) -> tuple[Column, Column, Column]:
-    text = F.lower(trimmed(c))
-    split = F.regexp_extract(text, "\\A([^a-z]*)", 1)
-    rest = F.substring(text, F.length(split) + 1, F.lit(1 << 20))
-    return text, F.when(trimmed(split).rlike(number), trimmed(split)), trimmed(rest)
+def _number_and_unit(c: Column, number: str) -> Column:
+    """A struct of the whole ``text`` in lower case, the ``number`` before its first letter, null if it is none, and the ``unit`` from there."""
+
+    def cut(text: Column) -> Column:
+        split = F.regexp_extract(text, "\\A([^a-z]*)", 1)
+        return let(split, lambda s: F.struct(text.alias("text"), trimmed(s).alias("number"), trimmed(F.substring(text, F.length(s) + 1, F.lit(1 << 20))).alias("unit")))
+
+    parts = let(F.lower(trimmed(c)), cut)
+    return let(parts, lambda p: F.struct(p["text"].alias("text"), F.when(p["number"].rlike(number), p["number"]).alias("number"), p["unit"].alias("unit")))
+
+
+def _unit(units: dict[str, int], name: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in units.items() for x in pair]), name)
 
 
 def parse_size(c: Column) -> Column:
     """A struct of ``bytes`` (null: no limit) and ``error`` (null: it parses)."""
-    text, number, unit = _number_and_unit(c, DECIMAL)
-    value, shift = number.try_cast("double"), F.lit(None)
-    for name, bits in SIZE_UNITS.items():
-        shift = F.when(unit == name, F.lit(bits)).otherwise(shift)
-    size = F.least(F.floor(value * F.pow(F.lit(2.0), shift)).cast("double"), F.lit(float((1 << 63) - 1024))).cast("long")
-    none = text.isin(*NO_SIZE)
-    error = F.when(none, None).when(value.isNull(), "number").when(value < 0, "negative").when(shift.isNull(), "unit")
-    return F.struct(F.when(~none & error.isNull() & (size > 0), size).alias("bytes"), error.alias("error"))
+
+    def parsed(p: Column) -> Column:
+        return F.struct(p["text"].isin(*NO_SIZE).alias("none"), p["number"].try_cast("double").alias("value"), _unit(SIZE_UNITS, p["unit"]).alias("shift"))
+
+    def made(p: Column) -> Column:
+        none, value, shift = p["none"], p["value"], p["shift"]
+        size = F.least(F.floor(value * F.pow(F.lit(2.0), shift)).cast("double"), F.lit(float((1 << 63) - 1024))).cast("long")
+        error = F.when(none, None).when(value.isNull(), "number").when(value < 0, "negative").when(shift.isNull(), "unit")
+        return F.struct(F.when(~none & error.isNull() & (size > 0), size).alias("bytes"), error.alias("error"))
+
+    return let(let(_number_and_unit(c, DECIMAL), parsed), made)
 
 
 def parse_duration(c: Column) -> Column:
     """A struct of ``seconds`` (null: no limit) and ``error``; seconds stop at the largest long."""
-    text, number, unit = _number_and_unit(c, "\\A[+]?[0-9]+\\z")
-    value, factor, most = number.try_cast("decimal(38,0)"), F.lit(None), F.lit((1 << 63) - 1)
-    for name, seconds in DURATION_UNITS.items():
-        factor = F.when(unit == name, F.lit(seconds)).otherwise(factor)
-    total = F.when(value > most / factor, most).otherwise((value * factor).try_cast("long"))
-    none = text.isin(*NO_DURATION)
-    error = F.when(none, None).when(value.isNull(), "number").when(factor.isNull(), "unit")
-    return F.struct(F.when(~none & error.isNull() & (total > 0), total).alias("seconds"), error.alias("error"))
+    most = F.lit((1 << 63) - 1)
+
+    def parsed(p: Column) -> Column:
+        return F.struct(p["text"].isin(*NO_DURATION).alias("none"), p["number"].try_cast("decimal(38,0)").alias("value"), _unit(DURATION_UNITS, p["unit"]).alias("factor"))
+
+    def made(p: Column) -> Column:
+        none, value, factor = p["none"], p["value"], p["factor"]
+        total = F.when(value > most / factor, most).otherwise((value * factor).try_cast("long"))
+        error = F.when(none, None).when(value.isNull(), "number").when(factor.isNull(), "unit")
+        return F.struct(F.when(~none & error.isNull() & (total > 0), total).alias("seconds"), error.alias("error"))
+
+    return let(let(_number_and_unit(c, "\\A[+]?[0-9]+\\z"), parsed), made)
 
 
 def six_decimals(seconds: Column) -> Column:

@@ -159,3 +159,14 @@ def test_media_decisions(spark):
     assert one(spark, media.expected_transcode(F.lit("x.flac"), F.lit("mp3"))) == "mp3"
     assert one(spark, media.expected_transcode(F.lit("x.m4b"), F.lit("off"))) == "off"
     assert one(spark, media.ignored_overrides({"a": F.lit(None), "b": F.lit(1)})) == ["b"]
+
+
+def test_sizes_and_durations_compile(spark):
+    # Code that is too large for the compiler runs interpreted, some ten times slower.
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        c = F.concat(F.col("id").cast("string"), F.lit(" KiB"))
+        rows = spark.range(3).select(numbers.parse_size(c).alias("a"), numbers.parse_duration(F.concat(F.col("id").cast("string"), F.lit(" Min "))).alias("b")).select("a.*", "b.seconds").collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert [tuple(r) for r in rows] == [(None, None, None), (1024, None, 60), (2048, None, 120)]
