@@ -50,27 +50,46 @@ def track_order(df: DataFrame, parent: Sequence[str], track: str, name: str, out
     return running(told, parent, order, {out: F.lit(1)}, crowded(df, parent)).withColumn(out, F.col(out) - 1).drop("_usable")
 
 
-def feed_items(books: DataFrame, episodes: DataFrame) -> DataFrame:
+def feed_items(books: DataFrame, episodes: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """One row per episode with its guid, date and duration in text; books without episodes have a
     row of nulls. Guid and date are made anew from the book's ``source_mtime``."""
-    hot = crowded(episodes, ["book_id"])
+    hot = crowded(episodes, ["book_id"]) if hot is None else hot
     rows = books.join(episodes.withColumnRenamed("book_id", "id").drop("guid", "pubdate_epoch", "source_path").withColumnRenamed("title", "episode_title"), "id", "left")
     dated = item_dates(rows, ["id"], "source_mtime", hot=hot)
-    made = F.col("idx").isNotNull()
-    return dated.withColumns(
-        {
-            "guid": F.when(made, guid(F.col("id"), F.col("idx").cast("string"), F.col("source_mtime").cast("string"))),
-            "pub_date": F.when(made, rfc2822(F.col("pubdate_epoch"))),
-            "duration": F.when(made, clock(F.col("duration_sec"))),
-            "episode": (F.col("idx") + 1).cast("string"),
-        }
-    )
+    texts = _item_texts(F.col("idx"), F.col("pubdate_epoch"), F.col("duration_sec"))
+    return dated.withColumns({name: F.when(F.col("idx").isNotNull(), c) for name, c in texts.items()})
+
+
+def _item_texts(idx: Column, date: Column, seconds: Column) -> dict[str, Column]:
+    """What a feed says of an episode, beside the columns ``id`` and ``source_mtime`` of its book."""
+    return {
+        "guid": guid(F.col("id").cast("string"), idx.cast("string"), F.col("source_mtime").cast("string")),
+        "pub_date": rfc2822(date),
+        "duration": clock(seconds),
+        "episode": (idx + 1).cast("string"),
+    }
+
+
+def nested_feed_items(books: DataFrame, episodes: DataFrame, out: str = "items") -> DataFrame:
+    """One row per book with the items of ``feed_items`` as an array in order; an empty array without episodes.
+
+    What the episodes hold is gathered, and the texts, some five times as long, are made of it after the last shuffle.
+    """
+    fields = [c for c in episodes.columns if c not in ("book_id", "guid", "pubdate_epoch", "source_path", "title")]
+    lists = nested(episodes.withColumnsRenamed({"book_id": "id", "title": "episode_title"}), ["id"], "idx", ["episode_title", *fields], out)
+
+    def item(x: Column) -> Column:
+        date = F.col("source_mtime") - (F.size(out) - 1 - x["idx"]) * STEP
+        kept = [x[c].alias(c) for c in ("episode_title", *fields)]
+        return F.struct(*kept, *[c.alias(name) for name, c in _item_texts(x["idx"], date, x["duration_sec"]).items()])
+
+    return books.join(lists, "id", "left").withColumn(out, F.transform(F.coalesce(out, F.array().cast(lists.schema[out].dataType)), item))
 
 
 def nested(items: DataFrame, parent: Sequence[str], idx: str, fields: Sequence[str], out: str = "items") -> DataFrame:
     """One row per parent with its items as an array in order; an empty array without items."""
     entry = F.when(F.col(idx).isNotNull(), F.struct(idx, *[f for f in fields if f != idx]))
-    return items.groupBy(*parent).agg(F.array_sort(F.collect_list(entry)).alias(out))
+    return items.groupBy(*parent).agg(F.sort_array(F.collect_list(entry)).alias(out))
 
 
 def item_problems(url: Column, length: Column, has_enclosure: Column, episode: Column, duration: Column, pub_date: Column) -> Column:

@@ -87,7 +87,7 @@ def sidecar_files(spark, d) -> DataFrame:
 def _sheet(lines: DataFrame, line: Column) -> DataFrame:
     """Each order's lines as one text, in order of their number."""
     entry = F.struct(*LINE_ORDER, line.alias("line"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["line"]), "\n")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["line"]), "\n")
     return lines.groupBy("l_orderkey").agg(joined.alias("sheet"))
 
 
@@ -127,10 +127,10 @@ def ffmeta_chapters(spark, d) -> DataFrame:
 
 def _books_and_episodes(spark, d) -> tuple[DataFrame, DataFrame]:
     o = table(spark, d, "orders")
-    books = o.select(_text(F.col("o_orderkey")).alias("id"), F.col("o_orderstatus").alias("title"), numbers.seconds(F.col("o_orderdate")).alias("source_mtime"))
+    books = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("title"), numbers.seconds(F.col("o_orderdate")).alias("source_mtime"))
     l = feed.renumber(table(spark, d, "lineitem"), ["l_orderkey"], LINE_ORDER)
     episodes = l.select(
-        F.lit("").alias("guid"), _text(F.col("l_orderkey")).alias("book_id"), "idx", _joined("E&", F.col("l_returnflag")).alias("title"), (F.col("l_quantity") * 100).alias("duration_sec"),
+        F.lit("").alias("guid"), F.col("l_orderkey").alias("book_id"), "idx", _joined("E&", F.col("l_returnflag")).alias("title"), (F.col("l_quantity") * 100).alias("duration_sec"),
         F.lit(0).cast("long").alias("pubdate_epoch"), F.lit("").alias("source_path"), F.col("l_partkey").alias("byte_length"),
     )
     return books, episodes
@@ -145,7 +145,7 @@ items AS (SELECT *, sha256(o_orderkey || ':' || idx || ':' || mtime) AS guid, st
 @registered(f"""WITH {EPISODES_SQL} SELECT o_orderkey::VARCHAR AS id, o_orderstatus AS title, 'E&' || l_returnflag AS episode_title, idx::BIGINT AS idx, guid, pub_date, CASE WHEN idx IS NOT NULL THEN duration END AS duration, (idx + 1)::VARCHAR AS episode FROM items""")
 def feed_item_rows(spark, d) -> DataFrame:
     """Every episode with its guid, date and duration; a book without episodes has a row of nulls."""
-    return feed.feed_items(*_books_and_episodes(spark, d)).select("id", "title", "episode_title", "idx", "guid", "pub_date", "duration", "episode")
+    return feed.feed_items(*_books_and_episodes(spark, d)).select(_text(F.col("id")).alias("id"), "title", "episode_title", "idx", "guid", "pub_date", "duration", "episode")
 
 
 @registered(f"""WITH {EPISODES_SQL}, tags AS (SELECT o_orderkey, idx, '<item><title>E&amp;' || l_returnflag || '</title><guid isPermaLink="false">' || guid || '</guid><pubDate>' || pub_date || '</pubDate><enclosure url="http://h/f/' || o_orderkey || '?a=1&amp;e=' || idx
@@ -154,12 +154,13 @@ SELECT o_orderkey::VARCHAR AS feed, '<?xml version="1.0" encoding="utf-8"?><rss
   || coalesce(string_agg(t, '' ORDER BY idx), '') || '</channel></rss>' AS xml FROM tags JOIN orders USING (o_orderkey) GROUP BY 1""")
 def feed_texts(spark, d) -> DataFrame:
     """Each book's feed as text, escaped."""
-    items = feed.feed_items(*_books_and_episodes(spark, d))
-    url = _joined("http://h/f/", F.col("id"), "?a=1&e=", _text(F.col("idx")))
-    items = items.select("id", "title", "idx", F.col("episode_title"), "guid", "pub_date", url.alias("url"), _text(F.col("byte_length")).alias("length"), F.lit("audio/mp4").alias("type"), "duration", "episode")
-    whole = feed.nested(items, ["id", "title"], "idx", ["episode_title", "guid", "pub_date", "url", "length", "type", "duration", "episode"])
-    named = F.transform("items", lambda x: F.struct(x["episode_title"].alias("title"), *[x[c] for c in ("guid", "pub_date", "url", "length", "type", "duration", "episode")]))
-    return tables.feed_documents(whole.select(F.col("id").alias("feed"), _joined("<", F.col("title"), ">").alias("title"), named.alias("items")))
+    whole = feed.nested_feed_items(*_books_and_episodes(spark, d))
+
+    def named(x: Column) -> Column:
+        url = _joined("http://h/f/", _text(F.col("id")), "?a=1&e=", _text(x["idx"]))
+        return F.struct(x["episode_title"].alias("title"), x["guid"], x["pub_date"], url.alias("url"), _text(x["byte_length"]).alias("length"), F.lit("audio/mp4").alias("type"), x["duration"], x["episode"])
+
+    return tables.feed_documents(whole.select(_text(F.col("id")).alias("feed"), _joined("<", F.col("title"), ">").alias("title"), F.transform("items", named).alias("items")))
 
 
 @registered("""WITH e AS (SELECT event_id, user_id::VARCHAR AS feed, event_id % 4 AS k FROM events),

@@ -236,3 +236,15 @@ def test_a_source_is_fresh_only_if_all_holds(spark):
         assert not fresh(want | change), change
     assert not fresh(want, staleness.episode_state(episodes, files.limit(1), F.lit(False)))
     assert not fresh(want, staleness.episode_state(episodes.limit(0), files, F.lit(False)))
+
+
+def test_items_are_gathered_without_their_texts(spark):
+    books = spark.createDataFrame([(k, f"b{k}", 1_000_000 + k) for k in range(4)], "id long, title string, source_mtime long")
+    episodes = spark.createDataFrame([("", k % 3, k // 3, f"e<{k}", 60.0 * k, 0, "", k) for k in range(14)], "guid string, book_id long, idx long, title string, duration_sec double, pubdate_epoch long, source_path string, byte_length long")
+    fields = ["episode_title", "duration_sec", "byte_length", "guid", "pub_date", "duration", "episode"]
+    plain = feed.nested(feed.feed_items(books, episodes), ["id", "title"], "idx", fields)
+    got = feed.nested_feed_items(books, episodes)
+    texts = lambda df: {(r["id"], r["title"]): [tuple(x[f] for f in fields) for x in r["items"]] for r in df.collect()}
+    assert texts(got) == texts(plain) and texts(got)[3, "b3"] == []
+    gathered = [line for line in got._jdf.queryExecution().executedPlan().toString().split("\n") if "collect_list" in line]
+    assert gathered and not any("sha2" in line or "date_format" in line or "guid" in line for line in gathered)
