@@ -38,14 +38,17 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], preserve: Sequen
 
 
 def delete_cascade(parents: DataFrame, children: DataFrame, gone: DataFrame, key: str, foreign: str) -> tuple[DataFrame, DataFrame]:
-    """Both tables without the parents whose ``key`` is in ``gone``, and without their children."""
-    ids = gone.select(key).distinct()
+    """Both tables without the parents whose ``key`` is in ``gone``, and without their children.
+
+    Only the ids that are gone are held in memory, those of one partition in each task; neither table is sorted.
+    """
+    ids = gone.select(key).distinct().hint("shuffle_hash")
     return parents.join(ids, key, "left_anti"), children.join(ids.withColumnRenamed(key, foreign), foreign, "left_anti")
 
 
 def replace_children(children: DataFrame, fresh: DataFrame, foreign: str) -> DataFrame:
-    """``children`` in which those of every parent in ``fresh`` are replaced as a whole."""
-    return children.join(fresh.select(foreign).distinct(), foreign, "left_anti").unionByName(fresh)
+    """``children`` in which those of every parent in ``fresh`` are replaced as a whole; as in ``delete_cascade``, no table is sorted."""
+    return children.join(fresh.select(foreign).distinct().hint("shuffle_hash"), foreign, "left_anti").unionByName(fresh)
 
 
 def orphans(books: DataFrame, sources: DataFrame, path: str = "source_path") -> DataFrame:

@@ -224,7 +224,7 @@ def replaced_children(spark, d) -> DataFrame:
     """The children of parents read anew are replaced as a whole: by fewer, and with other values."""
     l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     opened = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"))
-    fresh = l.where("l_linenumber <= 2").join(opened, "l_orderkey", "left_semi").withColumn("l_quantity", F.col("l_quantity") + 100)
+    fresh = l.where("l_linenumber <= 2").join(opened.hint("shuffle_hash"), "l_orderkey", "left_semi").withColumn("l_quantity", F.col("l_quantity") + 100)
     return mutations.replace_children(l, fresh, "l_orderkey")
 
 

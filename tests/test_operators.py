@@ -238,6 +238,27 @@ def test_a_source_is_fresh_only_if_all_holds(spark):
     assert not fresh(want, staleness.episode_state(episodes.limit(0), files, F.lit(False)))
 
 
+def plan_of_large(spark, df):
+    """The physical plan where no side is small enough to be broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_children_are_not_sorted_to_lose_their_parents(spark):
+    parents, children = spark.range(20), spark.range(60).select((F.col("id") % 20).alias("parent"), F.col("id").alias("n"))
+    left, rest = mutations.delete_cascade(parents, children, parents.where("id < 5").union(parents.where("id < 3")), "id", "parent")
+    fresh = children.where("parent >= 15 AND n < 20").withColumn("n", -F.col("n"))
+    replaced = mutations.replace_children(children, fresh, "parent")
+    for df in (left, rest, replaced):
+        assert "ShuffledHashJoin" in (plan := plan_of_large(spark, df)) and "SortMergeJoin" not in plan
+    assert (left.count(), rest.count(), rest.where("parent < 5").count()) == (15, 45, 0)
+    assert sorted(r["n"] for r in replaced.where("parent >= 15").collect()) == [-19, -18, -17, -16, -15] and replaced.count() == 50
+
+
 def test_items_are_gathered_without_their_texts(spark):
     books = spark.createDataFrame([(k, f"b{k}", 1_000_000 + k) for k in range(4)], "id long, title string, source_mtime long")
     episodes = spark.createDataFrame([("", k % 3, k // 3, f"e<{k}", 60.0 * k, 0, "", k) for k in range(14)], "guid string, book_id long, idx long, title string, duration_sec double, pubdate_epoch long, source_path string, byte_length long")
