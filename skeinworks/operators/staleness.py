@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks.functions.media import expected_transcode
+from skeinworks.runtime import materialize
 
 
 def every(c: Column) -> Column:
@@ -17,9 +18,10 @@ def episode_state(episodes: DataFrame, files: DataFrame, remux: Column) -> DataF
     """By ``book_id``: number of episodes, and whether starts, serving mode and files are in order.
 
     ``files`` has the ``file_path`` of every file that exists. Starts and files are given twice: for
-    a book whose chapters are kept (full) and one whose are made on demand (saver).
+    a book whose chapters are kept (full) and one whose are made on demand (saver). The files are written first: if they
+    are few the planner sees it, and no episode is moved and sorted by its file.
     """
-    there = files.select("file_path").distinct().withColumn("_there", F.lit(True))
+    there = materialize(files.select("file_path").distinct(), "files-there").withColumn("_there", F.lit(True))
     e = episodes.join(there, "file_path", "left")
     present = F.coalesce(F.col("_there"), F.lit(False))
     remuxed = (F.col("source_path") != "") & (F.col("file_path") != F.col("source_path"))
@@ -46,6 +48,12 @@ def same_metadata(names: tuple[str, ...]) -> Column:
     return out
 
 
+def _beside(wanted: DataFrame, books: DataFrame, state: DataFrame) -> DataFrame:
+    """Each wanted source with its book and the state of its episodes, at most one row of either; none of them is sorted."""
+    known = state.withColumnRenamed("book_id", "id")
+    return wanted.join(books.hint("shuffle_hash"), "id", "left").join(known.hint("shuffle_hash"), "id", "left")
+
+
 def fresh_books(wanted: DataFrame, books: DataFrame, state: DataFrame) -> DataFrame:
     """``id`` and ``fresh`` of every wanted source.
 
@@ -53,7 +61,7 @@ def fresh_books(wanted: DataFrame, books: DataFrame, state: DataFrame) -> DataFr
     default_cover_url and force_embedded; path, mode (of transcoding) and force.
     """
     saver = F.col("want_storage_mode") == "saver"
-    both = wanted.join(books, "id", "left").join(state.withColumnRenamed("book_id", "id"), "id", "left")
+    both = _beside(wanted, books, state)
     fresh = (
         ~F.col("force")
         & (F.col("source_mtime") == F.col("want_source_mtime"))
@@ -69,6 +77,6 @@ def fresh_books(wanted: DataFrame, books: DataFrame, state: DataFrame) -> DataFr
 
 def fresh_folders(wanted: DataFrame, books: DataFrame, state: DataFrame) -> DataFrame:
     """As ``fresh_books``, for folders of tracks: fewer fields count, and all files are in place."""
-    both = wanted.join(books, "id", "left").join(state.withColumnRenamed("book_id", "id"), "id", "left")
+    both = _beside(wanted, books, state)
     fresh = ~F.col("force") & (F.col("source_mtime") == F.col("want_source_mtime")) & same_metadata(("title", "author", "default_cover_url")) & (F.col("n_episodes") > 0) & F.col("in_place")
     return both.select("id", F.coalesce(fresh, F.lit(False)).alias("fresh"))

@@ -422,12 +422,12 @@ def folder_books(spark, d) -> DataFrame:
 def fresh_sources(spark, d) -> DataFrame:
     """Sources that need not be read again."""
     o = table(spark, d, "orders")
-    key = F.col("o_orderkey").cast("string")
+    key = F.col("o_orderkey")
     books = o.select(key.alias("id"), F.lit(1).alias("source_mtime"), F.col("o_orderstatus").alias("title"), F.lit(None).cast("string").alias("author"), F.lit("full").alias("storage_mode"), F.lit(None).cast("string").alias("default_cover_url"), F.lit(False).alias("force_embedded"), F.lit("").alias("transcode"))
     wanted = o.select(key.alias("id"), F.lit(1).alias("want_source_mtime"), F.lit("O").alias("want_title"), F.lit(None).cast("string").alias("want_author"), F.lit("full").alias("want_storage_mode"), F.lit(None).cast("string").alias("want_default_cover_url"), F.lit(False).alias("want_force_embedded"), F.lit("x.m4b").alias("path"), F.lit("off").alias("mode"), (F.col("o_totalprice") <= 50000).alias("force"))
     l = table(spark, d, "lineitem")
     file = F.concat(F.lit("f"), F.col("l_returnflag"))
-    episodes = l.select(F.col("l_orderkey").cast("string").alias("book_id"), F.col("l_linenumber").cast("long").alias("idx"), file.alias("file_path"), F.lit(1.0).alias("start_sec"), F.lit("").alias("source_path"), F.lit(False).alias("needs_faststart"))
+    episodes = l.select(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").cast("long").alias("idx"), file.alias("file_path"), F.lit(1.0).alias("start_sec"), F.lit("").alias("source_path"), F.lit(False).alias("needs_faststart"))
     files = spark.createDataFrame([("fA",), ("fN",)], "file_path string")
     out = staleness.fresh_books(wanted, books, staleness.episode_state(episodes, files, F.lit(False)))
     return out.select(F.col("id").cast("long").alias("id"), "fresh")

@@ -259,6 +259,19 @@ def test_children_are_not_sorted_to_lose_their_parents(spark):
     assert sorted(r["n"] for r in replaced.where("parent >= 15").collect()) == [-19, -18, -17, -16, -15] and replaced.count() == 50
 
 
+def test_freshness_sorts_nothing_and_keeps_few_files_in_place(spark):
+    ids = spark.range(8).select(F.col("id").cast("string").alias("id"))
+    named = {"source_mtime": F.lit(1), "title": F.col("id"), "author": F.lit(None).cast("string"), "storage_mode": F.lit("full"), "default_cover_url": F.lit(""), "force_embedded": F.lit(False)}
+    books = ids.withColumns(named | {"transcode": F.lit("off")})
+    wanted = ids.withColumns({f"want_{k}": v for k, v in named.items()} | {"path": F.lit("x.m4b"), "mode": F.lit("off"), "force": F.col("id") == "3"})
+    episodes = spark.range(24).select((F.col("id") % 6).cast("string").alias("book_id"), F.col("id").alias("idx"), F.concat(F.lit("f"), (F.col("id") % 4).cast("string")).alias("file_path"), F.lit(1.0).alias("start_sec"), F.lit("").alias("source_path"), F.lit(False).alias("needs_faststart"))
+    state = staleness.episode_state(episodes, spark.createDataFrame([("f0",), ("f2",), ("f2",)], "file_path string"), F.lit(False))
+    assert "BroadcastHashJoin" in state._jdf.queryExecution().executedPlan().toString()
+    out = staleness.fresh_books(wanted, books, state)
+    assert "SortMergeJoin" not in plan_of_large(spark, staleness.fresh_books(wanted, books, spark.createDataFrame([], state.schema)))
+    assert {r["id"]: r["fresh"] for r in out.collect()} == {str(k): k in (0, 2, 4) for k in range(8)}
+
+
 def test_items_are_gathered_without_their_texts(spark):
     books = spark.createDataFrame([(k, f"b{k}", 1_000_000 + k) for k in range(4)], "id long, title string, source_mtime long")
     episodes = spark.createDataFrame([("", k % 3, k // 3, f"e<{k}", 60.0 * k, 0, "", k) for k in range(14)], "guid string, book_id long, idx long, title string, duration_sec double, pubdate_epoch long, source_path string, byte_length long")
