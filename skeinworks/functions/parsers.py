@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skeinworks.functions.numbers import cue_seconds, decimal, timebase_seconds, track_number, trimmed, whole
-from skeinworks.functions.text import ascii_upper, unquoted_argument
+from skeinworks.functions.numbers import EDGES, cue_seconds, decimal, let, timebase_seconds, track_number, trimmed, whole
+from skeinworks.functions.text import unquoted_argument
 
 CHAPTER = "struct<idx:long,start_sec:double,end_sec:double,title:string>"
 CHAPTERS = f"array<{CHAPTER}>"
@@ -22,30 +22,23 @@ PROBE = (
 )
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\r?\n")
-
-
 def _chapter(idx: Column, start: Column, end: Column, title: Column) -> Column:
     return F.struct(idx.cast("long").alias("idx"), start.cast("double").alias("start_sec"), end.cast("double").alias("end_sec"), title.cast("string").alias("title"))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over ``value``, which is evaluated once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+#: White space that does not end a line, as in ``trimmed``.
+_BLANK = "\\t\\x0B\\f\\r \\x{85}\\x{a0}\\x{2028}\\x{2029}"
+_BLANKS = f"[{_BLANK}]*"
 
 
-def _sections(lines: Column, is_head: Callable[[Column], Column]) -> Column:
-    """An array of sections, each the lines from a head up to the next; what stands before the first is left out.
-
-    Each line is copied once, however many there are.
-    """
+def _sections(text: Column, head: str) -> Column:
+    """Pieces of a text, each from a line that matches ``head`` up to the next; before the first is what stands before all."""
+    return F.split(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), f"\\n(?={_BLANKS}{head})")
 
-    def cut(heads: Column) -> Column:
-        return F.transform(heads, lambda at, k: F.slice(lines, at + 1, F.coalesce(F.get(heads, k + 1), F.size(lines)) - at))
 
-    numbered = F.transform(lines, lambda x, i: F.when(is_head(x), i).otherwise(-1))
-    return _let(F.array_remove(numbered, -1), cut)
+def _of_last_line(section: Column, line: str) -> Column:
+    """The group of a section's last line, its head aside, that matches; empty if none does."""
+    return F.regexp_extract(section, f"(?is)\\A.*\\n{_BLANKS}{line}", 1)
 
 
 def _last(values: Column) -> Column:
@@ -60,20 +53,23 @@ def parse_cue(text: Column, duration: Column) -> Column:
     followed by a blank; of several indexes in a track the last that parses counts, as does the last of several
     titles; a title before the first track does not.
     """
-    starts_with = lambda word: lambda x: ascii_upper(x).startswith(word)
+    more = f"[^\\n]*[^\\n{_BLANK}]"
+
+    def seconds(rest: Column) -> Column:
+        return cue_seconds(F.get(F.split(F.rtrim(rest, F.lit(EDGES)), "\\s+"), 0))
 
     def track(section: Column) -> Column:
-        times = F.transform(F.filter(section, starts_with("INDEX 01 ")), lambda x: cue_seconds(F.get(F.split(x, "\\s+"), 2)))
-        title = F.try_element_at(F.filter(section, starts_with("TITLE ")), F.lit(-1))
+        times = F.transform(F.regexp_extract_all(section, F.lit(f"(?i)\\n{_BLANKS}INDEX 01 [\\t\\x0B\\f\\r ]*([^\\n]*)"), 1), seconds)
+        title = F.nullif(_of_last_line(section, f"(TITLE {more})"), F.lit(""))
         return F.struct(_last(times).alias("start"), unquoted_argument(title).alias("title"))
 
     def chapters(starts: Column) -> Column:
         end = lambda t, k: F.coalesce(F.get(starts, k + 1)["start"], F.greatest(duration, t["start"]))
         return F.transform(starts, lambda t, k: _chapter(k, t["start"], end(t, k), F.nullif(t["title"], F.lit(""))))
 
-    tracks = _let(F.transform(_lines(text), trimmed), lambda lines: F.transform(_sections(lines, starts_with("TRACK ")), track))
+    tracks = let(_sections(text, f"(?i:TRACK ){more}"), lambda found: F.transform(F.slice(found, 2, F.size(found)), track))
     placed = F.transform(tracks, lambda t, k: F.struct(t["start"].alias("start"), k.alias("k"), t["title"].alias("title")))
-    return _let(F.array_sort(F.filter(placed, lambda t: t["start"].isNotNull())), chapters).cast(CHAPTERS)
+    return let(F.sort_array(F.filter(placed, lambda t: t["start"].isNotNull())), chapters).cast(CHAPTERS)
 
 
 def parse_ffmeta(text: Column) -> Column:
@@ -83,22 +79,18 @@ def parse_ffmeta(text: Column) -> Column:
     block without start or end is dropped, but its title stays for the next block without one.
     """
 
-    def pair(line: Column) -> Column:
-        at = F.instr(line, "=")
-        return F.struct(F.lower(trimmed(F.substring(line, F.lit(1), at - 1))).alias("key"), trimmed(F.substring(line, at + 1, F.length(line))).alias("value"))
-
     def base(value: Column) -> Column:
-        num, den = decimal(F.regexp_extract(value, "\\A([^/]*)/", 1)), decimal(F.regexp_extract(value, "\\A[^/]*/(.*)\\z", 1))
-        return F.when(num.isNotNull() & (den != 0), F.struct(num.alias("num"), den.alias("den")))
-
-    def block(pairs: Column) -> Column:
-        values = lambda key: F.transform(F.filter(pairs, lambda x: x["key"] == key), lambda x: x["value"])
-        last = lambda key: F.try_element_at(values(key), F.lit(-1))
-        number = lambda key: whole(last(key)).cast("double")
-        unit = _last(F.transform(values("timebase"), base))
+        parts = F.struct(let(F.regexp_extract(value, "\\A([^/]*)/", 1), decimal).alias("num"), let(F.regexp_extract(value, "\\A[^/]*/(.*)\\z", 1), decimal).alias("den"))
+        return let(parts, lambda p: F.when(p["num"].isNotNull() & (p["den"] != 0), p))
+
+    def block(section: Column) -> Column:
+        last = lambda key: let(_of_last_line(section, f"{key}{_BLANKS}(=[^\\n]*)"), lambda x: F.when(x != "", trimmed(F.substring(x, F.lit(2), F.length(x)))))
+        number = lambda key: let(last(key), whole).cast("double")
+        bases = F.regexp_extract_all(section, F.lit(f"(?i)\\n{_BLANKS}timebase{_BLANKS}=([^\\n]*)"), 1)
+        unit = _last(F.transform(bases, lambda x: let(trimmed(x), base)))
         times = F.struct(number("start").alias("start"), number("end").alias("end"), unit.alias("unit"), last("title").alias("title"))
         at = lambda t, key: timebase_seconds(t[key], t["unit"]["num"], t["unit"]["den"])
-        return _let(times, lambda t: F.struct(at(t, "start").alias("start"), at(t, "end").alias("end"), t["title"].alias("title")))
+        return let(times, lambda t: F.struct(at(t, "start").alias("start"), at(t, "end").alias("end"), t["title"].alias("title")))
 
     def chapters(blocks: Column) -> Column:
         done = F.transform(blocks, lambda b, i: F.when(b["start"].isNotNull() & b["end"].isNotNull(), i).otherwise(-1))
@@ -112,13 +104,10 @@ def parse_ffmeta(text: Column) -> Column:
 
             return F.transform(ends, chapter)
 
-        return _let(F.array_remove(done, -1), made)
-
-    def of(lines: Column) -> Column:
-        own = F.filter(_sections(lines, lambda x: x.startswith("[")), lambda s: ascii_upper(F.get(s, 0)) == "[CHAPTER]")
-        return F.transform(own, lambda s: _let(F.transform(F.filter(s, lambda x: x.contains("=")), pair), block))
+        return let(F.array_remove(done, -1), made)
 
-    return _let(_let(F.transform(_lines(text), trimmed), of), chapters).cast(CHAPTERS)
+    own = F.filter(_sections(text, "\\["), lambda s: s.rlike(f"(?i)\\A{_BLANKS}\\[CHAPTER\\]{_BLANKS}(\\n|\\z)"))
+    return let(F.transform(own, block), chapters).cast(CHAPTERS)
 
 
 def resolve_chapters(cue: Column, ffmeta: Column, embedded: Column, force_embedded: Column) -> Column:

@@ -80,3 +80,21 @@ def test_long_sidecars_take_linear_time(spark):
     seconds(500)
     # Quadratic work would take 64 times as long.
     assert seconds(32_000) < 20 * seconds(4_000) + 5
+
+
+def test_sidecars_are_read_by_few_patterns(spark):
+    # Expressions within arrays run as written: one that stands in several places is evaluated in each.
+    df = spark.createDataFrame([("x",)], "t string")
+    plan = lambda c: df.select(c)._jdf.queryExecution().analyzed().expressions().head().toString()
+    cue, ff = plan(parsers.parse_cue(F.col("t"), F.lit(1.0))), plan(parsers.parse_ffmeta(F.col("t")))
+    # The text has each twice, in the expression and in its name.
+    assert cue.count("split(") <= 6 and "translate(" not in cue
+    assert ff.count("filter(") <= 6 and ff.count("regexp_extract(") <= 10 and "regexp_replace(" not in ff
+
+
+def test_edges_of_sidecar_lines(spark):
+    sheet = "\n\xa0track 1\x85\n TRACK \n\x85TITLE \"a\tb\"  \nTITLE \n\tINDEX 01  \t1:2:3 x\x85\nINDEX 01 \nTRACK 2\nxTITLE c\nindex 01 0:1:0\xa0\r\n"
+    doc = "start=1\n \xa0[chapter]\x85\n\tSTART \xa0= 5\x85\nEnd=+7\nend=x\nEND= 9 \ntitle =a=b\nxtitle=c\nTIMEBASE=1/2\ntimebase=1/0\n[x]\nSTART=1\n\n"
+    row = spark.createDataFrame([(sheet, doc)], "s string, d string").select(parsers.parse_cue(F.col("s"), F.lit(5.0)).alias("c"), parsers.parse_ffmeta(F.col("d")).alias("f")).first()
+    assert [tuple(x) for x in row["c"]] == [(0, 1.0, 62.04, None), (1, 62.04, 62.04, "a\tb")]
+    assert [tuple(x) for x in row["f"]] == [(0, 2.5, 4.5, "a=b")]
