@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,24 +130,26 @@ def but_one(line: str) -> list[int]:
     return sorted({line_hash(x) >> 32 for x in kept})
 
 
-def fingerprints_and_keys(lines: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of each line the fingerprint, and its keys beside those of the fingerprint."""
+def fingerprints_and_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line the fingerprint; its keys beside those of the fingerprint, those of all lines in order; and how many they are."""
     if not lines:
-        return np.zeros(0, np.uint64), []
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashes, size, counts = line_words(lines)
     length = np.fromiter(map(len, lines), np.int64, len(lines))
-    keys: list[list[np.ndarray]] = [[np.array(but_one(x), np.int64)] if n <= FEW + 1 else [] for x, n in zip(lines, counts.tolist(), strict=True)]
+    few = np.flatnonzero(counts <= FEW + 1)
+    own = [but_one(lines[k]) for k in few.tolist()]
+    sizes = np.fromiter(map(len, own), np.int64, len(own))
+    keys = [(np.repeat(few, sizes), np.fromiter((x for found in own for x in found), np.int64, sizes.sum()))]
     long = np.flatnonzero(length > SIMILARITY * SHORT)
     if len(long):
         chosen = np.repeat(length > SIMILARITY * SHORT, counts)
         features = longer_words(hashes[chosen], size[chosen], counts[long])
-        for k, found in zip(long.tolist(), banded(*features, BANDS, 1), strict=True):
-            keys[k].append(found)
+        keys.append((np.repeat(long, BANDS), banded(*features, BANDS, 1).ravel()))
     short = np.flatnonzero(length <= SHORT / SIMILARITY)
     if len(short):
-        for k, found in zip(short.tolist(), banded(*letter_grams([lines[k] for k in short]), SHORT_BANDS, 2), strict=True):
-            keys[k].append(found)
-    return fingerprints_of(hashes, counts), [x[0] if len(x) == 1 else np.concatenate(x) for x in keys]
+        keys.append((np.repeat(short, SHORT_BANDS), banded(*letter_grams([lines[k] for k in short.tolist()]), SHORT_BANDS, 2).ravel()))
+    line, found = (np.concatenate(x) for x in zip(*keys, strict=True))
+    return fingerprints_of(hashes, counts), found[np.argsort(line, kind="stable")], np.bincount(line, minlength=len(lines))
 
 
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
@@ -225,39 +228,82 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return not too_unlike(a, b, most) and edit_distance(a, b, most) <= most
 
 
+def counted(rows: np.ndarray, values: np.ndarray, n: int, kinds: int) -> np.ndarray:
+    """How often each of ``n`` rows has each value, modulo ``kinds``."""
+    return np.bincount(rows * kinds + values % kinds, minlength=n * kinds).reshape(n, kinds).astype(np.int32)
+
+
+def may_be_similar(bodies: list[tuple], x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """For pairs of places ``x`` and ``y`` among ``bodies`` (form, bits, many) whether their lines may be ``similar``; it loses none that is.
+
+    Their fingerprints, lengths, letters and pairs of letters are compared, many at once: an edit changes one letter and at
+    most two pairs of letters in either line, and counts taken together differ no more.
+    """
+    forms, bits, many = zip(*bodies, strict=True) if bodies else ((), (), ())
+    bits, many = np.array(bits, np.int64).view(np.uint64), np.array(many, bool)
+    length = np.fromiter(map(len, forms), np.int64, len(forms))
+    longer, shorter = np.maximum(length[x], length[y]), np.minimum(length[x], length[y])
+    most = ((1 - least) * longer + 1e-9).astype(np.int64)
+    found = (longer - shorter <= most) & ~((np.bitwise_count(bits[x] ^ bits[y]) > FAR) & many[x] & many[y])
+    left = np.flatnonzero(found)
+    if not len(left):
+        return found
+    # Only lines that are left are counted.
+    used, place = np.unique(np.concatenate((x[left], y[left])), return_inverse=True)
+    a, b = place[: len(left)], place[len(left) :]
+    codes = np.frombuffer("".join([forms[k] for k in used.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    rows = np.repeat(np.arange(len(used)), length[used])
+    inner = rows[1:] == rows[:-1]
+    for edits, counts in ((1, counted(rows, codes, len(used), 32)), (2, counted(rows[1:][inner], (codes[:-1] * 31 + codes[1:])[inner], len(used), 128))):
+        for k in range(0, len(left), 1 << 14):
+            part = slice(k, k + (1 << 14))
+            differ = np.abs(counts[a[part]] - counts[b[part]]).sum(axis=1)
+            at = left[part]
+            found[at] &= differ + longer[at] - shorter[at] <= 2 * edits * most[at]
+        kept = found[left]
+        left, a, b = left[kept], a[kept], b[kept]
+    return found
+
+
 def all_lines(docs: DataFrame, min_words: int) -> DataFrame:
     """``doc_id``, ``row`` (``row_key``), ``line`` (place from 0), ``h``, ``bits`` and ``meets`` (keys) of every
     line of ``min_words`` or more. A line that comes again in a task has its keys but once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for a, b in pieces(batch["text"].tolist()):
-                part = batch.iloc[a:b]
-                rows = [(d, r, k, x) for d, r, t in zip(part["doc_id"], part["row"], part["text"], strict=True) for k, x in enumerate(normal_lines(t)) if x.count(" ") >= min_words - 1 and x]
-                doc, row, place, lines = zip(*rows, strict=True) if rows else ((), (), (), ())
+            texts = batch.column("text").to_pylist()
+            for a, b in pieces(texts):
+                rows = [(k, p, x) for k in range(a, b) for p, x in enumerate(normal_lines(texts[k])) if x.count(" ") >= min_words - 1 and x]
+                owner, place, lines = zip(*rows, strict=True) if rows else ((), (), ())
                 hashes = [line_hash(x) for x in lines]
                 if len(seen) > SEEN:
                     seen.clear()
-                new = {h: x for h, x in zip(hashes, lines, strict=True) if h not in seen}
-                seen |= new.keys()
-                bits, keys = fingerprints_and_keys(list(new.values()))
-                known = dict(zip(new, zip(bits.view(np.int64).tolist(), keys, strict=True), strict=True))
-                found = [known.pop(h, (None, None)) for h in hashes]
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pd.Series(doc, dtype="Int64"),
-                        "row": np.array(row, np.int64),
-                        "line": np.array(place, np.int32),
-                        "h": np.array(hashes, np.uint64).view(np.int64),
-                        "bits": pd.Series([f[0] for f in found], dtype="Int64"),
-                        "many": np.array([x.count(" ") >= MANY - 1 for x in lines], bool),
-                        "meets": pd.Series([f[1] for f in found], dtype=object),
-                    }
+                new = []
+                for k, h in enumerate(hashes):
+                    if h not in seen:
+                        seen.add(h)
+                        new.append(k)
+                bits, keys, sizes = fingerprints_and_keys([lines[k] for k in new])
+                every, ends, known = np.zeros(len(lines), np.int64), np.zeros(len(lines) + 1, np.int32), np.zeros(len(lines), bool)
+                known[new] = True
+                every[new] = bits.view(np.int64)
+                ends[1:][new] = sizes
+                docs = batch.select(["doc_id", "row"]).take(pa.array(owner, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *docs.columns,
+                        pa.array(place, pa.int32()),
+                        pa.array(np.array(hashes, np.uint64).view(np.int64)),
+                        pa.array(every, mask=~known),
+                        pa.array([x.count(" ") >= MANY - 1 for x in lines], pa.bool_()),
+                        pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(keys), mask=pa.array(~known)),
+                    ],
+                    ["doc_id", "row", "line", "h", "bits", "many", "meets"],
                 )
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), "text")
-    return chosen.mapInPandas(run, "doc_id long, row long, line int, h long, bits long, many boolean, meets array<long>")
+    return chosen.mapInArrow(run, "doc_id long, row long, line int, h long, bits long, many boolean, meets array<long>")
 
 
 def similar_line_edges(docs: DataFrame, lines: DataFrame, forms: DataFrame, least: float = SIMILARITY, cell: int = CELL) -> DataFrame:
@@ -269,8 +315,8 @@ def similar_line_edges(docs: DataFrame, lines: DataFrame, forms: DataFrame, leas
     def fetch(text: pd.Series, places: pd.Series) -> pd.Series:
         out = []
         for t, wanted in zip(text, places, strict=True):
-            lines = normal_lines(t)
-            found = [(p, lines[p["line"]]) for p in wanted if p["line"] < len(lines)]
+            lines = t.split("\n")
+            found = [(p, normal_lines(lines[p["line"]])[0]) for p in wanted if p["line"] < len(lines)]
             out.append([{"h": p["h"], "bits": p["bits"], "many": p["many"], "form": x} for p, x in found if line_hash(x) == p["h"] & (1 << 64) - 1])
         return pd.Series(out)
 
@@ -285,7 +331,7 @@ def similar_line_edges(docs: DataFrame, lines: DataFrame, forms: DataFrame, leas
         return not (a[2] and b[2] and ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count() > FAR) and similar(a[0], b[0], least)
 
     prints = forms.select(F.col("h").alias("id"), "bits", "many")
-    return verified_links(entries, bodies, same, "lines", cell, prints, FAR)
+    return verified_links(entries, bodies, same, "lines", cell, prints, FAR, lambda bodies, x, y: may_be_similar(bodies, x, y, least))
 
 
 def distinct_forms(lines: DataFrame) -> DataFrame:

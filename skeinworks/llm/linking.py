@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from skeinworks.runtime import materialize
 
 #: Items of one bucket that a task compares at once, about; larger buckets are dealt out.
 CELL = 512
+#: Pairs of a cell that are tried at once, about.
+PAIRS = 1 << 17
 
 
 def pigeonhole_keys(bits: Column, blocks: int, intact: int, width: int = 64) -> Column:
@@ -77,6 +80,41 @@ def bucket_cells(entries: DataFrame, item: list[str], cell: int = CELL) -> DataF
     return dealt.groupBy("key", "at").agg(F.collect_list(F.struct(*item)).alias("members")).where(F.size("members") > 1).select("members")
 
 
+def colliding(entries: DataFrame) -> DataFrame:
+    """``key``, ``id``, ``pivot`` and ``crowded`` of all ids that share a ``key`` with another one, but the pivot, its least id.
+
+    ``entries``: ``key`` and ``id``, repeats allowed, nulls left out. ``crowded``: whether the key has more than two ids. Keys are
+    shuffled once; a task holds those of its partition and their ids, 16 bytes an entry.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not parts:
+            return
+        key, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        # Most keys come once; those whose slot no other entry has need no sorting.
+        slots = key & ((1 << (2 * len(key)).bit_length()) - 1)
+        often = np.bincount(slots)[slots] > 1
+        key, item = key[often], item[often]
+        order = np.lexsort((item, key))
+        key, item = key[order], item[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (item[1:] != item[:-1])
+        key, item = key[new], item[new]
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        begins = np.flatnonzero(first)
+        n = np.diff(begins, append=len(key))
+        pivot, crowded = np.repeat(item[begins], n)[~first], np.repeat(n > 2, n)[~first]
+        found = pa.RecordBatch.from_arrays([pa.array(x) for x in (key[~first], item[~first], pivot, crowded)], ["key", "id", "pivot", "crowded"])
+        for k in range(0, found.num_rows, 1 << 16):
+            yield found.slice(k, 1 << 16)
+
+    known = entries.select("key", "id").where("key IS NOT NULL AND id IS NOT NULL")
+    return known.repartition("key").mapInArrow(run, "key long, id long, pivot long, crowded boolean")
+
+
 def verified_links(
     entries: DataFrame,
     bodies: Callable[[DataFrame], DataFrame],
@@ -85,27 +123,25 @@ def verified_links(
     cell: int = CELL,
     prints: DataFrame | None = None,
     far: int = 64,
+    may_be: Callable[[list[tuple], np.ndarray, np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
     """Edges (``a``, ``b``) that connect all ids that share a ``key`` and are the ``same``.
 
     ``entries``: ``key`` and ``id``, repeats allowed. ``bodies`` gives, for a table of ids, ``id`` and ``body``, a
     struct; ``same`` compares two bodies, each as a tuple. With ``prints`` (``id``, ``bits``, ``many``), two ids that
     both have ``many`` and whose bits differ in more than ``far`` places are not compared; ids that are so far from all
-    others of a key are left before their bodies are fetched.
+    others of a key are left before their bodies are fetched. With ``may_be``, many pairs are tried at once before ``same``:
+    it gets bodies and two arrays of places among them, and tells which of these pairs may be the same.
 
-    A key's least and greatest id come from a combined aggregate and show whether it has several;
-    only such keys are joined back. In each key all ids are first compared with its least one, the
+    In each key all ids are first compared with its least one, the
     pivot. Those that match it are connected by it and need not be compared among themselves; only
     pairs with an id that does not match are, and of those in a cell that match, an odd one needs but one link. So a large group of copies costs one comparison a
     member, and no pair is lost. What remains to be compared is dealt out in cells of about ``cell`` ids on
-    either side. What a join by a key, or by a pivot, makes is written before it is grouped, so that
+    either side. What a join by a pivot makes is written before it is grouped, so that
     the planner can split a large key between tasks.
     """
-    shared = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last")
-    shared = materialize(shared, f"{label}-shared")
-    inside = materialize(entries.join(shared, "key").where("id <> pivot"), f"{label}-colliding").distinct()
-    more = inside.where("id < last").select("key").distinct()
-    crowded = materialize(inside.join(more, "key").select("key", "id", "pivot"), f"{label}-crowded")
+    inside = materialize(colliding(entries), f"{label}-colliding")
+    crowded = inside.where("crowded").select("key", "id", "pivot")
     tried = inside.select("id", "pivot").distinct()
     if prints is not None:
         apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("pivot_bits")))
@@ -118,8 +154,12 @@ def verified_links(
 
     @F.pandas_udf("boolean")
     def matches(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-        rows = zip(a.itertuples(index=False, name=None), b.itertuples(index=False, name=None), strict=True)
-        return pd.Series([same(x, y) for x, y in rows], dtype=bool)
+        items = [*a.itertuples(index=False, name=None), *b.itertuples(index=False, name=None)]
+        n = len(a)
+        out = np.ones(n, bool) if may_be is None else may_be(items, np.arange(n), np.arange(n, 2 * n))
+        for k in np.flatnonzero(out).tolist():
+            out[k] = same(items[k], items[n + k])
+        return pd.Series(out, dtype=bool)
 
     compared = tried.join(known, "id").join(other, "pivot")
     matched = materialize(compared.where(matches("body", "pivot_body")).select("id", "pivot"), f"{label}-matched")
@@ -135,26 +175,55 @@ def verified_links(
 
     @F.pandas_udf("array<struct<a:long,b:long>>")
     def crossed(ids: pd.Series, odds: pd.Series, hits: pd.Series, held: pd.Series) -> pd.Series:
-        out = []
-        for own, flags, hit, values in zip(ids, odds, hits, held, strict=True):
-            items = [(int(i), bool(o), tuple(v.values())) for i, o, v in zip(own, flags, values, strict=True)]
-            groups = {i: {i} for i, _, _ in items}
-            # What the pivot matched is connected by it already.
-            by_pivot = {i for (i, _, _), h in zip(items, hit, strict=True) if h}
+        cells = zip(ids, odds, hits, ([tuple(v.values()) for v in x] for x in held), strict=True)
+        return pd.Series(_links_of_cells(cells, same, may_be))
+
+    found = cells.select(F.explode(crossed("m.id", "m.odd", "m.hit", "m.body")).alias("e")).select("e.a", "e.b")
+    return found.unionByName(matched.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+
+
+def _links_of_cells(cells: Iterator[tuple], same: Callable, may_be: Callable | None) -> list[list[dict]]:
+    """For each cell (ids, odd, hit, bodies) edges that connect its odd items with those beside them that are the ``same``.
+
+    What the pivot matched, ``hit``, is connected by it already. Two ids without a hit are both odd and meet twice, maybe in
+    another cell; only the lesser is then compared with the greater. About ``PAIRS`` pairs of many cells are tried at once.
+    """
+    out, waiting, items, pairs = [], [], [], 0
+
+    def settle() -> None:
+        x, y = (np.concatenate([c[k] for c in waiting]) for k in (2, 3))
+        likely = may_be(items, x, y) if may_be else np.ones(len(x), bool)
+        done = 0
+        for names, hit, x, y, start in waiting:
+            chosen = likely[done : done + len(x)]
+            done += len(x)
+            groups = {i: {i} for i in names} if chosen.any() else {}
+            by_pivot = {i for i, h in zip(names, hit, strict=True) if h}
             groups.update(dict.fromkeys(by_pivot, by_pivot))
             edges = []
-            for i, _, x in (t for t in items if t[1]):
-                for j, _, y in (t for t in items if not t[1]):
-                    if groups[i] is not groups[j] and same(x, y):
-                        edges.append({"a": i, "b": j})
-                        large, small = sorted((groups[i], groups[j]), key=len, reverse=True)
-                        large |= small
-                        groups.update(dict.fromkeys(small, large))
+            for i, j in zip(x[chosen].tolist(), y[chosen].tolist(), strict=True):
+                a, b = names[i - start], names[j - start]
+                if groups[a] is not groups[b] and same(items[i], items[j]):
+                    edges.append({"a": a, "b": b})
+                    large, small = sorted((groups[a], groups[b]), key=len, reverse=True)
+                    large |= small
+                    groups.update(dict.fromkeys(small, large))
             out.append(edges)
-        return pd.Series(out)
 
-    found = cells.select(F.explode(crossed("m.id", "m.odd", "m.hit", "m.body")).alias("e")).select("e.a", "e.b")
-    return found.unionByName(matched.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+    for ids, odd, hit, bodies in cells:
+        ids, odd, hit = np.asarray(ids, np.int64), np.asarray(odd, bool), np.asarray(hit, bool)
+        rows, columns = np.flatnonzero(odd), np.flatnonzero(~odd)
+        mine, others = ids[rows][:, None], ids[columns]
+        x, y = np.nonzero((mine < others) | (hit[columns] & (mine != others)))
+        waiting.append((ids.tolist(), hit.tolist(), rows[x] + len(items), columns[y] + len(items), len(items)))
+        items += bodies
+        pairs += len(x)
+        if pairs > PAIRS:
+            settle()
+            waiting, items, pairs = [], [], 0
+    if waiting:
+        settle()
+    return out
 
 
 def _crossing(members: DataFrame, cell: int) -> DataFrame:

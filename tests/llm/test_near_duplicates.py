@@ -67,6 +67,35 @@ def test_verified_links_lose_no_connection(spark, cell):
     assert least_reached([tuple(r) for r in got], place) == least_reached(expected, place)
 
 
+def test_each_pair_of_a_crowded_key_is_compared_once_at_most(spark):
+    """Half of the pairs cannot be the same, as ``may_be`` tells; of the others each is compared in one order."""
+    df = spark.createDataFrame([(5, k) for k in range(60)] * 2 + [(None, 3), (6, None), (7, 1)], "key long, id long")
+    calls = spark.sparkContext.accumulator(0)
+
+    def same(a, b):
+        calls.add(1)
+        return abs(a[0] - b[0]) == 2
+
+    body = lambda ids: ids.select("id", F.struct(F.col("id").alias("at")).alias("body"))
+    may_be = lambda items, x, y: np.array([(items[i][0] - items[j][0]) % 2 == 0 for i, j in zip(x, y, strict=True)], bool)
+    for tried, most in ((may_be, 2 * (30 * 29 // 2)), (None, 60 * 59 // 2)):
+        before = calls.value
+        got = linking.verified_links(df, body, same, "test", 512, may_be=tried).collect()
+        assert least_reached([tuple(r) for r in got], range(60)) == {k: k % 2 for k in range(60)}
+        assert 58 <= calls.value - before <= most
+
+
+def test_colliding_entries(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([-1, 1]) * rng.randrange(1 << 40) if rng.random() < 0.5 else rng.randrange(90), rng.randrange(-40, 40)) for _ in range(3000)]
+    ids = {}
+    for k, i in rows:
+        ids.setdefault(k, set()).add(i)
+    expected = sorted((k, i, min(v), len(v) > 2) for k, v in ids.items() for i in v if i != min(v))
+    got = linking.colliding(spark.createDataFrame(rows, "key long, id long"))
+    assert sorted(tuple(r) for r in got.collect()) == expected
+
+
 def plain_fingerprint(text):
     found = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     shingles = [" ".join(found[k : k + 3]) for k in range(len(found) - 2)] or ([" ".join(found)] if found else [])
@@ -173,6 +202,26 @@ def test_edit_distance():
         assert fuzzy_lines.distance_at_most(x.split(" "), y.split(" ")) >= plain(x, y)
 
 
+def test_no_similar_pair_is_left_untried():
+    rng = random.Random(15)
+    forms = ["".join(rng.choice("abc déΣ😀") for _ in range(n)) for n in (0, 1, 2, 3, 5, 9, 20, 60, 300) for _ in range(6)]
+    for x in list(forms):
+        for _ in range(4):
+            y = list(x)
+            for _ in range(rng.randrange(1 + len(x) // 4)):
+                at = rng.randrange(len(y) + 1)
+                y[at : at + rng.randrange(2)] = rng.choice(["", "x", "a", "b"])
+            forms.append("".join(y))
+    bodies = [(x, 0, False) for x in forms]
+    a, b = (v.ravel() for v in np.indices((len(forms), len(forms))))
+    tried = fuzzy_lines.may_be_similar(bodies, a, b)
+    alike = np.array([fuzzy_lines.similar(forms[i], forms[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+    assert not (alike & ~tried).any() and tried.sum() < 0.5 * len(a) and alike.sum() > 400
+    far = [("some words of one line", 0, True), ("some words of one line", -1, True), ("some words of one line", -1, False)]
+    assert fuzzy_lines.may_be_similar(far, np.array([0, 0, 1]), np.array([1, 2, 2])).tolist() == [False, True, True]
+    assert fuzzy_lines.may_be_similar([], np.zeros(0, int), np.zeros(0, int)).tolist() == []
+
+
 SYLLABLES = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
 
 
