@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinworks.llm.hashes import mixed, text_words
-from skeinworks.llm.linking import CELL, bucket_cells, connected_components, pigeonhole_keys, sampled_keys, tuned_blocks, verified_links
+from skeinworks.llm.linking import CELL, Near, bucket_cells, connected_components, pigeonhole_keys, sampled_keys, tuned_blocks, verified_links
 from skeinworks.llm.passages import runs
 from skeinworks.llm.text import boxed, row_key
 from skeinworks.runtime import materialize
@@ -209,9 +209,8 @@ def similar_text_edges(docs: DataFrame, texts: DataFrame, *, least: float = SIMI
         x, y = (np.asarray(v[0], np.int64).view(np.uint64) for v in (a, b))
         return alike(x, y, least)
 
-    entries = named.select(F.explode(sampled_keys(F.col("wide"), TABLES, SAMPLED)).alias("key"), "id")
-    prints = named.select("id", F.col("wide").alias("bits"), F.lit(True).alias("many"))
-    return verified_links(entries, bodies, same, "simhash-wide", wide_cell, prints, wide_radius)
+    entries = named.select(F.explode(sampled_keys(F.col("wide"), TABLES, SAMPLED)).alias("key"), "id", F.col("wide").alias("bits"))
+    return verified_links(entries, bodies, same, "simhash-wide", wide_cell, Near(wide_radius))
 
 
 def similar_documents(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, cell: int = CELL, **wide) -> DataFrame:
