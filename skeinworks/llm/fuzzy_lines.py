@@ -44,8 +44,8 @@ FEW = 12
 SEEN = 1_000_000
 #: Keys that a task packs at once, about.
 ENTRIES = 1_000_000
-#: Pairs whose tables are filled at once, of lines of at most ``LONG`` characters.
-TOGETHER, LONG = 2048, 4096
+#: Pairs whose tables are filled at once, of lines of at most ``LONG`` characters; fewer than ``ALONE`` are taken one by one.
+TOGETHER, LONG, ALONE = 2048, 4096, 256
 
 _ODD = np.random.default_rng(4).integers(0, 1 << 63, max(BANDS, SHORT_BANDS) * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -213,14 +213,18 @@ def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
     turned = [sorted(x, key=len) for x in zip(a, b, strict=True)]
     m, n = (np.fromiter((len(x[k]) for x in turned), np.int64, len(turned)) for k in (0, 1))
     out = np.zeros(len(turned), bool)
-    order = np.lexsort((-m, n))
-    for start in range(0, len(order), TOGETHER):
-        part = order[start : start + TOGETHER]
+    order = np.argsort(n, kind="stable")
+    start = 0
+    while start < len(order):
+        # Lines of about one length, so that few words of a table are idle.
+        end = min(start + TOGETHER, int(np.searchsorted(n[order], max(64, 1.3 * n[order[start]]), side="right")))
+        part = order[start:end]
         part = part[np.argsort(-m[part], kind="stable")]
-        if n[part].max() > LONG:
+        if len(part) < ALONE or n[part].max() > LONG:
             out[part] = [edit_distance(a[k], b[k], int(most[k])) <= most[k] for k in part.tolist()]
         else:
             out[part] = _within([turned[k][1] for k in part.tolist()], [turned[k][0] for k in part.tolist()], n[part], m[part], most[part])
+        start = end
     return out
 
 

@@ -7,7 +7,7 @@ import random
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,8 @@ PACKED = "part int, key binary, above binary, id binary, bits binary, size binar
 PARTS = 1024
 #: The size of what may be near to ids of any size and fingerprint.
 ANY = 255
+#: Pairs that are verified at once where ``may_be`` alone tells, or bytes of their bodies.
+TRIED, BYTES = 1 << 14, 1 << 25
 #: Leaders of a key with more than two ids, at most; and ids of a key that a task compares by their fingerprints.
 LEADERS, WIDE = 64, 4096
 
@@ -186,12 +188,25 @@ def _matching(pairs: DataFrame, known: DataFrame, same: Callable | None, may_be:
         items = [*a.itertuples(index=False, name=None), *b.itertuples(index=False, name=None)]
         n = len(a)
         out = np.ones(n, bool) if may_be is None else may_be(items, np.arange(n), np.arange(n, 2 * n))
-        for k in np.flatnonzero(out).tolist() if same else ():
+        for k in np.flatnonzero(out).tolist():
             out[k] = same(items[k], items[n + k])
         return pd.Series(out, dtype=bool)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+            n = sum(b.num_rows for b in held)
+            if n and (batch is None or n >= TRIED or sum(b.nbytes for b in held) >= BYTES):
+                items = [tuple(x.values()) for c in ("a_body", "b_body") for b in held for x in b.column(c).to_pylist()]
+                found = pa.array(may_be(items, np.arange(n), np.arange(n, 2 * n)), pa.bool_())
+                yield from pa.Table.from_batches(held).select(["a", "b"]).filter(found).to_batches()
+                held = []
+
     one, other = (known.select(F.col("id").alias(c), F.col("body").alias(f"{c}_body")) for c in "ab")
-    return pairs.join(one, "a").join(other, "b").where(matches("a_body", "b_body")).select("a", "b")
+    both = pairs.join(one, "a").join(other, "b").select("a", "b", "a_body", "b_body")
+    return both.where(matches("a_body", "b_body")).select("a", "b") if same else both.mapInArrow(run, "a long, b long")
 
 
 @dataclass(frozen=True)

@@ -85,6 +85,58 @@ def test_each_pair_of_a_crowded_key_is_compared_once_at_most(spark):
         assert 58 <= calls.value - before <= most
 
 
+def test_pairs_of_many_keys_are_compared_between_groups_and_once(spark):
+    """Three groups of near copies under twelve keys: stars first, then each pair between groups, not one for each key."""
+    rng = random.Random(3)
+    bits = {k: (k // 20) ^ (1 << rng.randrange(8, 60)) for k in range(60)}
+    df = spark.createDataFrame([(key, k, bits[k]) for key in range(12) for k in bits] * 2, "key long, id long, bits long")
+    pairs = spark.sparkContext.accumulator(0)
+
+    def same(a, b):
+        pairs.add(1)
+        return a[0] // 20 == b[0] // 20
+
+    body = lambda ids: ids.select("id", F.struct(F.col("id").alias("at")).alias("body"))
+    for cell in (7, 512):
+        before = pairs.value
+        got = linking.verified_links(df, body, same, "test", cell, linking.Near(12)).collect()
+        assert least_reached([tuple(r) for r in got], range(60)) == {k: k - k % 20 for k in range(60)}
+        assert pairs.value - before <= 60 * 59 // 2
+    lone = linking.verified_links(df.where("id < 2"), body, same, "test", 512, linking.Near(0)).collect()
+    assert lone == []
+
+
+def test_distances_of_many_pairs_at_once():
+    rng = random.Random(1)
+    a = ["".join(rng.choice("abcdeé😀 ") for _ in range(rng.randrange(1, rng.choice([5, 70, 300])))) for _ in range(1500)]
+    b = []
+    for x in a:
+        y = list(x)
+        for _ in range(rng.randrange(1 + len(x) // 2)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(3)] = rng.choice(["", "x", "ab"])
+        b.append("".join(y) or "q")
+    whole = np.array([fuzzy_lines.edit_distance(x, y) for x, y in zip(a, b, strict=True)])
+    for off in (-9, -1, 0, 4):
+        most = np.maximum(whole + off, 0)
+        assert (fuzzy_lines.within(a, b, most) == (whole <= most)).all()
+
+
+def test_sketches_lose_no_similar_pair():
+    rng = random.Random(16)
+    forms = ["".join(rng.choice("abc déΣ") for _ in range(n)) for n in (1, 3, 9, 60, 400, 3000) for _ in range(8)]
+    for x in list(forms):
+        y = list(x)
+        for _ in range(len(x) // 5):
+            y[rng.randrange(len(y))] = rng.choice("xab")
+        forms.append("".join(y))
+    a, b = (v.ravel() for v in np.indices((len(forms), len(forms))))
+    tried = fuzzy_lines.may_be_by_sketch(fuzzy_lines.sketches_of(forms), a, b)
+    alike = fuzzy_lines.similar_pairs(forms, a, b)
+    assert (alike == [fuzzy_lines.similar(forms[i], forms[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]).all()
+    assert not (alike & ~tried).any() and tried.sum() < 0.5 * len(a)
+
+
 def test_colliding_entries(spark):
     rng = random.Random(4)
     rows = [(rng.choice([-1, 1]) * rng.randrange(1 << 40) if rng.random() < 0.5 else rng.randrange(90), rng.randrange(-40, 40)) for _ in range(3000)]
